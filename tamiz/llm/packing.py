@@ -144,6 +144,8 @@ def emptied(lengths: np.ndarray, bins: np.ndarray, size: int) -> np.ndarray:
     has = np.zeros(size + 1, bool)
     has[list(by_gap)] = True
     for b in sorted(held, key=lambda b: -room[b]):
+        if not room[b]:
+            continue  # filled meanwhile
         by_gap[int(room[b])].remove(b)
         has[room[b]] = bool(by_gap[int(room[b])])
         moves = []
