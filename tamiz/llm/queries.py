@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamiz.llm import decontam, packing, sql, url_filter
+from tamiz.llm import decontam, jaccard, packing, sql, url_filter
 from tamiz.session import table
 
 
@@ -16,13 +16,17 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 def queries() -> dict:
-    found = [op3_best_fit_packing, op4_decontaminate, op10_url_filter]
+    found = [op3_best_fit_packing, op4_decontaminate, op5_jaccard_join, op10_url_filter]
     return {f.__name__: f for f in found}
 
 

@@ -16,7 +16,7 @@ starts as (
   select doc_id, m, i, array_to_string(w[i : i + m - 1], ' ') as p
   from (select doc_id, w, m, unnest(range(1, len(w) - m + 2)) as i from words, (select distinct m from patterns))),
 found as (select doc_id, starts.m, i, item_id from starts join patterns using (m, p)),
-hit as (select doc_id, count(distinct at) as n_hit from (select doc_id, unnest(range(i, i + m)) as at from found) group by doc_id),
+hit as (select doc_id, count(distinct pos) as n_hit from (select doc_id, unnest(range(i, i + m)) as pos from found) group by doc_id),
 named as (
   select doc_id, count(*) as n_items, sha256(string_agg(id, ',' order by id)) as items_sha256
   from (select distinct doc_id, cast(item_id as varchar) as id from found) group by doc_id)
@@ -40,4 +40,19 @@ select page_id, host, path, rule,
 from parts left join best using (page_id)
 """
 
-ORACLE: dict[str, str] = {"op4_decontaminate": OP4, "op10_url_filter": OP10}
+OP5 = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+shingles as (
+  select distinct doc_id, array_to_string(w[i : i + 4], ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from words where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+common as (select a.doc_id as x, b.doc_id as y, count(*) as o from shingles a join shingles b using (s) where a.doc_id <> b.doc_id group by 1, 2),
+links as (
+  select x, y from common join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * o >= 75 * (p.n + q.n - o)),
+reach(doc_id, y) as (select doc_id, doc_id from documents union select reach.doc_id, links.y from reach join links on reach.y = links.x)
+select doc_id, coalesce(n, 0) as n_shingles, min(y) as component_id from reach left join sizes using (doc_id) group by doc_id, n
+"""
+
+ORACLE: dict[str, str] = {"op4_decontaminate": OP4, "op5_jaccard_join": OP5, "op10_url_filter": OP10}
