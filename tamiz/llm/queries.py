@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamiz.llm import decontam, jaccard, packing, sql, url_filter
+from tamiz.llm import decontam, jaccard, packing, sql, url_filter, vectors
 from tamiz.session import table
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -26,7 +30,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op3_best_fit_packing, op4_decontaminate, op5_jaccard_join, op10_url_filter]
+    found = [op1_near_vectors, op3_best_fit_packing, op4_decontaminate, op5_jaccard_join, op10_url_filter]
     return {f.__name__: f for f in found}
 
 

@@ -2,6 +2,19 @@
 
 from __future__ import annotations
 
+OP1 = r"""
+with recursive usable as (
+  select vec_id, label, cast(embedding as double[]) as v from embeddings
+  where label is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and list_dot_product(cast(embedding as double[]), cast(embedding as double[])) > 0),
+links as (
+  select a.vec_id as x, b.vec_id as y from usable a join usable b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(vec_id, y) as (select vec_id, vec_id from embeddings union select reach.vec_id, links.y from reach join links on reach.y = links.x),
+degree as (select x as vec_id, count(*) as n from links group by x)
+select vec_id, coalesce(n, 0) as n_links, min(y) as component_id, vec_id = min(y) as kept
+from reach left join degree using (vec_id) group by vec_id, n
+"""
+
 OP4 = r"""
 with words as (
   select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
@@ -55,4 +68,4 @@ reach(doc_id, y) as (select doc_id, doc_id from documents union select reach.doc
 select doc_id, coalesce(n, 0) as n_shingles, min(y) as component_id from reach left join sizes using (doc_id) group by doc_id, n
 """
 
-ORACLE: dict[str, str] = {"op4_decontaminate": OP4, "op5_jaccard_join": OP5, "op10_url_filter": OP10}
+ORACLE: dict[str, str] = {"op1_near_vectors": OP1, "op4_decontaminate": OP4, "op5_jaccard_join": OP5, "op10_url_filter": OP10}
