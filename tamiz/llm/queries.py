@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamiz.llm import decontam, jaccard, packing, sql, url_filter, vectors
+from tamiz.llm import decontam, jaccard, packing, sql, substring, url_filter, vectors
 from tamiz.session import table
 
 
@@ -24,13 +24,17 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 def queries() -> dict:
-    found = [op1_near_vectors, op3_best_fit_packing, op4_decontaminate, op5_jaccard_join, op10_url_filter]
+    found = [op1_near_vectors, op3_best_fit_packing, op4_decontaminate, op5_jaccard_join, op6_substring_dedup, op10_url_filter]
     return {f.__name__: f for f in found}
 
 

@@ -68,4 +68,18 @@ reach(doc_id, y) as (select doc_id, doc_id from documents union select reach.doc
 select doc_id, coalesce(n, 0) as n_shingles, min(y) as component_id from reach left join sizes using (doc_id) group by doc_id, n
 """
 
-ORACLE: dict[str, str] = {"op1_near_vectors": OP1, "op4_decontaminate": OP4, "op5_jaccard_join": OP5, "op10_url_filter": OP10}
+OP6 = r"""
+with words as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents),
+starts as (
+  select doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) as s
+  from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from words where len(w) >= 50)),
+lowest as (select s, min(doc_id) as low from starts group by s having min(doc_id) < max(doc_id)),
+gone as (select distinct doc_id, unnest(range(i, i + 50)) as pos from starts join lowest using (s) where low < doc_id),
+kept as (
+  select u.doc_id, count(*) filter (where g.pos is not null) as n_removed, sha256(coalesce(string_agg(word, ' ' order by k) filter (where g.pos is null), '')) as kept_sha256
+  from (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as k from words) u left join gone g on g.doc_id = u.doc_id and g.pos = k group by u.doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, coalesce(kept_sha256, sha256('')) as kept_sha256
+from words left join kept using (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op1_near_vectors": OP1, "op4_decontaminate": OP4, "op5_jaccard_join": OP5, "op6_substring_dedup": OP6, "op10_url_filter": OP10}

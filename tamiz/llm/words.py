@@ -50,16 +50,20 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def windows(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each k consecutive words; empty if there are fewer."""
+def stretches(hashes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hash of the words start..stop of each pair; equal words give equal hashes wherever they stand."""
     n = len(hashes)
-    if n < k:
-        return np.empty(0, np.uint64)
     up, down = powers(n + 1)
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
     np.cumsum(hashes * up[:n], out=total[1:])
-    return mixed((total[k:] - total[: n - k + 1]) * down[: n - k + 1] + np.uint64(k))
+    return mixed((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64))
+
+
+def windows(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each k consecutive words; empty if there are fewer."""
+    at = np.arange(max(0, len(hashes) - k + 1))
+    return stretches(hashes, at, at + k)
 
 
 def texts(column: pa.Array) -> list[bytes | None]:
