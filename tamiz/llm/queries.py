@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamiz.llm import decontam, jaccard, packing, sql, substring, url_filter, vectors
+from tamiz.llm import decontam, jaccard, packing, quality, sql, substring, toxicity, url_filter, vectors
 from tamiz.session import table
 
 
@@ -12,6 +12,10 @@ def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -28,13 +32,17 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 def queries() -> dict:
-    found = [op1_near_vectors, op3_best_fit_packing, op4_decontaminate, op5_jaccard_join, op6_substring_dedup, op10_url_filter]
+    found = [op1_near_vectors, op2_quality_compression, op3_best_fit_packing, op4_decontaminate, op5_jaccard_join, op6_substring_dedup, op8_toxicity_neighbours, op10_url_filter]
     return {f.__name__: f for f in found}
 
 
