@@ -30,8 +30,8 @@ SHINGLE, PERCENT = 5, 75
 PART_BYTES, BLOCK, BITS = 32_000_000, 256, 2048
 #: Smallest-hash shingles by which documents find their pivots.
 PIVOTS = 3
-#: One in so many shingles more than the least prefix is looked at, so that chance passages do not make a candidate.
-EXTRA = 16
+#: One in so many shingles more than the least prefix is looked at, so that a shared passage alone does not make a candidate.
+EXTRA = 4
 
 
 def shingle_set(text: bytes | None, hashes: Hashes, k: int = SHINGLE) -> np.ndarray:
@@ -288,7 +288,10 @@ def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
 
     known = sets.select("doc_id", "n", "p", "tokens").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     entries = known.select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"), F.explode(F.expr("slice(tokens, 1, p)")).alias("token"))
-    mixed = entries.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size")).where("c1 < c2").select("token", "size")
+    # tokens that stand for the same documents are searched once
+    who = F.bit_xor(F.xxhash64("doc_id")).alias("h1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("h2")
+    mixed = entries.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size"), *who).where("c1 < c2")
+    mixed = mixed.groupBy("size", "h1", "h2").agg(F.min("token").alias("token")).select("token", "size")
     left = entries.join(mixed, "token").withColumn("blocks", _blocks(F.col("size"))).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "n", "component", "doc_id").join(_signatures(sets), "doc_id")
