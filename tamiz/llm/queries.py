@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamiz.llm import decontam, jaccard, packing, quality, sql, substring, toxicity, url_filter, vectors
+import corpus_pipeline
+from tamiz.llm import decontam, jaccard, langid, packing, quality, sql, substring, token_counts, toxicity, url_filter, vectors
 from tamiz.session import table
 
 
@@ -32,17 +33,29 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 def queries() -> dict:
-    found = [op1_near_vectors, op2_quality_compression, op3_best_fit_packing, op4_decontaminate, op5_jaccard_join, op6_substring_dedup, op8_toxicity_neighbours, op10_url_filter]
+    found = [op1_near_vectors, op2_quality_compression, op3_best_fit_packing, op4_decontaminate, op5_jaccard_join, op6_substring_dedup, op7_language_crf, op8_toxicity_neighbours, op9_token_counts, op10_url_filter, pipeline]
     return {f.__name__: f for f in found}
 
 
