@@ -32,6 +32,8 @@ PART_BYTES, BLOCK, BITS = 32_000_000, 256, 2048
 PIVOTS = 3
 #: One in so many shingles more than the least prefix is looked at, so that a shared passage alone does not make a candidate.
 EXTRA = 4
+#: Shingles that more candidates than this hold come last in the order that prefixes are taken in.
+HOT = 64
 
 
 def shingle_set(text: bytes | None, hashes: Hashes, k: int = SHINGLE) -> np.ndarray:
@@ -286,8 +288,15 @@ def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     near = saved(_compared(pairs, sets, percent), "near")
     joined = saved(components(near), "joined")
 
-    known = sets.select("doc_id", "n", "p", "tokens").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    entries = known.select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"), F.explode(F.expr("slice(tokens, 1, p)")).alias("token"))
+    # prefixes anew, by (count if over HOT, hash): common passages link nobody who has enough rarer shingles
+    lower = sets.select(F.explode(F.expr("slice(tokens, 1, cast(ceil(n / 2) as int))")).alias("token"))
+    hot = saved(lower.groupBy("token").count().where(F.col("count") > HOT), "hot")
+    own = sets.select("doc_id", F.explode("tokens").alias("token")).join(small(hot, hot.count()), "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("count", "token")))["token"].alias("hot"))
+    known = sets.join(own, "doc_id", "left").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    order = F.when(F.col("hot").isNull(), F.col("tokens")).otherwise(F.concat(F.array_except("tokens", "hot"), "hot"))
+    known = known.withColumn("ordered", order)
+    prefix = F.expr("slice(ordered, 1, p)")
+    entries = known.select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"), F.explode(prefix).alias("token"))
     # tokens that stand for the same documents are searched once
     who = F.bit_xor(F.xxhash64("doc_id")).alias("h1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("h2")
     mixed = entries.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size"), *who).where("c1 < c2")
@@ -298,7 +307,7 @@ def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     found = _search(left.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high"), percent)
     links = near.unionByName(_compared(found.distinct(), sets, percent))
     final = saved(components(links), "components")
-    for used in (open_, sets, near, joined):
+    for used in (open_, sets, near, joined, hot):
         dropped(used)
 
     rep = classes.join(final, classes["rep"] == final["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id"))
