@@ -141,19 +141,36 @@ def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, p int, tokens array<long>")
 
 
-def _signatures(sets: DataFrame) -> DataFrame:
-    """(doc_id, signature): a bitmap of the set."""
+def signature(tokens: np.ndarray, bits: int) -> bytes:
+    """A bitmap of a set; bits is a power of two, so that a wider one can be folded into it."""
+    at = np.zeros(bits, bool)
+    at[tokens % np.uint64(bits)] = True
+    return np.packbits(at).tobytes()
+
+
+def wide(n: int) -> int:
+    """Bits of a signature that holds a set of n at one in four bits or fewer."""
+    return max(BITS, 1 << (4 * n - 1).bit_length())
+
+
+def most_overlap(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
+    """The largest possible overlap of two sets, by their signatures."""
+    size = min(len(a), len(b))
+    x, y = (np.bitwise_or.reduce(np.frombuffer(s, np.uint8).reshape(-1, size)) for s in (a, b))
+    one, two, both = (int(np.bitwise_count(z).sum()) for z in (x, y, x & y))
+    return min(both + min(n_a - one, n_b - two), n_a, n_b)
+
+
+def _signatures(sets: DataFrame, widened: bool) -> DataFrame:
+    """(doc_id, n, signature), of BITS bits or of as many as the set needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = []
-            for tokens in b.column("tokens"):
-                bits = np.zeros(BITS, bool)
-                bits[tokens.values.to_numpy().view(np.uint64) % np.uint64(BITS)] = True
-                made.append(np.packbits(bits).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(made, pa.binary())], ["doc_id", "signature"])
+            all_ = [t.values.to_numpy().view(np.uint64) for t in b.column("tokens")]
+            made = [signature(t, wide(len(t)) if widened else BITS) for t in all_]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n"), pa.array(made, pa.binary())], ["doc_id", "n", "signature"])
 
-    return sets.select("doc_id", "tokens").mapInArrow(run, "doc_id long, signature binary")
+    return sets.select("doc_id", "n", "tokens").mapInArrow(run, "doc_id long, n long, signature binary")
 
 
 class SignatureTree:
@@ -254,11 +271,22 @@ def _search(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose whole sets are linked."""
-    one, two = (sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}")) for x in "uv")
+def _compared(pairs: DataFrame, sets: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose whole sets are linked; those that wide signatures exclude don't fetch their sets."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n_u, n_v, s_u, s_v = (b.column(c).to_pylist() for c in ("n_u", "n_v", "signature_u", "signature_v"))
+            fits = [(100 + percent) * most_overlap(x, i, y, j) >= percent * (i + j) for x, i, y, j in zip(s_u, n_u, s_v, n_v, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array(fits, pa.bool_()))
+
+    def side(of: DataFrame, x: str) -> DataFrame:
+        return of.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in of.columns if c != "doc_id"))
+
+    left = pairs.join(side(signatures, "u"), "u").join(side(signatures, "v"), "v").mapInArrow(bounded, "u long, v long")
+    whole = sets.select("doc_id", "n", "tokens")
     both = F.size(F.array_intersect("tokens_u", "tokens_v"))
-    return pairs.join(one, "u").join(two, "v").where((100 + percent) * both >= percent * (F.col("n_u") + F.col("n_v"))).select("u", "v")
+    return left.join(side(whole, "u"), "u").join(side(whole, "v"), "v").where((100 + percent) * both >= percent * (F.col("n_u") + F.col("n_v"))).select("u", "v")
 
 
 def _blocks(count: Column) -> Column:
@@ -285,7 +313,8 @@ def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     first = sets.select("doc_id", F.explode(F.expr(f"slice(tokens, 1, least(p, {PIVOTS}))")).alias("token"))
     pivots = first.join(first.groupBy("token").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("top")).where("u < top"), "token")
     pairs = pivots.where("u <> doc_id").select("u", F.col("doc_id").alias("v")).distinct()
-    near = saved(_compared(pairs, sets, percent), "near")
+    signatures = saved(_signatures(sets, True), "signatures")
+    near = saved(_compared(pairs, sets, signatures, percent), "near")
     joined = saved(components(near), "joined")
 
     # prefixes anew, by (count if over HOT, hash): common passages link nobody who has enough rarer shingles
@@ -303,11 +332,11 @@ def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     mixed = mixed.groupBy("size", "h1", "h2").agg(F.min("token").alias("token")).select("token", "size")
     left = entries.join(mixed, "token").withColumn("blocks", _blocks(F.col("size"))).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "n", "component", "doc_id").join(_signatures(sets), "doc_id")
+    left = left.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "n", "component", "doc_id").join(_signatures(sets, False).drop("n"), "doc_id")
     found = _search(left.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high"), percent)
-    links = near.unionByName(_compared(found.distinct(), sets, percent))
+    links = near.unionByName(_compared(found.distinct(), sets, signatures, percent))
     final = saved(components(links), "components")
-    for used in (open_, sets, near, joined, hot):
+    for used in (open_, sets, signatures, near, joined, hot):
         dropped(used)
 
     rep = classes.join(final, classes["rep"] == final["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id"))
