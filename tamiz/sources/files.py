@@ -14,11 +14,14 @@ TURN = "call_id string, turno int, ts double, t_speech_end double, t_stt_done do
 
 
 def uploads(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(file, doc_id, bytes, problem, text): each file below a folder with why it can't be taken, if so."""
+    """(file, doc_id, bytes, problem, text): each file below a folder with why it can't be taken, if so.
+
+    Spark lists no empty files, so those give no row.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     name = F.regexp_replace(F.regexp_extract("path", r"[^/]+$", 0), r"[^\w.()\- ]", "_")
     kind = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
-    problem = F.when(~kind.isin(*KINDS), "kind").when(F.col("length") > LARGEST, "size").when(F.col("length") == 0, "empty")
+    problem = F.when(~kind.isin(*KINDS), "kind").when(F.col("length") > LARGEST, "size")
     text = F.when(problem.isNull() & (kind != "pdf"), F.col("content").cast("string"))
     return found.select(F.left(name, F.lit(120)).alias("file"), T.content_id(F.col("content")).alias("doc_id"), F.col("length").alias("bytes"), problem.alias("problem"), text.alias("text"))
 

@@ -78,7 +78,7 @@ def levels(turns: DataFrame) -> DataFrame:
             yield rows.assign(call_severity=running, raised=running > before)[["call_id", "turn", "severity", "call_severity", "raised"]]
         state.update((worst,))
 
-    return turns.select("call_id", "turn", "severity").groupBy("call_id").applyInPandasWithState(step, "call_id string, turn int, severity int, call_severity int, raised boolean", "worst int", "append", GroupStateTimeout.NoTimeout)
+    return turns.select(F.col("call_id").cast("string").alias("call_id"), "turn", "severity").groupBy("call_id").applyInPandasWithState(step, "call_id string, turn int, severity int, call_severity int, raised boolean", "worst int", "append", GroupStateTimeout.NoTimeout)
 
 
 def write_alerts(path: str):
