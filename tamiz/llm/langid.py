@@ -8,7 +8,6 @@ a document's scores are the means of those of its words.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,21 +16,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamiz.llm.labelled import remainder
+from tamiz.llm.words import mixed, stretches
 
 #: Labelled documents of each language in the sample, words of each that are learned from, hashed features, passes.
 SAMPLE, WORDS, SPACE, PASSES = 300, 120, 1 << 16, 12
 #: Words of documents that are decoded together; words remembered by a task; no letter: no language.
-CELLS, REMEMBERED, UNKNOWN = 400_000, 400_000, "und"
+CELLS, REMEMBERED, UNKNOWN = 400_000, 600_000, "und"
 _EDGES = " \t\n\r.,;:!?¡¿\"'()[]{}*#$%&|<>=+-_/\\0123456789"
 
 
-def features(word: str) -> np.ndarray:
-    """Hashed features of a word: itself, affixes of up to 3 letters and n-grams of 2 and 3; none without a letter."""
+def bare(word: str) -> str:
+    """A word in lower case without marks and digits at its ends; empty if it has no letter."""
     w = word.strip(_EDGES).lower()
-    if not any(c.isalpha() for c in w):
-        return np.empty(0, np.int64)
-    names = {"w" + w, *("<" + w[:k] for k in (1, 2, 3)), *(w[-k:] + ">" for k in (1, 2, 3)), *(w[i : i + k] for k in (2, 3) for i in range(len(w) - k + 1))}
-    return np.unique([zlib.crc32(x.encode()) % SPACE for x in names])
+    return w if w.isalpha() or any(map(str.isalpha, w)) else ""
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of non-empty words, one word after the other, and how many each has.
+
+    A word has itself, its affixes of up to 3 letters and its n-grams of 2 and 3, each with a salt of its kind.
+    """
+    sizes = np.array([len(w) for w in words], np.int64)
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    owner = np.repeat(np.arange(len(words)), sizes)
+    left = ends[owner] - np.arange(len(codes))  # letters from a position to its word's end
+    shift = [np.uint64(0), np.uint64(21), np.uint64(42)]
+    padded = np.r_[codes, np.zeros(3, np.uint64)]
+    grams = [codes]  # of 1, 2, 3 letters from each position
+    for k in (1, 2):
+        grams.append(grams[-1] | (padded[k : k + len(codes)] << shift[k]))
+    found, of = [stretches(mixed(codes), starts, ends)], [np.arange(len(words))]
+    for k in (1, 2, 3):
+        at = np.flatnonzero(left >= k)
+        long_ = np.flatnonzero(sizes >= k)
+        for salt, places, whose in ((10 * k, at, owner[at]), (10 * k + 1, starts[long_], long_), (10 * k + 2, ends[long_] - k, long_)):
+            if salt != 10:  # single letters say little
+                found.append(mixed(grams[k - 1][places] + (np.uint64(salt) << np.uint64(56))))
+                of.append(whose)
+    flat, of = np.concatenate(found) % np.uint64(SPACE), np.concatenate(of)
+    return flat[np.argsort(of, kind="stable")].astype(np.int64), np.bincount(of, minlength=len(words))
 
 
 def forward_backward(emission: np.ndarray, lengths: np.ndarray, start: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,41 +92,36 @@ class Model:
         n = len(langs)
         self.weights, self.start, self.transition = np.zeros((SPACE, n), np.float32), np.zeros(n), np.eye(n) * 2.0
 
-    def emissions(self, feats: list[np.ndarray]) -> np.ndarray:
-        """Log-weights of words, averaged over their features' square root so that long words don't drown others."""
-        out = np.zeros((len(feats), len(self.langs)))
-        sizes = np.array([len(f) for f in feats])
-        some = np.flatnonzero(sizes)
-        if len(some):
-            flat = np.concatenate([feats[i] for i in some])
-            at = np.r_[0, np.cumsum(sizes[some])[:-1]]
-            out[some] = np.add.reduceat(self.weights[flat], at, axis=0) / np.sqrt(sizes[some])[:, None]
-        return out
+    def emissions(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Log-weights of words: the sum over features, divided by the square root of their number."""
+        if not len(sizes):
+            return np.zeros((0, len(self.langs)))
+        return np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes, axis=0).astype(np.float64) / np.sqrt(sizes)[:, None]
 
     def train(self, texts_: list[tuple[list[str], list[int]]], passes: int = PASSES, rate: float = 0.5) -> None:
         """Maximises the likelihood of the words' labels, by AdaGrad over blocks of sequences, in a fixed order."""
         texts_ = sorted((x for x in texts_ if x[0]), key=lambda x: -len(x[0]))
-        feats = [[features(w) for w in words] for words, _ in texts_]
+        feats = [features(words) for words, _ in texts_]
         n = len(self.langs)
         g_w, g_t, g_s = np.full((SPACE, n), 1e-2, np.float32), np.full((n, n), 1e-2), np.full(n, 1e-2)
         order = np.random.default_rng(0)
         for _ in range(passes):
             for block in np.array_split(order.permutation(len(texts_)), max(1, len(texts_) // 64)):
                 block = np.sort(block)
-                lengths = np.array([len(feats[i]) for i in block])
+                lengths = np.array([len(feats[i][1]) for i in block])
                 e = np.zeros((len(block), lengths.max(), n))
                 gold = np.zeros_like(e)
                 wanted = np.zeros((n, n))
                 for r, i in enumerate(block):
-                    e[r, : lengths[r]] = self.emissions(feats[i])
+                    e[r, : lengths[r]] = self.emissions(*feats[i])
                     y = np.array(texts_[i][1])
                     gold[r, np.arange(lengths[r]), y] = 1
                     np.add.at(wanted, (y[:-1], y[1:]), 1)
                 e -= e.max(2, keepdims=True)
                 post, pairs = forward_backward(np.exp(e), lengths, np.exp(self.start), np.exp(self.transition))
                 wrong = gold - post
-                flat = np.concatenate([f for i in block for f in feats[i]])
-                each = np.concatenate([np.repeat(wrong[r, : lengths[r]] / np.sqrt(np.maximum([[len(f)] for f in feats[i]], 1)), [len(f) for f in feats[i]], axis=0) for r, i in enumerate(block)])
+                flat = np.concatenate([feats[i][0] for i in block])
+                each = np.concatenate([np.repeat(wrong[r, : lengths[r]] / np.sqrt(feats[i][1])[:, None], feats[i][1], axis=0) for r, i in enumerate(block)])
                 used, place = np.unique(flat, return_inverse=True)
                 grad = np.stack([np.bincount(place, each[:, k], len(used)) for k in range(n)], 1) - 1e-2 * self.weights[used]
                 g_w[used] += grad * grad
@@ -147,17 +167,15 @@ class Decoder:
     def _learn(self, words: list[list[str]]) -> None:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list(set().union(*words) - self.known.keys())
-        # words that differ only at the edges or in case share features, so their emissions are found once
-        bare = {w: w.strip(_EDGES).lower() for w in new}
-        stems = list({b for b in bare.values()} - self.known.keys())
-        feats = [features(b) for b in stems]
-        e = self.model.emissions(feats)
+        stems: dict[str, list[str]] = {}
+        for w in set().union(*words) - self.known.keys():
+            stems.setdefault(bare(w), []).append(w)
+        for w in stems.pop("", ()):
+            self.known[w] = None
+        e = self.model.emissions(*features(list(stems)))
         e = np.exp(e - e.max(1, keepdims=True)) if len(e) else e
-        for b, f, x in zip(stems, feats, e, strict=True):
-            self.known[b] = x.tobytes() if len(f) else None
-        for w, b in bare.items():
-            self.known[w] = self.known[b]
+        for same, x in zip(stems.values(), e, strict=True):
+            self.known.update(dict.fromkeys(same, x.tobytes()))
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE, words: int = WORDS) -> Model:
@@ -171,12 +189,12 @@ def fit(docs: DataFrame, rows: int = SAMPLE, words: int = WORDS) -> Model:
     texts_: list[tuple[list[str], list[int]]] = []
     for k, found in enumerate(taken):
         for i, r in enumerate(found):
-            own = [w for w in r["w"] if len(features(w))][:words]
+            own = [x for x in map(bare, r["w"]) if x][:words]
             texts_.append((own, [k] * len(own)))
             if len(taken) > 1 and i % 4 == 0:  # code-switched: half of this text, then half of one in another language
                 other = (k + 1 + (i // 4) % (len(taken) - 1)) % len(taken)
                 if taken[other]:
-                    more = [w for w in taken[other][i % len(taken[other])]["w"] if len(features(w))][: words // 2]
+                    more = [x for x in map(bare, taken[other][i % len(taken[other])]["w"]) if x][: words // 2]
                     half = own[: words // 2]
                     texts_.append((half + more, [k] * len(half) + [other] * len(more)))
     if texts_ and any(x[0] for x in texts_):
