@@ -183,9 +183,16 @@ def fit(docs: DataFrame, rows: int = SAMPLE, words: int = WORDS) -> Model:
     usable = docs.where("lang is not null and text is not null").where(remainder(F.col("doc_id"), 3) != 1)
     langs = [r[0] for r in usable.groupBy("lang").count().orderBy("lang").collect()]
     model = Model(langs)
+    # ids are drawn first, so that no task sends more than `rows` of them; one scan then fetches the words
     draw = F.xxhash64(F.col("doc_id"), F.lit(3))
+    ids = None
+    for x in langs:
+        mine = usable.where(F.col("lang") == x).select("doc_id").distinct().orderBy(draw, "doc_id").limit(rows)
+        ids = mine if ids is None else ids.union(mine)
     first = F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, 4 * words)
-    taken = [usable.where(F.col("lang") == x).orderBy(draw, "doc_id").select("lang", first.alias("w")).limit(rows).collect() for x in langs]
+    found = usable.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("doc_id", "lang", first.alias("w")).dropDuplicates(["doc_id", "lang"]).collect() if langs else []
+    found.sort(key=lambda r: r["doc_id"])
+    taken = [[r for r in found if r["lang"] == x] for x in langs]
     texts_: list[tuple[list[str], list[int]]] = []
     for k, found in enumerate(taken):
         for i, r in enumerate(found):
