@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tamiz.functions import lexicon, speech
 from tamiz.functions import text as T
-from tamiz.operators import chunking, metrics, retrieval, rules
+from tamiz.operators import chunking, grounding, metrics, retrieval, rules, slots, speech_repair
 from tamiz.session import table
 from tamiz.sources import store
-from tamiz.streaming import calls
+from tamiz.streaming import calls, signal
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -451,3 +451,48 @@ def section_lead(spark: SparkSession, sf: str) -> DataFrame:
 @query("select p.page_id, length(regexp_replace(p.html, '<[^>]*>', '', 'g')) as n_chars, regexp_extract(p.html, '<title>([^<]*)', 1) as title from pages p")
 def page_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.length(F.regexp_replace("html", "<[^>]*>", "")).alias("n_chars"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
+
+
+#: Questions and answers for the slot rules, dealt over the conversations.
+ANSWERS = [("¿Cómo ha estado el dolor?", "el dolor está en seis"), ("¿Cuál es su temperatura?", "treinta y ocho punto cinco"), ("¿Cómo está la herida?", "sin secreción, un poco roja"), ("¿Y el apetito?", "no tengo apetito"), ("¿Me quedó claro?", "sí, quedó claro"), ("¿Cuál es su temperatura?", "nada de fiebre"), ("¿Cómo ha estado el dolor?", "mm")]
+
+
+def _answers(spark: SparkSession, sf: str) -> DataFrame:
+    pick = lambda k: F.element_at(F.array(*(F.lit(a[k]) for a in ANSWERS)), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(ANSWERS))) + 1).cast("int"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", pick(0).alias("question"), pick(1).alias("answer"))
+
+
+@query()
+def slot_parsing(spark: SparkSession, sf: str) -> DataFrame:
+    turns = _answers(spark, sf).withColumn("slot", slots.asked(F.col("question")))
+    turns = turns.withColumn("got", slots.parsed(F.col("slot"), F.col("answer")))
+    return turns.select("conv_id", "turn", "slot", "got.*", slots.acknowledged(F.col("slot"), F.col("got")).alias("reply"), slots.confirmed(F.col("answer"), F.col("question")).alias("confirmed"))
+
+
+@query()
+def spoken_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    return _answers(spark, sf).select("conv_id", "turn", slots.spoken_number(F.col("answer")).alias("number"), speech_repair.spoken(F.concat_ws(" ", F.col("turn").cast("string"), F.lit("de 38.5"))).alias("aloud"))
+
+
+@query()
+def fuzzy_repair(spark: SparkSession, sf: str) -> DataFrame:
+    said = F.when(F.col("turn") % 2 == 0, "tengo fierebres y sin chasón").otherwise("la erida está bien")
+    return table(spark, sf, "conversations").select("conv_id", "turn", speech_repair.repaired(said).alias("repaired"))
+
+
+@query()
+def grounded_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    claims = {"pain": F.lit(9.0), "fever": F.lit(39.0), "wound": F.lit(None).cast("string"), "appetite": F.lit("nulo"), "sleep": F.lit("alterado"), **{n: F.lit(True) for n in rules.FLAGS}}
+    return _answers(spark, sf).select("conv_id", "turn", *(c.alias(n) for n, c in grounding.grounded(claims, F.col("answer")).items()))
+
+
+@query()
+def sentence_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations").select("conv_id", "turn", speech_repair.sentence_stream(F.split(F.coalesce("text", F.lit("")), "(?<= )")).alias("sentences"))
+
+
+@query()
+def block_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings repeated to a block of samples stand for recordings."""
+    blocks = table(spark, sf, "embeddings").select(F.col("label").cast("string").alias("call_id"), F.col("vec_id").cast("int").alias("seq"), F.flatten(F.array_repeat("embedding", 16)).alias("samples"))
+    return signal.quality(blocks)
