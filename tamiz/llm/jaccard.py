@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tamiz.llm.graph import components
 from tamiz.llm.store import dropped, saved, small
-from tamiz.llm.words import LOWER, Hashes, texts, windows
+from tamiz.llm.words import LOWER, Hashes, sliced, texts, windows
 
 #: Words in a shingle; least Jaccard similarity in hundredths.
 SHINGLE, PERCENT = 5, 75
@@ -69,7 +69,7 @@ def _read(docs: DataFrame, parts: int, k: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        for number, b in enumerate(batches):
+        for number, b in enumerate(sliced(batches)):
             ids = b.column("doc_id").to_pylist()
             sizes, keys, prefixes, owners = [], [], [], []
             for i, text in enumerate(texts(b.column("text"))):
@@ -131,7 +131,7 @@ def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        for b in batches:
+        for b in sliced(batches):
             sets = [shingle_set(t, hashes, k) for t in texts(b.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([len(s) - least(len(s), percent) + 1 for s in sets], pa.int32()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -66,6 +68,13 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     return stretches(hashes, at, at + k)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Batches of so few rows that what is made of them stays small."""
+    for b in batches:
+        for first in range(0, b.num_rows, rows):
+            yield b.slice(first, rows)
+
+
 def texts(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a text column of an Arrow batch."""
     if isinstance(column, pa.ChunkedArray):
