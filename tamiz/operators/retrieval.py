@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tamiz.functions import text as T
 from tamiz.functions.lexicon import expanded
@@ -58,23 +64,62 @@ def unit(v: Column) -> Column:
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = DENSE_K) -> DataFrame:
-    """(query_id, chunk_id, distance, rank): exact nearest neighbours; all vectors against a stated set of queries.
+    """(query_id, chunk_id, distance, rank): exact nearest neighbours of a stated set of queries.
 
-    The queries are counted: as a bounded set they go to every task, so vectors are read once and never shuffled.
-    More than that are searched in parts by hash, each against one scan.
+    vectors (chunk_id, embedding[, scenario]), queries (query_id, embedding[, scenario]); where both have a scenario, a
+    query sees its own, general ones, and all if it has none. Each task compares its blocks of vectors with all
+    queries by one matrix product and passes on the k nearest of the block, so vectors are never shuffled. The
+    queries are counted: up to BROADCAST_QUERIES go to the tasks at once, more in parts, each with a scan of its own.
+    Vectors that are null or of another length than a query's are left out.
     """
-    asked = queries.select("query_id", F.col("embedding").alias("query"))
-    n = asked.count()
-    parts = max(1, -(-n // BROADCAST_QUERIES))
+    bound = "scenario" in vectors.columns and "scenario" in queries.columns
+    columns = ["chunk_id", "embedding", *["scenario"] * bound]
+    asked = queries.where("embedding is not null").select("query_id", *columns[1:])
+    parts = max(1, -(-asked.count() // BROADCAST_QUERIES))
+    kinds = vectors.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     out = None
     for part in range(parts):
-        mine = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
-        pairs = vectors.select("chunk_id", "embedding").join(F.broadcast(mine)).select("query_id", "chunk_id", cosine_distance(F.col("embedding"), F.col("query")).alias("distance"))
-        best = top(pairs, k, F.round("distance", 9), F.col("chunk_id"))
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).collect()
+        best = top(vectors.select(*columns).where("embedding is not null").mapInArrow(_nearest(rows, k, bound, to_arrow_type(queries.schema["query_id"].dataType)), f"query_id {kinds[1]}, chunk_id {kinds[0]}, distance double"), k, F.round("distance", 9), F.col("chunk_id"))
         out = best if out is None else out.unionByName(best)
     return out
 
 
+def _nearest(rows: list, k: int, bound: bool, kind: pa.DataType):
+    """For batches of vectors: their k nearest to each query, and those as near as the last of them."""
+    ids = [r["query_id"] for r in rows]
+    wanted = np.array([r["scenario"] for r in rows], object) if bound else None
+    asked = [np.asarray(r["embedding"], float) for r in rows]
+    lengths = sorted({len(q) for q in asked})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: list[tuple] = []
+            sizes = pc.list_value_length(b.column("embedding")).to_numpy(zero_copy_only=False)
+            for n in lengths:
+                q = np.flatnonzero([len(x) == n for x in asked])
+                v = np.flatnonzero(sizes == n)
+                if not len(v):
+                    continue
+                x = b.column("embedding").take(pa.array(v)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), n)
+                y = np.stack([asked[i] for i in q])
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    distance = 1 - (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])
+                distance[np.isnan(distance)] = np.inf
+                if bound:
+                    own = np.array(b.column("scenario").to_pylist(), object)[v][:, None]
+                    distance[~((own == wanted[q][None, :]) | (own == "general") | np.equal(wanted[q], None)[None, :])] = np.inf
+                rounded = np.round(distance, 9)
+                last = np.partition(rounded, min(k, len(v)) - 1, axis=0)[min(k, len(v)) - 1]
+                i, j = np.nonzero((rounded <= last[None, :]) & np.isfinite(rounded))
+                found.append((q[j], v[i], distance[i, j]))
+            if found:
+                q, v, distance = (np.concatenate([f[c] for f in found]) for c in range(3))
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], kind), b.column("chunk_id").take(pa.array(v)), pa.array(distance)], ["query_id", "chunk_id", "distance"])
+
+    return run
+
+
 def fused(lexical: DataFrame, nearest: DataFrame, k: int = FUSION_K) -> DataFrame:
     """(query_id, chunk_id, score, lexical_rank, dense_rank): reciprocal-rank fusion of two ranked lists."""
     none = F.lit(None).cast("int")
@@ -100,10 +145,9 @@ def hybrid(chunks: DataFrame, parents: DataFrame, queries: DataFrame, k: int = R
         where = (F.col("scenario") == F.col("wanted")) | (F.col("scenario") == "general") | F.col("wanted").isNull()
         wanted = queries.select("query_id", F.col("scenario").alias("wanted"))
         lexical = lexical.join(wanted, "query_id").join(chunks.select("chunk_id", "scenario"), "chunk_id").where(where).drop("wanted", "scenario")
-        pairs = chunks.join(F.broadcast(queries.select("query_id", F.col("embedding").alias("query"), F.col("scenario").alias("wanted")))).where(where)
-        nearest = top(pairs.select("query_id", "chunk_id", cosine_distance(F.col("embedding"), F.col("query")).alias("distance")), DENSE_K, F.round("distance", 9), F.col("chunk_id"))
-    else:
         nearest = dense(chunks, queries)
+    else:
+        nearest = dense(chunks.drop("scenario"), queries)
     hits = gate(fused(lexical, nearest), nearest, most).join(chunks.select("chunk_id", "parent_id", "title"), "chunk_id")
     hits = hits.withColumn("score", F.when(T.for_patients(F.col("title")), F.col("score") * boost).otherwise(F.col("score")))
     order = F.round("score", 9).desc(), F.col("lexical_rank").asc_nulls_last(), F.col("dense_rank").asc_nulls_last()
