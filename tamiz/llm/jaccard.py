@@ -302,11 +302,12 @@ def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     read = saved(_read(docs, max(1, -(-size // PART_BYTES)), k, percent), "shingles")
-    meta = read.where("part is null").select("doc_id", "n", "key")
+    meta = saved(read.where("part is null").select("doc_id", "n", "key"), "meta")
     shared = read.where("part is not null").select("part", "keys", "owners", "known").groupBy("part").applyInArrow(_shared, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
     classes = saved(meta.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
     enough = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / EXTRA))
     open_ = saved(classes.where("rep is not null").select(F.col("rep").alias("doc_id"), "n").join(shared, "doc_id").where(F.col("shared") >= enough).select("doc_id").distinct(), "open")
+    dropped(read)
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(open_, open_.count()), "doc_id", "left_semi")
     sets = saved(_sets(mine, k, percent), "sets")
 

@@ -121,6 +121,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> tupl
     """All documents (doc_id, n_words, kept_sha256 of all words), and the window spans (doc_id, first, last) to remove."""
     texts_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     read = saved(_entries(texts_, window, prefix), "suffixes")
+    every = saved(read.select("doc_id", "n_words", "kept_sha256"), "every")
     entries = read.where("doc_id is not null").select("doc_id", F.inline("entries"))
     contexts = entries.groupBy("prefix", "context").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     prefixes = contexts.groupBy("prefix").agg(F.min("first_doc").alias("low"), F.max("last_doc").alias("high"), F.count("*").alias("contexts")).where("low < high").select("prefix", "low", "contexts")
@@ -133,9 +134,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> tupl
     lowest = nodes.groupBy("node").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     deep = nodes.join(lowest, "node").where("doc_id > low").select("doc_id", F.col("at").alias("first"), F.col("at").alias("last"))
     spans = saved(whole.unionByName(deep).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
-    for used in (shared, inner, asked, nodes):
+    for used in (read, shared, inner, asked, nodes):
         dropped(used)
-    return read.select("doc_id", "n_words", "kept_sha256"), spans
+    return every, spans
 
 
 def kept_words(docs: DataFrame, spans: DataFrame, window: int = WINDOW) -> DataFrame:
