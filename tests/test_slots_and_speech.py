@@ -90,3 +90,26 @@ def test_quality(spark):
     df = spark.createDataFrame([("a", 1, tone), ("a", 2, [0.5] * 10)], "call_id string, seq int, samples array<double>")
     got = {r.seq: r for r in signal.quality(df).collect()}
     assert got[1].voice > 99 and abs(got[1].rms - 0.7071) < 1e-3 and got[2].rms is None
+
+
+@pytest.mark.parametrize("rate", [8000, 16000, 44100, 48000])
+def test_blocks_of_any_size_give_the_same_signal(rate):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=3000)
+    low = signal.butterworth(8, 7200.0, max(rate, 16001), False)
+    whole, _ = signal.filtered(x, low, np.zeros((4, 2)))
+    want, _, _ = signal.resampled(whole, rate / signal.RATE, 0.0, np.empty(0))
+    cuts = [0, 1, 2, 3, 500, 501, 1777, 3000]
+    got, state, at, tail = [], np.zeros((4, 2)), 0.0, np.empty(0)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        y, state = signal.filtered(x[a:b], low, state)
+        y, at, tail = signal.resampled(y, rate / signal.RATE, at, tail)
+        got.append(y)
+    assert np.allclose(np.concatenate(got), want)
+
+
+def test_filters_pass_what_they_should():
+    t = np.arange(4800) / 16000
+    high = signal.butterworth(4, 90.0, 16000, True)
+    size = lambda f: np.abs(signal.filtered(np.sin(2 * np.pi * f * t), high, np.zeros((2, 2)))[0][2400:]).max()
+    assert size(20) < 0.01 and size(1000) > 0.98 and abs(size(90) - 0.707) < 0.05
