@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tamiz.functions import lexicon, speech
 from tamiz.functions import text as T
-from tamiz.operators import chunking, grounding, metrics, retrieval, rules, slots, speech_repair
+from tamiz.operators import chunking, dialog, grounding, metrics, retrieval, rules, slots, speech_repair
 from tamiz.session import table
 from tamiz.sources import store
 from tamiz.streaming import calls, signal
@@ -496,3 +496,11 @@ def block_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Embeddings repeated to a block of samples stand for recordings."""
     blocks = table(spark, sf, "embeddings").select(F.col("label").cast("string").alias("call_id"), F.col("vec_id").cast("int").alias("seq"), F.flatten(F.array_repeat("embedding", 16)).alias("samples"))
     return signal.quality(blocks)
+
+
+@query()
+def call_guards(spark: SparkSession, sf: str) -> DataFrame:
+    """Fixture questions and answers as the turns of the driver's conversations."""
+    turns = _answers(spark, sf)
+    said = turns.select(F.col("conv_id").alias("call_id"), (F.col("turn") * 2).alias("turn"), F.lit("assistant").alias("role"), F.col("question").alias("text"))
+    return dialog.processed(said.unionByName(turns.select(F.col("conv_id").alias("call_id"), (F.col("turn") * 2 + 1).alias("turn"), F.lit("user").alias("role"), F.col("answer").alias("text"))))

@@ -113,3 +113,12 @@ def test_filters_pass_what_they_should():
     high = signal.butterworth(4, 90.0, 16000, True)
     size = lambda f: np.abs(signal.filtered(np.sin(2 * np.pi * f * t), high, np.zeros((2, 2)))[0][2400:]).max()
     assert size(20) < 0.01 and size(1000) > 0.98 and abs(size(90) - 0.707) < 0.05
+
+
+def test_guards_come_in_order(spark):
+    from tamiz.operators import dialog
+
+    lines = ["¿Cómo ha estado el dolor?", "en seis", "¿Cuál es su temperatura?", "mm", "¿Cómo está la herida?", "me sale pus", "¿Le quedó claro?", "sí", "¿Algo más?", "¿puedo caminar?", "¿Algo más?", "no gracias"]
+    turns = spark.createDataFrame([("c", i, "assistant" if i % 2 == 0 else "user", t) for i, t in enumerate(lines)], "call_id string, turn int, role string, text string")
+    got = [(r.action, r.alerted, r.next_item) for r in dialog.processed(turns).orderBy("turn").collect()]
+    assert got == [("slot", False, "fiebre"), ("repeat", False, "fiebre"), ("escalate", False, "fiebre"), ("confirmation", True, "fiebre"), ("answer", True, "fiebre"), ("farewell", True, "fiebre")]
