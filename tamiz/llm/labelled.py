@@ -34,6 +34,13 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, rows: int, seed: int
     return sorted({r["doc_id"]: (r["doc_id"], r["text"], r["label"]) for r in found}.values())
 
 
+def label_rate(labels: DataFrame, target: str, folds: int = 5) -> float:
+    """Share of label 1 among all labelled rows outside the held-out fold, kept off 0 and 1."""
+    usable = labels.where(F.col(target).isin(0, 1) & (remainder(F.col("doc_id"), folds) != 0))
+    rate = usable.agg(F.avg(F.col(target).cast("double"))).first()[0]
+    return min(max(rate or 0.0, 1e-6), 1 - 1e-6)
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     """Weights (the first is the constant) of a logistic regression, by Newton's method."""
     x = np.c_[np.ones(len(x)), x]

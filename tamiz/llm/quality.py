@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.llm.labelled import base_rate, held_out, logistic, probability, sample
+from tamiz.llm.labelled import base_rate, held_out, label_rate, logistic, probability, sample
 from tamiz.llm.words import texts
 
 #: Labelled rows of each label in the sample; bytes of a dictionary, of a block; zstd level; score for a predicted 1.
@@ -74,8 +74,8 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int =
     sizes = Sizes(dictionaries)
     x = np.array([sizes.features(t) for t in bad2 + good2])
     w = logistic(x, np.r_[np.zeros(len(bad2)), np.ones(len(good2))])
-    true = labels.where(F.col(target).isin(0, 1)).agg(F.avg(F.col(target).cast("double"))).first()[0]
-    w[0] += np.log(max(true, 1e-6) / max(1 - true, 1e-6)) - np.log(len(good2) / len(bad2))
+    true = label_rate(labels, target)
+    w[0] += np.log(true / (1 - true)) - np.log(len(good2) / len(bad2))
     return Model(dictionaries, w, base_rate(y))
 
 
