@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tamiz.llm.graph import components
 from tamiz.llm.store import dropped, saved, small
-from tamiz.llm.words import LOWER, Hashes, sliced, texts, windows
+from tamiz.llm.words import LOWER, Hashes, mixed, sliced, texts, windows
 
 #: Words in a shingle; least Jaccard similarity in hundredths.
 SHINGLE, PERCENT = 5, 75
@@ -105,25 +106,43 @@ def _read(docs: DataFrame, parts: int, k: int, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, key binary, part int, keys binary, owners binary, known binary")
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """(doc_id, shared): how many shingles of a part each document shares with another one."""
-    ids, counts, keys, owners = [], [], [], []
-    for key, owner, known in zip(*(table.column(c).to_pylist() for c in ("keys", "owners", "known")), strict=True):
-        if key is None:
-            ids.append(unplanes(owner, np.int64))
-            counts.append(unplanes(known, np.int64))
-        else:
-            keys.append(np.cumsum(unplanes(key, np.uint32), dtype=np.uint32))
-            owners.append(unplanes(owner, np.int64))
-    if keys:
-        key, owner = np.concatenate(keys), np.concatenate(owners)
-        order = np.argsort(key, kind="stable")
-        key, owner = key[order], owner[order]
-        same = key[1:] == key[:-1]
-        found, count = np.unique(owner[np.r_[same, False] | np.r_[False, same]], return_counts=True)
-        ids.append(found)
-        counts.append(count)
-    return pa.table({"doc_id": np.concatenate(ids), "shared": np.concatenate(counts).astype(np.int64)})
+def _shared(parts: int):
+    """For a part's rows: how many of its shingles each document shares with another one, packed by bucket of documents."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, counts, keys, owners = [], [], [], []
+        for key, owner, known in zip(*(table.column(c).to_pylist() for c in ("keys", "owners", "known")), strict=True):
+            if key is None:
+                ids.append(unplanes(owner, np.int64))
+                counts.append(unplanes(known, np.int64))
+            else:
+                keys.append(np.cumsum(unplanes(key, np.uint32), dtype=np.uint32))
+                owners.append(unplanes(owner, np.int64))
+        if keys:
+            key, owner = np.concatenate(keys), np.concatenate(owners)
+            order = np.argsort(key, kind="stable")
+            key, owner = key[order], owner[order]
+            same = key[1:] == key[:-1]
+            found, count = np.unique(owner[np.r_[same, False] | np.r_[False, same]], return_counts=True)
+            ids.append(found)
+            counts.append(count.astype(np.int64))
+        id_, count = np.concatenate(ids), np.concatenate(counts)
+        bucket = (mixed(id_.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        id_, count, bucket = id_[order], count[order], bucket[order]
+        cut = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)].tolist() if len(bucket) else [0]
+        spans = list(itertools.pairwise(cut))
+        return pa.table({"bucket": pa.array([int(bucket[i]) for i, _ in spans], pa.int32()), "ids": pa.array([planes(id_[i:j]) for i, j in spans], pa.binary()), "counts": pa.array([planes(count[i:j]) for i, j in spans], pa.binary())})
+
+    return run
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """(doc_id, shared) of a bucket: the sums over all parts."""
+    ids = np.concatenate([unplanes(x, np.int64) for x in table.column("ids").to_pylist()])
+    counts = np.concatenate([unplanes(x, np.int64) for x in table.column("counts").to_pylist()])
+    found, place = np.unique(ids, return_inverse=True)
+    return pa.table({"doc_id": found, "shared": np.bincount(place, counts, len(found)).astype(np.int64)})
 
 
 def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -301,9 +320,11 @@ def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     equal set, if any, and links nothing. Other columns are not read; empty docs give no rows.
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    read = saved(_read(docs, max(1, -(-size // PART_BYTES)), k, percent), "shingles")
+    parts = max(1, -(-size // PART_BYTES))
+    read = saved(_read(docs, parts, k, percent), "shingles")
     meta = saved(read.where("part is null").select("doc_id", "n", "key"), "meta")
-    shared = read.where("part is not null").select("part", "keys", "owners", "known").groupBy("part").applyInArrow(_shared, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    by_part = read.where("part is not null").select("part", "keys", "owners", "known").groupBy("part")
+    shared = by_part.applyInArrow(_shared(parts), "bucket int, ids binary, counts binary").groupBy("bucket").applyInArrow(_summed, "doc_id long, shared long")
     classes = saved(meta.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
     enough = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / EXTRA))
     open_ = saved(classes.where("rep is not null").select(F.col("rep").alias("doc_id"), "n").join(shared, "doc_id").where(F.col("shared") >= enough).select("doc_id").distinct(), "open")
