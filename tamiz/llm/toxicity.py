@@ -1,10 +1,15 @@
-"""Toxicity from the nearest labelled examples by exact TF-IDF cosine, found in a block-max inverted index."""
+"""Toxicity from the nearest labelled examples by exact TF-IDF cosine, found in a block-max inverted index.
+
+All words of the examples are terms. A term's IDF is multiplied by its association with the label, so that the few
+telling words outweigh the many that say nothing; no term is left out for it.
+"""
 
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,74 +20,91 @@ from tamiz.llm.decontam import words_of
 from tamiz.llm.labelled import base_rate, held_out, label_rate, logistic, probability, sample
 from tamiz.llm.words import texts
 
-#: Labelled rows of each label in the sample; most terms; least chi-square of a term; neighbours; examples in a block.
-SAMPLE, TERMS, CHI_SQUARE, NEIGHBOURS, BLOCK, THRESHOLD = 2000, 512, 40.0, 15, 64, 0.5
-#: Neighbours named as evidence.
-EVIDENCE = 3
+#: Labelled rows of each label in the sample; neighbours; examples in a block; parts of the sample for the calibration.
+SAMPLE, NEIGHBOURS, BLOCK, PARTS, THRESHOLD = 2000, 15, 64, 5, 0.5
+#: Neighbours named as evidence; blocks of the largest bounds that are read first.
+EVIDENCE, FIRST = 3, 4
 
 
-def telling_terms(bags: list[set[bytes]], y: list[int], most: int = TERMS, least: float = CHI_SQUARE) -> list[bytes]:
-    """The terms whose presence goes with the label, by chi-square, strongest first."""
-    n, n1 = len(y), sum(y)
-    all_, one = Counter(), Counter()
-    for bag, label in zip(bags, y, strict=True):
-        all_.update(bag)
+def association(bags: list[np.ndarray], y: np.ndarray, terms: int) -> np.ndarray:
+    """How far the presence of each term goes with the label: chi-square over the number of examples, 0 to 1 at any size."""
+    n, n1 = float(len(y)), float(y.sum())
+    df, one = np.zeros(terms), np.zeros(terms)
+    for bag, label in zip(bags, y.tolist(), strict=True):
+        df[bag] += 1
         if label:
-            one.update(bag)
-    scored = []
-    for term, df in all_.items():
-        a, d = one[term], n1 * (n - n1) * df * (n - df)
-        chi = n * (a * (n - n1 - df + a) - (n1 - a) * (df - a)) ** 2 / d if d else 0.0
-        if chi >= least:
-            scored.append((-chi, term))
-    return [t for _, t in sorted(scored)[:most]]
+            one[bag] += 1
+    d = n1 * (n - n1) * df * (n - df)
+    return np.divide((one * (n - n1 - df + one) - (n1 - one) * (df - one)) ** 2, d, out=np.zeros(terms), where=d > 0)
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of each range low..high, and the range that each belongs to."""
+    n = high - low
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low, n), np.repeat(np.arange(len(n)), n)
 
 
 class Index:
     """Inverted lists of unit example vectors, cut into blocks of examples with each list's largest weight per block."""
 
-    def __init__(self, vectors: list[dict[int, float]], terms: int):
-        self.blocks = -(-len(vectors) // BLOCK)
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(terms)]
-        for e, v in enumerate(vectors):
-            for t, w in v.items():
-                lists[t].append((e, w))
-        self.ids = [np.array([e for e, _ in x], np.int64) for x in lists]
-        self.weights = [np.array([w for _, w in x]) for x in lists]
-        self.cuts = [np.searchsorted(i, np.arange(self.blocks + 1) * BLOCK) for i in self.ids]
-        self.most = np.zeros((terms, self.blocks))
-        for t, (i, w) in enumerate(zip(self.ids, self.weights, strict=True)):
-            np.maximum.at(self.most[t], i // BLOCK, w)
+    def __init__(self, vectors: Iterable[dict[int, float]], terms: int):
+        t, w, sizes = array("i"), array("d"), []
+        for v in vectors:
+            t.extend(v.keys())
+            w.extend(v.values())
+            sizes.append(len(v))
+        self.size, self.blocks = len(sizes), -(-len(sizes) // BLOCK)
+        term, owner = np.array(t, np.int32), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        order = np.argsort(term, kind="stable")
+        term, self.ids, self.weights = term[order], owner[order], np.array(w)[order]
+        block = self.ids // BLOCK
+        # a run is what a list holds in one block
+        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])][: len(term)])
+        self.block, self.start = block[first], np.r_[first, len(term)]
+        self.most = np.maximum.reduceat(self.weights, first) if len(first) else np.empty(0)
+        self.lists = np.searchsorted(term[first], np.arange(terms + 1))
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a cosine over 0; equal ones by place in the index."""
-        none = np.empty(0, np.int64), np.empty(0)
-        if not query:
-            return none
-        terms, q = list(query), np.array(list(query.values()))
-        bound = q @ self.most[terms]
-        found, scores = none
-        for b in np.argsort(-bound, kind="stable").tolist():
+        found, scores = np.empty(0, np.int64), np.empty(0)
+        if not query or not self.size:
+            return found, scores
+        terms, q = np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), float, len(query))
+        runs, of = _ranges(self.lists[terms], self.lists[terms + 1])
+        bound = np.bincount(self.block[runs], self.most[runs] * q[of], self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        for blocks in (order[:FIRST], order[FIRST:]):
             # blocks that can only fall short of the k-th are not read (the margin is for rounding)
-            if bound[b] <= 0 or (len(scores) == k and bound[b] < scores[-1] - 1e-12):
+            blocks = blocks[bound[blocks] > (0 if len(scores) < k else scores[-1] - 1e-12)]
+            if not len(blocks):
                 break
-            sums = np.zeros(BLOCK)
-            for t, w in zip(terms, q, strict=True):
-                low, high = self.cuts[t][b], self.cuts[t][b + 1]
-                sums[self.ids[t][low:high] - b * BLOCK] += w * self.weights[t][low:high]
-            at = np.flatnonzero(sums > 0)
-            ids = at + b * BLOCK
-            at, ids = at[ids != without], ids[ids != without]
-            found, scores = np.r_[found, ids], np.r_[scores, np.round(sums[at], 12)]
+            read = np.zeros(self.blocks, bool)
+            read[blocks] = True
+            mine = read[self.block[runs]]
+            at, run = _ranges(self.start[runs[mine]], self.start[runs[mine] + 1])
+            sums = np.round(np.bincount(self.ids[at], self.weights[at] * q[of[mine]][run], self.size), 12)
+            ids = np.flatnonzero(sums > 0)
+            ids = ids[ids != without]
+            found, scores = np.r_[found, ids], np.r_[scores, sums[ids]]
+            if len(scores) > k:
+                best = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+                found, scores = found[best], scores[best]
             best = np.lexsort((found, -scores))[:k]
             found, scores = found[best], scores[best]
         return found, scores
 
 
+def weighed(terms: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> dict[int, float]:
+    """Unit vector of terms that occur so often."""
+    raw = (1 + np.log(counts)) * weights[terms]
+    norm = math.sqrt((raw * raw).sum())
+    return dict(zip(terms[raw > 0].tolist(), (raw[raw > 0] / norm).tolist(), strict=True)) if norm else {}
+
+
 class Model:
-    def __init__(self, terms: list[bytes], idf: list[float]):
+    def __init__(self, terms: list[bytes], weights: np.ndarray):
         self.terms = {t: i for i, t in enumerate(terms)}
-        self.idf = idf
+        self.weights = weights
         self.index = Index([], len(terms))
         self.ids: list[int] = []
         self.y = np.empty(0)
@@ -90,68 +112,87 @@ class Model:
         self.rate = 0.25
 
     def vector(self, words: list[bytes]) -> dict[int, float]:
-        counts = Counter([self.terms[w] for w in words if w in self.terms])
-        raw = {t: (1 + math.log(c)) * self.idf[t] for t, c in sorted(counts.items())}
-        norm = math.sqrt(sum(x * x for x in raw.values()))
-        return {t: x / norm for t, x in raw.items()} if norm else {}
+        known = [t for t in map(self.terms.get, words) if t is not None]
+        return weighed(*np.unique(np.array(known, np.int64), return_counts=True), self.weights)
 
-    def votes(self, query: dict[int, float], without: int = -1) -> tuple[float, float, np.ndarray, np.ndarray]:
+    def votes(self, query: dict[int, float]) -> tuple[float, float, np.ndarray, np.ndarray]:
         """(vote of label 1 weighted by nearness, how near the nearest is, neighbours, cosines)."""
-        found, cosines = self.index.nearest(query, NEIGHBOURS, without)
-        if not len(found):
-            return 0.0, 0.0, found, cosines
-        weight = 1 / (1.05 - cosines)
-        return float(weight @ self.y[found] / weight.sum()), float(cosines[0]), found, cosines
+        return _votes(self.index, self.y, query)
 
     def score(self, vote: float, near: float) -> float:
         return self.rate if self.w is None else float(probability(self.w, np.array([vote, near])))
 
 
+def _votes(index: Index, y: np.ndarray, query: dict[int, float]) -> tuple[float, float, np.ndarray, np.ndarray]:
+    found, cosines = index.nearest(query, NEIGHBOURS)
+    if not len(found):
+        return 0.0, 0.0, found, cosines
+    weight = 1 / (1.05 - cosines)
+    return float(weight @ y[found] / weight.sum()), float(cosines[0]), found, cosines
+
+
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int = SAMPLE) -> Model:
-    """Learns from a bounded sample of labelled rows; document frequencies are counted over all documents."""
+    """Learns from a bounded sample of labelled rows, all their words; document frequencies are counted over all documents."""
     drawn = sample(docs, labels, target, rows)
-    words = [words_of(t.encode()) for _, t, _ in drawn]
-    y = [label for _, _, label in drawn]
-    terms = telling_terms([set(w) for w in words], y) if len(set(y)) == 2 else []
+    # by hash, so that equally near examples of either label are equally likely to stand first
+    drawn.sort(key=lambda r: hash((r[0] * 2654435761) % (1 << 32)))
+    y = np.array([label for _, _, label in drawn], int)
+    both = len(set(y.tolist())) == 2
+    place: dict[bytes, int] = {}
+    bags = [np.unique(np.array([place.setdefault(w, len(place)) for w in words_of(t.encode())], np.int32), return_counts=True) for _, t, _ in drawn] if both else []
+    terms = list(place)
     n, df = _frequencies(docs, terms)
-    model = Model(terms, [math.log((1 + n) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
-    model.rate = base_rate(y)
-    if terms:
-        vectors = [model.vector(w) for w in words]
-        kept = [i for i, v in enumerate(vectors) if v]
-        # by hash, so that equally near examples of either label are equally likely to stand first
-        kept.sort(key=lambda i: hash((drawn[i][0] * 2654435761) % (1 << 32)))
-        place = {i: e for e, i in enumerate(kept)}
-        model.index, model.ids, model.y = Index([vectors[i] for i in kept], len(terms)), [drawn[i][0] for i in kept], np.array([y[i] for i in kept], float)
-        # the calibration leaves each example's own entry out, and weighs labels as they occur
+    idf = np.log((1 + n) / (1 + df)) + 1
+    model = Model(terms, np.zeros(len(terms)))
+    model.rate = base_rate(y.tolist())
+    if both:
+
+        def learned(of: np.ndarray) -> tuple[np.ndarray, Index]:
+            weights = idf * association([bags[i][0] for i in of], y[of], len(terms))
+            return weights, Index((weighed(*bags[i], weights) for i in of), len(terms))
+
+        every = np.arange(len(y))
+        # the calibration asks each part of what the others teach, weights of terms included, and weighs labels as they occur
+        x = np.zeros((len(y), 2))
+        for part in range(PARTS):
+            others = every[every % PARTS != part]
+            weights, index = learned(others)
+            for i in every[every % PARTS == part]:
+                x[i] = _votes(index, y[others], weighed(*bags[i], weights))[:2]
+        model.weights, model.index = learned(every)
+        model.ids, model.y = [i for i, _, _ in drawn], y.astype(float)
         shares = np.bincount(y, minlength=2) / len(y)
         true = label_rate(labels, target)
-        x = np.array([model.votes(v, place.get(i, -1))[:2] for i, v in enumerate(vectors)])
-        model.w = logistic(x, np.array(y, float))
+        model.w = logistic(x, y.astype(float))
         model.w[0] += math.log(true / (1 - true)) - math.log(shares[1] / shares[0])
     return model
 
 
-def _frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[int, dict[int, int]]:
+def _frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[int, np.ndarray]:
     """Number of documents, and of those that hold each term."""
-    place = {t: i for i, t in enumerate(terms)}
+    places = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        place, n, counts = places.value, 0, np.zeros(len(places.value), np.int64)
         for b in batches:
             for text in texts(b.column("text")):
-                counts[-1] += 1
-                counts.update({place[w] for w in words_of(text) if w in place})
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+                n += 1
+                counts[[place[w] for w in set(words_of(text)) if w in place]] += 1
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[n, counts[at]])], ["term", "n"])
 
-    found = {r[0]: r[1] for r in docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n")).collect()}
-    return found.pop(-1, 0), found
+    found = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    places.unpersist()
+    term, count = found.column("term").to_numpy(), found.column("n").to_numpy()
+    df = np.zeros(len(terms))
+    df[term[term >= 0]] = count[term >= 0]
+    return int(count[term < 0].sum()), df
 
 
 def score(docs: DataFrame, labels: DataFrame, target: str = "toxic", threshold: float = THRESHOLD, fit_on: DataFrame | None = None) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence), one row for each row of docs; evidence: (doc_id, cosine, label).
 
-    A text without telling terms, or null or empty, has no neighbours and gets the rate that such texts have among
+    A text without a word of an example, or null or empty, has no neighbours and gets the rate that such texts have among
     the labelled ones. Without labels of both kinds every score is the (shrunk) rate. Labels of repeated ids count
     once, a 1 before a 0. Other columns are not read; empty docs give no rows.
     """

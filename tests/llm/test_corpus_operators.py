@@ -293,6 +293,29 @@ def test_index_is_exact():
         assert found.tolist() == [i for _, i in want] and np.allclose(scores, [-c for c, _ in want])
 
 
+def test_toxicity_at_the_smallest_size(spark):
+    d = "/root/testdata/sf0.001"
+    documents, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    model = toxicity.fit(documents, labels)
+    drawn = toxicity.sample(documents, labels, "toxic", toxicity.SAMPLE)
+    assert set(model.terms) == {w for _, t, _ in drawn for w in toxicity.words_of(t.encode())}
+    got = toxicity.score(documents, labels).join(labels, "doc_id").where("toxic is not null")
+    right, caught, clean = got.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("double")), F.sum(F.col("predicted") * F.col("toxic")), F.sum(F.col("predicted") * (1 - F.col("toxic")))).first()
+    assert right >= 0.9 and caught >= 6 and clean <= 2
+
+
+def test_toxicity_by_a_rare_insult(spark):
+    r = random.Random(5)
+    vocab = ["".join(r.choice("abcdefg") for _ in range(5)) for _ in range(300)]
+    text = lambda *more: " ".join(r.sample([*r.choices(vocab, k=30), *more], 30 + len(more)))
+    toxic = [text("vermin") for _ in range(5)] + [text("oaf") for _ in range(50)]
+    rows = [(i, t, int(i < len(toxic))) for i, t in enumerate(toxic + [text() for _ in range(400)])]
+    rows += [(1000 + i, text("vermin") if i < 10 else text(), None) for i in range(40)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {x.doc_id: x.predicted for x in toxicity.score(made.select("doc_id", "text"), made.select("doc_id", "toxic")).where("doc_id >= 1000").collect()}
+    assert sum(got[1000 + i] for i in range(10)) >= 9 and sum(got[1000 + i] for i in range(10, 40)) <= 1
+
+
 def test_language(spark, docs, rows, none):
     documents = table(spark, "/root/testdata/sf0.01", "documents")
     got = langid.identify(documents).join(documents, "doc_id").where("held_out and lang_pred <> 'und'")
