@@ -302,7 +302,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, signatures: DataFrame, percent:
     def side(of: DataFrame, x: str) -> DataFrame:
         return of.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in of.columns if c != "doc_id"))
 
-    left = pairs.join(side(signatures, "u"), "u").join(side(signatures, "v"), "v").mapInArrow(bounded, "u long, v long")
+    left = pairs.join(side(signatures, "u"), "u").join(side(signatures, "v"), "v").mapInArrow(bounded, "u long, v long").distinct()
     whole = sets.select("doc_id", "n", "tokens")
     both = F.size(F.array_intersect("tokens_u", "tokens_v"))
     return left.join(side(whole, "u"), "u").join(side(whole, "v"), "v").where((100 + percent) * both >= percent * (F.col("n_u") + F.col("n_v"))).select("u", "v")
@@ -330,7 +330,12 @@ def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     open_ = saved(classes.where("rep is not null").select(F.col("rep").alias("doc_id"), "n").join(shared, "doc_id").where(F.col("shared") >= enough).select("doc_id").distinct(), "open")
     dropped(read)
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(open_, open_.count()), "doc_id", "left_semi")
-    sets = saved(_sets(mine, k, percent), "sets")
+    # rows that repeat an id: one for each different set, or copies would count as owners of shingles
+    again = saved(meta.where("n > 0").join(small(open_, open_.count()), "doc_id", "left_semi").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    repeated = small(again, again.count())
+    several = _sets(mine.join(repeated, "doc_id", "left_semi").where("text is not null").distinct(), k, percent).where("n > 0").distinct()
+    one = _sets(mine.join(repeated, "doc_id", "left_anti"), k, percent).where("n > 0")
+    sets = saved(one.unionByName(several).withColumn("own", F.xxhash64("doc_id", "tokens")), "sets")
 
     first = sets.select("doc_id", F.explode(F.expr(f"slice(tokens, 1, least(p, {PIVOTS}))")).alias("token"))
     pivots = first.join(first.groupBy("token").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("top")).where("u < top"), "token")
@@ -342,23 +347,23 @@ def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     # prefixes anew, by (count if over HOT, hash): common passages link nobody who has enough rarer shingles
     lower = sets.select(F.explode(F.expr("slice(tokens, 1, cast(ceil(n / 2) as int))")).alias("token"))
     hot = saved(lower.groupBy("token").count().where(F.col("count") > HOT), "hot")
-    own = sets.select("doc_id", F.explode("tokens").alias("token")).join(small(hot, hot.count()), "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("count", "token")))["token"].alias("hot"))
-    known = sets.join(own, "doc_id", "left").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    last = sets.select("doc_id", "own", F.explode("tokens").alias("token")).join(small(hot, hot.count()), "token").groupBy("doc_id", "own").agg(F.sort_array(F.collect_list(F.struct("count", "token")))["token"].alias("hot"))
+    known = sets.join(last, ["doc_id", "own"], "left").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     order = F.when(F.col("hot").isNull(), F.col("tokens")).otherwise(F.concat(F.array_except("tokens", "hot"), "hot"))
     known = known.withColumn("ordered", order)
     prefix = F.expr("slice(ordered, 1, p)")
-    entries = known.select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"), F.explode(prefix).alias("token"))
+    entries = known.select("doc_id", "own", "n", F.coalesce("component", "doc_id").alias("component"), F.explode(prefix).alias("token"))
     # tokens that stand for the same documents are searched once
-    who = F.bit_xor(F.xxhash64("doc_id")).alias("h1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("h2")
+    who = F.bit_xor(F.xxhash64("doc_id", "own")).alias("h1"), F.bit_xor(F.xxhash64("doc_id", "own", F.lit(1))).alias("h2")
     mixed = entries.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size"), *who).where("c1 < c2")
     mixed = mixed.groupBy("size", "h1", "h2").agg(F.min("token").alias("token")).select("token", "size")
-    left = entries.join(mixed, "token").withColumn("blocks", _blocks(F.col("size"))).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    left = entries.drop("own").join(mixed, "token").withColumn("blocks", _blocks(F.col("size"))).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "n", "component", "doc_id").join(_signatures(sets, False).drop("n"), "doc_id")
+    left = left.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "n", "component", "doc_id").join(_signatures(sets, False), ["doc_id", "n"])
     found = _search(left.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high"), percent)
     links = near.unionByName(_compared(found.distinct(), sets, signatures, percent))
     final = saved(components(links), "components")
-    for used in (open_, sets, signatures, near, joined, hot):
+    for used in (open_, again, sets, signatures, near, joined, hot):
         dropped(used)
 
     rep = classes.join(final, classes["rep"] == final["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id"))

@@ -106,6 +106,8 @@ def _nodes(docs: DataFrame, window: int) -> DataFrame:
         for b in batches:
             at, row, node = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
             for i, (text, spans) in enumerate(zip(texts(b.column("text")), b.column("spans").to_pylist(), strict=True)):
+                if text is None:  # another row of this doc_id
+                    continue
                 all_ = windows(hashes.of(text.split()), window)
                 for s in spans:
                     if s["last"] < len(all_):  # else another row's text with this doc_id
@@ -129,11 +131,11 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> tupl
     inner = saved(entries.join(shared, ["prefix", "context"]).select("doc_id", "first", "last", "first_doc", "low", "contexts"), "inner")
     whole = inner.where("doc_id > first_doc").select("doc_id", "first", "last")
     # the first document of a context asks where the anchor has others; a smaller or a larger one may share some windows
-    asked = saved(inner.where("doc_id = first_doc and contexts > 1").groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "asked")
+    asked = saved(inner.where("doc_id = first_doc and contexts > 1").groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "asked")
     nodes = saved(_nodes(texts_.join(small(asked, asked.count()), "doc_id"), window), "nodes")
     lowest = nodes.groupBy("node").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     deep = nodes.join(lowest, "node").where("doc_id > low").select("doc_id", F.col("at").alias("first"), F.col("at").alias("last"))
-    spans = saved(whole.unionByName(deep).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
+    spans = saved(whole.unionByName(deep).groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")
     for used in (read, shared, inner, asked, nodes):
         dropped(used)
     return every, spans

@@ -173,6 +173,29 @@ def test_jaccard(docs, rows, none):
     assert jaccard.link(none).count() == 0
 
 
+def test_repeated_rows(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(12)]
+    rows = []
+    for i in range(150):
+        a = [word() for _ in range(30)]
+        b = [*a[:12], word(), *a[13:]]
+        rows += [(2 * i, " ".join(a + passage))] * (200 if i % 30 == 0 else 66) + [(2 * i + 1, " ".join(b + passage))]
+    got = {x.doc_id: x.component_id for x in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: i - i % 2 for i in range(300)}
+
+
+def test_substring_of_an_id_with_a_text_and_a_null(spark):
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(90)]
+    first, second = words[:80], words[10:]  # 70 words in common
+    rows = [(1, " ".join(first))] * 200 + [(1, None), (2, " ".join(second)), (2, None)]
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(x.doc_id, x.n_words): x.n_removed for x in substring.dedup(made).collect()}
+    assert got == {(1, 80): 0, (1, 0): 0, (2, 80): 70, (2, 0): 0}
+
+
 def test_signature_tree_keeps_links():
     rng = np.random.default_rng(3)
     sets = [rng.choice(3000, int(rng.integers(1, 60)), replace=False) for _ in range(60)]
