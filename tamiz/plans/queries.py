@@ -221,7 +221,7 @@ def context_window(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def query_expansion(spark: SparkSession, sf: str) -> DataFrame:
     mark = F.element_at(F.array(*map(F.lit, ["fiebre", "wound care", "dolor de rodilla", "shower", ""])), (F.col("item_id") % 5 + 1).cast("int"))
-    return table(spark, sf, "benchmark").select("item_id", lexicon.expanded(F.concat_ws(" ", mark, F.left("text", F.lit(40)))).alias("expanded"))
+    return table(spark, sf, "benchmark").select("item_id", lexicon.expanded(F.concat_ws(" ", mark, "text")).alias("expanded"))
 
 
 @query("select event_type, quantile_disc(value, 0.5) is not null as some, round(list_sort(list(value))[least(count(value) - 1, round_even(0.95 * (count(value) - 1), 0)::bigint) + 1], 2) as p95 from events group by event_type".replace("quantile_disc(value, 0.5) is not null as some", "round(median(value), 2) as p50"))

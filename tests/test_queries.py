@@ -1,11 +1,14 @@
 """Every query that has SQL against DuckDB, and the driver's contract."""
 
 import math
+import re
+import unicodedata
 
 import duckdb
 import pytest
 
 import __spark_entry__
+from tamiz.functions import lexicon
 from tamiz.plans.queries import ORACLE, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -41,6 +44,26 @@ def test_without_sql_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
+def test_query_expansion_reads_whole_items(spark, sf, tmp_path):
+    marks = ["fiebre", "wound care", "dolor de rodilla", "shower", ""]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()] + [(10_000_004, "x " * 5000 + "escalofrios")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def brute(query):
+        q = "".join(c for c in unicodedata.normalize("NFD", query.lower()) if not unicodedata.combining(c))
+        extra = []
+        for es, english in lexicon.TERMS.items():
+            if es in q:
+                extra += [e for e in english if e not in q]
+            elif any(re.search(rf"\b{re.escape(e)}\b", q) for e in english):
+                extra.append(es)
+        return f"{query} {' '.join(dict.fromkeys(extra))}" if extra else query
+
+    got = {r.item_id: r.expanded for r in QUERIES["query_expansion"](spark, str(tmp_path)).collect()}
+    assert got == {i: brute(" ".join(x for x in (marks[i % 5], t) if x is not None)) for i, t in items}
+    assert got[10_000_004].endswith("escalofrios chills")
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
