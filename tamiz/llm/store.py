@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ BROADCAST_ROWS = 4_000_000
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; a folder of our own only where it is unset."""
+    """spark.checkpoint.dir as the session has it; a folder of our own only where it is unset and all runs on this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tamiz-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

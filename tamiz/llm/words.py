@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Bytes that split words, for `[^\x20\x09-\x0D]+`: just those at which bytes.split() splits.
@@ -14,17 +18,27 @@ ODD = 0x9E3779B97F4A7C15
 ODD_INVERSE = pow(ODD, -1, 1 << 64)
 
 
+#: Bytes that a task's memory of words may hold, by what Python takes for them; a word of more bytes is never kept.
+REMEMBERED, LONG = 40_000_000, 512
+#: What an entry of such a memory takes besides its word and value: places in the dict, object heads.
+ENTRY = 200
+
+
 class Hashes(dict):
-    """64-bit hash of a word; remembers up to `most` words."""
+    """64-bit hash of a word; remembers words of up to `most` bytes in all, then forgets them."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = REMEMBERED):
         super().__init__()
-        self.most = most
+        self.most, self.held = most, 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word)
+        got = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONG:
+            if self.held > self.most:
+                self.clear()
+                self.held = 0
+            self[word] = got
+            self.held += len(word) + ENTRY
         return got
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -68,11 +82,31 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     return stretches(hashes, at, at + k)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """Batches of so few rows that what is made of them stays small."""
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 2000, size: int = 4_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches of so few rows and bytes of text that what is made of them stays small; a longer text is one by itself."""
     for b in batches:
-        for first in range(0, b.num_rows, rows):
-            yield b.slice(first, rows)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+        first = 0
+        while first < b.num_rows:
+            before = int(ends[first - 1]) if first else 0
+            last = min(first + rows, max(first + 1, int(np.searchsorted(ends, before + size, side="right"))))
+            yield b.slice(first, last - first)
+            first = last
+
+
+def frees(run):
+    """run, a generator over a task's batches; at its end what it held goes back to the system, as Spark keeps its Python workers."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim:
+            trim(0)
+
+    return task
 
 
 def texts(column: pa.Array) -> list[bytes | None]:
