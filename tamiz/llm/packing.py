@@ -14,7 +14,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -22,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamiz.llm.store import saved
-from tamiz.llm.words import texts
+from tamiz.llm.words import ENTRY, LONG, REMEMBERED, frees, sliced, texts
 
-#: Tokens in a sequence; pieces in a group that one task packs; words whose ids a task remembers.
-TOKENS, GROUP, REMEMBERED = 2048, 50_000, 600_000
-#: Documents encoded together.
-TOGETHER = 500
+#: Tokens in a sequence; pieces in a group that one task packs.
+TOKENS, GROUP = 2048, 50_000
+#: Documents encoded together, and bytes of their texts.
+TOGETHER, TEXT_BYTES = 500, 2_000_000
 
 
 #: What this tokenizer's own splitter keeps, for letters up to U+024F.
@@ -45,27 +44,43 @@ def byte_letters() -> dict[int, int]:
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, with id 0 at the end.
 
-    This tokenizer drops white space and never joins across it, so the ids of a text are those of its words in
-    turn. Each different word is encoded once and remembered: its units go to the tokenizer's model one by one,
-    and words with characters past U+024F go through the whole tokenizer.
+    The tokenizer's own tokens (like <|endoftext|>) are looked for in the whole text first, as it does. Between them it
+    drops white space and never joins across it, so the ids of a text are those of its words in turn. Each different
+    word is encoded once and remembered: its units go to the tokenizer's model one by one, and words with characters
+    past U+024F go through the whole tokenizer.
     """
 
     def __init__(self, path: str, most: int = REMEMBERED):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
-        self.tokenizer.encode_special_tokens = True
-        self.model, self.units = self.tokenizer.model, {}
-        self.letters = byte_letters()
+        self.tokenizer, self.known, self.units = Tokenizer.from_file(path), {}, {}
+        self.most, self.held = most, 0
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        own = self.tokenizer.get_added_tokens_decoder()
+        self.own = {t.content.encode(): struct.pack("<I", i) for i, t in own.items()}
+        self.splits = re.compile(b"(" + b"|".join(re.escape(t) for t in sorted(self.own, key=len, reverse=True)) + b")") if own else None
+
+    def parts(self, text: bytes | None) -> list[bytes]:
+        """Words and own tokens of a text in their order."""
+        if not text:
+            return []
+        if self.splits is None or not self.splits.search(text):
+            return text.split()
+        return [w for k, part in enumerate(self.splits.split(text)) for w in ([part] if k % 2 else part.split())]
 
     def __call__(self, batch: list[bytes | None]) -> list[bytes]:
-        words = [t.split() if t else [] for t in batch]
-        if len(self.known) > self.most:
+        words = [self.parts(t) for t in batch]
+        if self.held > self.most:
             self.known.clear()
             self.units.clear()
+            self.held = 0
         for word in set().union(*words) - self.known.keys():
-            self.known[word] = self.word(word)
-        return [b"".join(map(self.known.__getitem__, w)) + b"\0\0\0\0" for w in words]
+            ids = self.known[word] = self.own.get(word) or self.word(word)
+            self.held += len(word) + len(ids) + ENTRY
+        out = [b"".join(map(self.known.__getitem__, w)) + b"\0\0\0\0" for w in words]
+        for word in {w for some in words for w in some if len(w) > LONG}:
+            self.held -= len(word) + len(self.known.pop(word)) + ENTRY
+        return out
 
     def word(self, word: bytes) -> bytes:
         text = word.lower().decode() if word.isascii() else self.tokenizer.normalizer.normalize_str(word.decode())
@@ -76,9 +91,12 @@ class Encoder:
         return b"".join([self.units.get(u) or self.unit(u) for u in UNITS.findall(text)])
 
     def unit(self, unit: str) -> bytes:
-        letters = unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.letters)
+        letters = unit if unit.isascii() and unit.isprintable() else unit.encode().decode("latin-1").translate(self.letters)
         ids = [t.id for t in self.model.tokenize(letters)]
-        got = self.units[unit] = struct.pack(f"<{len(ids)}I", *ids)
+        got = struct.pack(f"<{len(ids)}I", *ids)
+        if len(unit) <= LONG:
+            self.units[unit] = got
+            self.held += len(unit) + len(got) + ENTRY
         return got
 
 
@@ -86,20 +104,20 @@ def pieces(docs: DataFrame, tokenizer: str, tokens: int = TOKENS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document; null text counts as empty."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         encode = Encoder(tokenizer)
-        for b in batches:
-            all_texts, all_rows = texts(b.column("text")), ([], [], [], [], [])
-            for first in range(0, len(all_texts), TOGETHER):
-                for i, ids in enumerate(encode(all_texts[first : first + TOGETHER]), first):
-                    for piece, start in enumerate(range(0, len(ids) // 4, tokens)):
-                        cut = ids[4 * start : 4 * (start + tokens)]
-                        for to, x in zip(all_rows, (i, piece, start, len(cut) // 4, zlib.crc32(cut)), strict=True):
-                            to.append(x)
-            at, piece, start, length, crc = all_rows
+        for b in sliced(batches, TOGETHER, TEXT_BYTES):
+            rows: tuple[list, ...] = ([], [], [], [], [])
+            for i, ids in enumerate(encode(texts(b.column("text")))):
+                for piece, start in enumerate(range(0, len(ids) // 4, tokens)):
+                    cut = ids[4 * start : 4 * (start + tokens)]
+                    for to, x in zip(rows, (i, piece, start, len(cut) // 4, zlib.crc32(cut)), strict=True):
+                        to.append(x)
+            at, piece, start, length, crc = rows
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
@@ -182,29 +200,30 @@ def emptied(lengths: np.ndarray, bins: np.ndarray, size: int) -> np.ndarray:
 def pack(docs: DataFrame, tokenizer: str | None = None, tokens: int = TOKENS, group: int = GROUP) -> DataFrame:
     """Every document's pieces with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Full pieces are sequences of their own. The others are counted and dealt by hash to as few groups of about
-    `group` pieces as hold them, so a group never grows with the input; each wastes less than a sequence or two.
-    Null text is packed as an empty document (id 0 alone), null and repeated doc_ids like any others; empty docs give
-    no rows. Other columns are not read.
+    Full pieces are sequences of their own. The others are counted and dealt to as few groups of about `group` pieces as
+    hold them, by a hash of each row's place in the written table (equal rows part too), so a group never grows with the
+    input; each wastes less than a sequence or two. Null text is packed as an empty document (id 0 alone), null and
+    repeated doc_ids like any others; empty docs give no rows. Other columns are not read.
     """
     made = saved(pieces(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), tokens), "pieces")
     rest = made.where(F.col("length") < tokens)
     groups = max(1, -(-rest.count() // group))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = [*made.columns, "sequence_id", "offset"]
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        number = int(pdf["part"].iloc[0])
-        pdf = pdf.sort_values(["length", "ids_crc32", "doc_id", "piece"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
-        lengths = pdf["length"].to_numpy()
+    def place(table: pa.Table) -> pa.Table:
+        number = table.column("part")[0].as_py()
+        table = table.drop_columns("part").sort_by([("length", "descending"), ("ids_crc32", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        lengths = table.column("length").to_numpy()
         bins = emptied(lengths, sum_of_squares(lengths, tokens), tokens)
         order = np.argsort(bins, kind="stable")
         before = np.cumsum(lengths[order]) - lengths[order]
         first = np.r_[True, bins[order][1:] != bins[order][:-1]]
         offset = np.empty(len(bins), np.int64)
         offset[order] = before - np.maximum.accumulate(np.where(first, before, 0))
-        return pdf.drop(columns="part").assign(sequence_id=bins * groups * 2 + number * 2, offset=offset)
+        return pa.table([*table.columns, pa.array(bins * groups * 2 + number * 2), pa.array(offset)], names=names)
 
+    kind = docs.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    dealt = rest.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(7)), F.lit(groups)).cast("int"))
+    dealt = rest.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
     whole = made.where(F.col("length") == tokens).withColumn("sequence_id", F.monotonically_increasing_id() * 2 + 1)
-    return whole.withColumn("offset", F.lit(0).cast("long")).unionByName(dealt.groupBy("part").applyInPandas(place, out))
+    return whole.withColumn("offset", F.lit(0).cast("long")).unionByName(dealt.groupBy("part").applyInArrow(place, out))
