@@ -19,10 +19,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamiz.llm.graph import components
-from tamiz.llm.store import saved
+from tamiz.llm.store import dropped, saved
+from tamiz.llm.words import frees
 
 #: Least cosine; vectors in a block; principal axes used; children of an interval, as a power of two.
-COSINE, BLOCK, AXES, FAN = 0.93, 256, 8, 4
+COSINE, BLOCK, AXES, FAN = 0.93, 256, 16, 4
+#: Neighbouring blocks that travel together, as a power of two at most, and bytes of their vectors as doubles at most.
+TILE, TILE_BYTES = 4, 32_000_000
+#: Tiles of the sequence that one task compares with a tile, as a power of two.
+STRETCH = 6
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by their largest magnitude, as doubles, so that no sum of squares over- or underflows."""
+    x = x.astype(np.float64)
+    return x / np.abs(x).max(axis=-1, keepdims=True)
 
 
 def _valid(vectors: DataFrame, kind: str) -> DataFrame:
@@ -35,8 +46,7 @@ def _valid(vectors: DataFrame, kind: str) -> DataFrame:
                 good = i and label and v.is_valid and len(v.values) and not v.values.null_count
                 if good:
                     x = v.values.to_numpy()
-                    norm = float(np.linalg.norm(x.astype(np.float64)))
-                    good = 0 < norm < math.inf
+                    good = bool(np.isfinite(x).all() and x.any())
                 dims.append(len(x) if good else None)
                 raws.append(x.tobytes() if good else None)
                 keys.append(xxhash.xxh3_128_digest(raws[-1]) if good else None)
@@ -45,8 +55,9 @@ def _valid(vectors: DataFrame, kind: str) -> DataFrame:
     return vectors.mapInArrow(run, f"vec_id long, label {kind}, dim int, key binary, raw binary")
 
 
-def units(raws: list[bytes], kind: type) -> np.ndarray:
-    x = np.frombuffer(b"".join(raws), kind).astype(np.float64).reshape(len(raws), -1)
+def units(raws: list[bytes] | bytes, kind: type, rows: int) -> np.ndarray:
+    """Unit vectors of raw ones."""
+    x = scaled(np.frombuffer(raws if isinstance(raws, bytes) else b"".join(raws), kind).reshape(rows, -1))
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -59,7 +70,8 @@ def _axes(classes: DataFrame, kind: type, axes: int) -> dict[int, np.ndarray]:
             dim = b.column("dim").to_numpy()
             raws = b.column("raw").to_pylist()
             for d in np.unique(dim).tolist():
-                x = units([raws[i] for i in np.flatnonzero(dim == d)], kind)
+                mine = np.flatnonzero(dim == d)
+                x = units([raws[i] for i in mine], kind, len(mine))
                 x = np.c_[x, np.ones(len(x))]
                 total[d] = total.get(d, 0) + x.T @ x
         for d, s in total.items():
@@ -88,7 +100,7 @@ def _blocks(classes: DataFrame, axes: dict[int, np.ndarray], eps: float, kind: t
             at = np.zeros((b.num_rows, most))
             for d in np.unique(dim).tolist():
                 rows = np.flatnonzero(dim == d)
-                got = units([raws[i] for i in rows], kind) @ shared.value[d]
+                got = units([raws[i] for i in rows], kind, len(rows)) @ shared.value[d]
                 at[rows, : got.shape[1]] = got
             cell = np.floor(at / eps).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c) for c in cell.T), *(pa.array(c) for c in at.T)], [*b.schema.names, *cells, *places])
@@ -173,33 +185,38 @@ def joined(links: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
 
 
 def _compare(rows: DataFrame, cosine: float, kind: type) -> DataFrame:
-    """(u, v, links): an edge (u, v) or, with null v, links of u. Rows come sorted by owner, the owner's own block first."""
+    """(u, v, links): an edge (u, v) or, with null v, links of u.
+
+    Rows come sorted by owner tile, its own blocks first (of which one tile is held); each says which of them it meets.
+    """
 
     def read(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids = np.frombuffer(b.column("ids")[i].as_py(), np.int64)
-        x = np.frombuffer(b.column("raws")[i].as_py(), kind).astype(np.float64).reshape(len(ids), -1)
-        return ids, np.frombuffer(b.column("weights")[i].as_py(), np.int64), x / np.linalg.norm(x, axis=1, keepdims=True)
+        return ids, np.frombuffer(b.column("weights")[i].as_py(), np.int64), units(b.column("raws")[i].as_py(), kind, len(ids))
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner = own = None
+        tile, own = None, {}
         for b in batches:
             out_u, out_v, out_n = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
-            for i in range(b.num_rows):
-                key = b.column("owner")[i].as_py()
-                if b.column("own")[i].as_py():
-                    owner, own = key, read(b, i)
-                    continue
-                assert key == owner
-                ids, weights, x = read(b, i) if key != b.column("other")[i].as_py() else own
-                links = own[2] @ x.T >= cosine
-                if ids is own[0]:
-                    np.fill_diagonal(links, False)
-                if not links.any():
+            keys, seqs, met = (b.column(c).to_pylist() for c in ("owner", "seq", "met"))
+            for i, (key, seq, against) in enumerate(zip(keys, seqs, met, strict=True)):
+                if against is None:  # a block of the tile
+                    if key != tile:
+                        tile, own = key, {}
+                    own[seq] = read(b, i)
                     continue
-                u, v = joined(links, own[0], ids)
-                out_u.append(u), out_v.append(v)
-                for who, count in ((own[0], links @ weights), (ids, own[1] @ links))[: 1 if ids is own[0] else 2]:
-                    out_n.append((who[count > 0], count[count > 0]))
+                other = own[seq] if b.column("raws")[i].as_py() is None else read(b, i)
+                for mine in against:
+                    links = own[mine][2] @ other[2].T >= cosine
+                    if own[mine] is other:
+                        np.fill_diagonal(links, False)
+                    if not links.any():
+                        continue
+                    u, v = joined(links, own[mine][0], other[0])
+                    out_u.append(u), out_v.append(v)
+                    for who, count in ((own[mine][0], links @ other[1]), (other[0], own[mine][1] @ links))[: 1 if own[mine] is other else 2]:
+                        out_n.append((who[count > 0], count[count > 0]))
             u, v = np.concatenate(out_u), np.concatenate(out_v)
             who, count = (np.concatenate([np.empty(0, np.int64), *(x[k] for x in out_n)]) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[u, who]), pa.concat_arrays([pa.array(v), pa.nulls(len(who), pa.int64())]), pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(count)])], ["u", "v", "links"])
@@ -213,32 +230,58 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, axes: int = AXES
     Only vectors of equal, non-null label and equal length are compared. A vector that is null, empty or zero, or
     holds null or non-finite numbers, links with nothing, and so does a row without vec_id (its component is null and
     it isn't kept). Equal vectors are one class that is compared once; its rows count as linked with one another.
-    Rows that repeat a vec_id count as vectors of their own. Other columns are not read. Empty input gives no rows.
+    Rows that repeat a vec_id count as vectors of their own. Numbers other than floats are compared as doubles; other
+    columns are not read. Empty input gives no rows.
+
+    Blocks of which a pair may hold links are compared in tiles of neighbouring blocks: a block travels once to each tile
+    that it meets, and a task holds one tile and one block.
     """
+    if vectors.schema["embedding"].dataType.elementType.simpleString() != "float":
+        vectors = vectors.withColumn("embedding", F.col("embedding").cast("array<double>"))
     kind = np.float64 if vectors.schema["embedding"].dataType.elementType.simpleString() == "double" else np.float32
     name = vectors.schema["label"].dataType.simpleString()
     eps = math.sqrt(2 - 2 * cosine)
     base = saved(_valid(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding"), name), "vectors")
+    alone = base.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     classes = saved(base.where("key is not null").groupBy("label", "dim", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("raw").alias("raw")), "classes")
     found = _axes(classes, kind, axes)
     if not found:
-        return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    blocks = saved(_blocks(classes, found, eps, kind, name), "blocks")
-    most = blocks.agg(F.max("n")).first()[0]
-    blocks = blocks.withColumn("seq", F.col("part").cast("long") * (1 << (most + 1).bit_length()) + F.col("n"))
-    pairs = _pairs(blocks, eps)
-    # either block of a pair can do the work; its sum's parity says which, so that no block does more than its share
-    turn = F.pmod(F.col("a") + F.col("b"), F.lit(2)) == 0
-    work = pairs.select("label", "dim", F.when(turn, F.col("a")).otherwise(F.col("b")).alias("owner"), F.when(turn, F.col("b")).otherwise(F.col("a")).alias("other"))
-    data = blocks.select("label", "dim", F.col("seq").alias("other"), "ids", "weights", "raws")
-    blank = F.lit(None).cast("binary")
-    partner = work.join(data, ["label", "dim", "other"]).withColumn("own", F.lit(False)).withColumn("raws", F.when(F.col("owner") == F.col("other"), blank).otherwise(F.col("raws")))
-    rows = data.withColumn("owner", F.col("other")).withColumn("own", F.lit(True)).unionByName(partner)
-    # label and dim are part of the key: a number can stand for two blocks only where their labels differ
-    rows = rows.repartition("label", "dim", "owner").sortWithinPartitions("label", "dim", "owner", F.desc("own"))
-    out = saved(_compare(rows.select("owner", "other", "own", "ids", "weights", "raws"), cosine, kind), "links")
+        return alone
+    cut = saved(_blocks(classes, found, eps, kind, name), "blocks")
+    most = cut.agg(F.max("n")).first()[0]
+    blocks = cut.withColumn("seq", F.col("part").cast("long") * (1 << (most + 1).bit_length()) + F.col("n"))
+    out = saved(_compare(_tiles(blocks, _pairs(blocks, eps), tile_shift(max(len(a) for a in found.values()))), cosine, kind), "links")
     linked = components(out.where("v is not null").select("u", "v"))
     degree = out.where("v is null").groupBy("u").agg(F.sum("links").alias("links"))
     per_class = classes.join(degree, classes["rep"] == degree["u"], "left").join(linked, classes["rep"] == linked["node"], "left")
-    per_class = per_class.select("label", "key", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    return base.join(per_class, ["label", "key"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(False)).alias("kept"))
+    # written, so that Spark can split the rows of a vector that many ids have over several tasks
+    per_class = saved(per_class.select("label", "key", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "per_class")
+    for used in (classes, cut, out):
+        dropped(used)
+    linked = base.where("key is not null").join(per_class, ["label", "key"]).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    return linked.unionByName(alone)
+
+
+def tile_shift(dim: int) -> int:
+    """Neighbouring blocks in a tile, as a power of two."""
+    return max(0, min(TILE, int(math.log2(max(1, TILE_BYTES // (BLOCK * 8 * dim))))))
+
+
+def _tiles(blocks: DataFrame, pairs: DataFrame, shift: int) -> DataFrame:
+    """(owner, seq, met, ids, weights, raws), sorted by owner, a tile with a stretch of the sequence that it meets: the
+    tile's blocks first (met is null), then each block that meets some of them, with their numbers; a block that meets its
+    own tile comes without data."""
+    tile = lambda c: F.shiftright(F.col(c), shift)
+    # either tile of a pair can do the work; its sum's parity says which, so that no tile does more than its share
+    turn = F.pmod(tile("a") + tile("b"), F.lit(2)) == 0
+    mine, other = F.when(turn, F.col("a")).otherwise(F.col("b")), F.when(turn, F.col("b")).otherwise(F.col("a"))
+    work = pairs.select("label", "dim", mine.alias("mine"), other.alias("seq")).withColumns({"tile": tile("mine"), "stretch": F.shiftright("seq", shift + STRETCH)})
+    work = work.groupBy("label", "dim", "tile", "stretch", "seq").agg(F.collect_list("mine").alias("met"))
+    data = blocks.select("label", "dim", "seq", "ids", "weights", "raws")
+    partner = work.join(data, ["label", "dim", "seq"]).withColumns({c: F.when(tile("seq") != F.col("tile"), F.col(c)) for c in ("ids", "weights", "raws")})
+    keys = work.select("label", "dim", "tile", "stretch").distinct()
+    own = data.withColumn("tile", tile("seq")).join(keys, ["label", "dim", "tile"]).withColumn("met", F.lit(None).cast("array<long>"))
+    # label and dim are part of the key: a number can stand for two tiles only where their labels differ
+    key = ["label", "dim", "tile", "stretch"]
+    rows = own.unionByName(partner).repartition(*key).sortWithinPartitions(*key, F.col("met").isNotNull(), "seq")
+    return rows.select(F.struct(*key).alias("owner"), "seq", "met", "ids", "weights", "raws")
