@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tamiz.llm.graph import components
 from tamiz.llm.store import dropped, saved, small
-from tamiz.llm.words import LOWER, Hashes, mixed, sliced, texts, windows
+from tamiz.llm.words import LOWER, Hashes, frees, mixed, sliced, texts, windows
 
 #: Words in a shingle; least Jaccard similarity in hundredths.
 SHINGLE, PERCENT = 5, 75
@@ -68,6 +68,7 @@ def _read(docs: DataFrame, parts: int, k: int, percent: int) -> DataFrame:
     and the others are counted here. So a shingle of a third of all documents weighs no more than two in a batch.
     """
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for number, b in enumerate(sliced(batches)):
@@ -148,6 +149,7 @@ def _summed(table: pa.Table) -> pa.Table:
 def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, n, p, tokens): whole sets by rising hash, and how many of them are the prefix."""
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for b in sliced(batches):
@@ -183,6 +185,7 @@ def most_overlap(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
 def _signatures(sets: DataFrame, widened: bool) -> DataFrame:
     """(doc_id, n, signature), of BITS bits or of as many as the set needs."""
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             all_ = [t.values.to_numpy().view(np.uint64) for t in b.column("tokens")]
@@ -263,6 +266,7 @@ def _search(rows: DataFrame, percent: int) -> DataFrame:
 
     names = ["low", "high", "block", "n", "component"]
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(table: pa.Table) -> pa.RecordBatch:
             token, cols = table.column("token").to_numpy(), [table.column(c).to_numpy() for c in names]
@@ -293,6 +297,7 @@ def _search(rows: DataFrame, percent: int) -> DataFrame:
 def _compared(pairs: DataFrame, sets: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose whole sets are linked; those that wide signatures exclude don't fetch their sets."""
 
+    @frees
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_u, n_v, s_u, s_v = (b.column(c).to_pylist() for c in ("n_u", "n_v", "signature_u", "signature_v"))
@@ -315,7 +320,8 @@ def _blocks(count: Column) -> Column:
 def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of docs.
 
-    Null and empty texts have no shingles and no link; their component is their own doc_id. Equal sets are linked.
+    Null and empty texts have no shingles and no link; their component is their own doc_id. Equal sets are linked. A
+    doc_id that isn't a whole number is read as one (cast to long), null where that can't be.
     Repeated rows and rows that share a doc_id are one document to the links; a null doc_id gets the component of an
     equal set, if any, and links nothing. Other columns are not read; empty docs give no rows.
     """
@@ -337,8 +343,10 @@ def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     one = _sets(mine.join(repeated, "doc_id", "left_anti"), k, percent).where("n > 0")
     sets = saved(one.unionByName(several).withColumn("own", F.xxhash64("doc_id", "tokens")), "sets")
 
+    # what is known of each token is written before it is joined, so that Spark can split the rows of a token that many hold
     first = sets.select("doc_id", F.explode(F.expr(f"slice(tokens, 1, least(p, {PIVOTS}))")).alias("token"))
-    pivots = first.join(first.groupBy("token").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("top")).where("u < top"), "token")
+    tops = saved(first.groupBy("token").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("top")).where("u < top").select("token", "u"), "tops")
+    pivots = first.join(tops, "token")
     pairs = pivots.where("u <> doc_id").select("u", F.col("doc_id").alias("v")).distinct()
     signatures = saved(_signatures(sets, True), "signatures")
     near = saved(_compared(pairs, sets, signatures, percent), "near")
@@ -356,15 +364,16 @@ def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     # tokens that stand for the same documents are searched once
     who = F.bit_xor(F.xxhash64("doc_id", "own")).alias("h1"), F.bit_xor(F.xxhash64("doc_id", "own", F.lit(1))).alias("h2")
     mixed = entries.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size"), *who).where("c1 < c2")
-    mixed = mixed.groupBy("size", "h1", "h2").agg(F.min("token").alias("token")).select("token", "size")
+    mixed = saved(mixed.groupBy("size", "h1", "h2").agg(F.min("token").alias("token")).select("token", "size"), "mixed")
     left = entries.drop("own").join(mixed, "token").withColumn("blocks", _blocks(F.col("size"))).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "n", "component", "doc_id").join(_signatures(sets, False), ["doc_id", "n"])
     found = _search(left.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high"), percent)
     links = near.unionByName(_compared(found.distinct(), sets, signatures, percent))
     final = saved(components(links), "components")
-    for used in (open_, again, sets, signatures, near, joined, hot):
+    rep = saved(classes.join(final, classes["rep"] == final["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id")), "rep")
+    for used in (open_, again, sets, signatures, tops, near, joined, hot, mixed, classes, final):
         dropped(used)
-
-    rep = classes.join(final, classes["rep"] == final["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id"))
-    return meta.join(rep, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = meta.where("key is not null").join(rep, "key").select("doc_id", "n", "component_id")
+    alone = meta.where("key is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
