@@ -8,7 +8,7 @@ Where the shift is zero, the last block selects a bucket of patterns, and direct
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.llm.words import texts
+from tamiz.llm.store import dropped, saved
+from tamiz.llm.words import frees, sliced, texts
 
 #: Words in a window of a test item.
 WINDOW = 10
-#: Most bytes of test items in one set of tables; more items are searched in several passes over the documents.
-TABLE_BYTES = 32_000_000
+#: Most bytes of test items in one set of tables, which take about six times as much; more items are searched in several
+#: passes over the documents.
+TABLE_BYTES = 16_000_000
 #: A-Z in lower case; 0-9, a-z and all but ASCII are parts of words, all else splits them.
 FOLD = bytes(c if c in b"0123456789abcdefghijklmnopqrstuvwxyz" or c >= 128 else c + 32 if c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" else 32 for c in range(256))
 NO_ITEMS = hashlib.sha256(b"").hexdigest()
@@ -31,50 +33,83 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(FOLD).split() if text else []
 
 
-class Tables:
-    """Shift table and suffix buckets for the patterns of one length."""
+def _slot(a: bytes, b: bytes) -> int:
+    return hash(a) * 1000003 ^ hash(b)
+
 
-    def __init__(self, m: int):
-        self.m, self.shift, self.bucket = m, {}, defaultdict(lambda: defaultdict(list))
+class Tables:
+    """Shift table and suffix buckets for the patterns of one length: the windows of m words of (number, words) items.
 
-    def add(self, pattern: tuple[bytes, ...], item: int) -> None:
-        m = self.m
-        for end in range(1, m):
-            block = (pattern[end - 1], pattern[end])
-            self.shift[block] = min(self.shift.get(block, m), m - 1 - end)
-        self.bucket[pattern[-2:]][pattern].append(item)
+    Blocks share places of the shift table by hash, which can only make a shift smaller. A pattern lies in the bucket of
+    its last two and its first two words, as the item and the word it starts at.
+    """
 
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, list[int]]]:
+    def __init__(self, m: int, items: list[tuple[int, list[bytes]]]):
+        self.m, self.numbers, self.words = m, [n for n, _ in items], [w for _, w in items]
+        size = 1 << max(12, sum(map(len, self.words)).bit_length() + 2)
+        self.mask, self.shift = size - 1, bytearray([m - 1]) * size
+        key, item, at = array("I"), array("I"), array("I")
+        self.buckets = size // 8 - 1
+        for number, words in enumerate(self.words):
+            for j in range(1, len(words)):
+                place = _slot(words[j - 1], words[j]) & self.mask
+                self.shift[place] = min(self.shift[place], max(m - 1 - j, 0))
+            for start in range(len(words) - m + 1):
+                key.append(self._bucket(words, start))
+                item.append(number)
+                at.append(start)
+        order = np.argsort(np.array(key), kind="stable")
+        self.item, self.at = (array("I", np.array(x, np.uint32)[order].tobytes()) for x in (item, at))
+        self.first = array("I", np.searchsorted(np.array(key, np.uint32)[order], np.arange(self.buckets + 2)).astype(np.uint32).tobytes())
+
+    def _bucket(self, words: list[bytes], start: int) -> int:
+        last = start + self.m - 1
+        return (_slot(words[last - (self.m > 1)], words[last]) * 31 ^ _slot(words[start], words[start + (self.m > 1)])) & self.buckets
+
+    def search(self, words: list[bytes]) -> Iterator[tuple[int, set[int]]]:
         """(start, items) of every occurrence."""
-        m, n, bucket = self.m, len(words), self.bucket
-        if m == 1:
-            for at, word in enumerate(words):
-                if (word,) in bucket:
-                    yield at, bucket[word,][word,]
-            return
-        shift, most, at = self.shift.get, m - 1, m - 1
+        m, n, shift, mask, first = self.m, len(words), self.shift, self.mask, self.first
+        at = m - 1
         while at < n:
-            step = shift((words[at - 1], words[at]), most)
+            step = shift[(hash(words[at - 1]) * 1000003 ^ hash(words[at])) & mask] if m > 1 else 0
             if step:
                 at += step
                 continue
             start = at - m + 1
-            here = tuple(words[start : at + 1])
-            if items := bucket[here[-2:]].get(here):
-                yield start, items
+            k = self._bucket(words, start)
+            if first[k] < first[k + 1]:
+                here = words[start : at + 1]
+                found = {self.numbers[i] for i, s in zip(self.item[first[k] : first[k + 1]], self.at[first[k] : first[k + 1]], strict=True) if self.words[i][s : s + m] == here}
+                if found:
+                    yield start, found
             at += 1
 
 
 def tables(items: list[bytes | None], window: int = WINDOW) -> list[Tables]:
-    made: dict[int, Tables] = {}
+    """Tables of each pattern length; equal words are one object in them."""
+    made: dict[int, list[tuple[int, list[bytes]]]] = {}
+    known: dict[bytes, bytes] = {}
     for number, text in enumerate(items):
-        words = words_of(text)
-        m = min(window, len(words))
-        if m:
-            found = made.setdefault(m, Tables(m))
-            for pattern in {tuple(words[i : i + m]) for i in range(len(words) - m + 1)}:
-                found.add(pattern, number)
-    return list(made.values())
+        words = [known.setdefault(w, w) for w in words_of(text)]
+        if words:
+            made.setdefault(min(window, len(words)), []).append((number, words))
+    return [Tables(m, found) for m, found in made.items()]
+
+
+class Search:
+    """Test items as they travel to the executors: texts, and the ids of those that have one; a Python worker makes their
+    tables once."""
+
+    def __init__(self, rows: list[tuple[str | None, str]], window: int):
+        self.window, self.ids = window, {}
+        for item, text in rows:
+            self.ids.setdefault(text, set()).update({str(item)} if item is not None else ())
+        self.made: list[Tables] | None = None
+
+    def tables(self) -> tuple[list[Tables], list[set[str]]]:
+        if self.made is None:
+            self.made = tables([t.encode() for t in self.ids], self.window)
+        return self.made, list(self.ids.values())
 
 
 def hits(words: list[bytes], made: list[Tables], mask: np.ndarray | None = None) -> tuple[np.ndarray | None, set[int]]:
@@ -92,39 +127,45 @@ def hits(words: list[bytes], made: list[Tables], mask: np.ndarray | None = None)
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated), one row for each row of docs.
 
-    A narrow scan: every document is searched whole where it is read; nothing is shuffled. The tables of the test
-    items go to the executors as a broadcast of about table_bytes of text; a larger benchmark is searched in parts,
-    one after the other, and the hits add up. Null or empty text: no words, nothing hit. A null item text holds no
+    A narrow scan: every document is searched whole where it is read; nothing is shuffled. The test items go to the
+    executors as a broadcast of about table_bytes of text; a larger benchmark is searched in parts, one after the other,
+    and the hits add up in a written table. Null or empty text: no words, nothing hit. A null item text holds no
     window. Items without an id mark words but are not listed. Repeated items count once by id. Other columns are
     not read. An empty benchmark hits nothing; empty docs give no rows.
     """
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    items = benchmark.where("text is not null").select("item_id", "text").distinct()
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-size // table_bytes))
     kind = docs.schema["doc_id"].dataType.simpleString()
     at = docs.select("doc_id", "text")
     for part in range(parts):
-        mine = benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part)
-        at = _pass(at, [(r[0], r[1]) for r in mine.collect()], window, part == 0, part == parts - 1, kind)
+        mine = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part)
+        last = part == parts - 1
+        found = _pass(at, Search([(r[0], r[1]) for r in mine.collect()], window), part == 0, last, kind)
+        found = found if last else saved(found, "hits")
+        if 0 < part < parts - 1:
+            dropped(at)
+        at = found
     return at
 
 
-def _pass(docs: DataFrame, items: list[tuple], window: int, first: bool, last: bool, kind: str) -> DataFrame:
+def _pass(docs: DataFrame, items: Search, first: bool, last: bool, kind: str) -> DataFrame:
     """One set of tables over the documents; between passes the hits travel in columns `mask` and `names`."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
     end = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = tables([None if t is None else t.encode() for _, t in shared.value], window)
-        ids = [None if i is None else str(i) for i, _ in shared.value]
-        for b in batches:
+        made, ids = shared.value.tables()
+        for b in sliced(batches):
             masks, names, rows = [], [], []
             before = [None] * b.num_rows if first else b.column("mask").to_pylist()
             had = [None] * b.num_rows if first else b.column("names").to_pylist()
             for text, old, known in zip(texts(b.column("text")), before, had, strict=True):
                 words = words_of(text)
                 mask, found = hits(words, made, None if old is None else np.frombuffer(old, bool).copy())
-                all_names = sorted({ids[i] for i in found}.union(known or ()) - {None})
+                all_names = sorted(set(known or ()).union(*(ids[i] for i in found)))
                 if last:
                     n_hit = 0 if mask is None else int(mask.sum())
                     rows.append((len(words), n_hit, len(all_names), hashlib.sha256(",".join(all_names).encode()).hexdigest() if all_names else NO_ITEMS, n_hit > 0))
