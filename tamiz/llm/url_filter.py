@@ -13,8 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamiz.llm.store import small
+from tamiz.llm.store import saved, small
 
+#: Tokens of rules that are broadcast at most (rows of a few hundred bytes); a larger index is joined by a shuffle.
+INDEX_ROWS = 200_000
 #: Runs of these are tokens of a URL or a rule.
 TOKEN = r"[^a-z0-9\x{80}-\x{10ffff}]+"
 #: A rule with no literal token is fetched by this one, which every URL has.
@@ -67,7 +69,9 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     The longest rule that fits gives rule and verdict; of equally long ones the first listed. Where none fits, rule
     is null and the verdict is block if a pattern rule fits, else allow. A null url, or one without `://`, has an
     empty host and path, is fitted by no rule, and is allowed. Rows that repeat a url are judged once and joined
-    back; null and repeated page_ids are kept. Other columns are not read. No pages give no rows, no rules allow all.
+    back, but for those without host and path; null and repeated page_ids are kept. Other columns are not read. No pages
+    give no rows, no rules allow all. What was judged is written to the shared folder, so that Spark can split the rows of
+    a url that many pages have over several tasks.
     """
     rest = "case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end"
     split = pages.select("page_id", "url").withColumn("rest", F.expr(f"coalesce({rest}, '')"))
@@ -75,15 +79,18 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     split = split.select("page_id", "url", "host", "path")
     urls = split.where("host <> '' or path <> ''").select("host", "path").distinct()
     tokens = urls.withColumn("token", F.explode(F.array_union(F.array_distinct(F.filter(F.split(F.lower(F.concat_ws("/", "host", "path")), TOKEN), lambda t: t != "")), F.array(F.lit(ANY)))))
-    n_rules = rules.count()
     wanted = rules.select("rule_id", F.explode("literals").alias("token"))
-    seen = tokens.join(small(wanted.select("token").distinct(), n_rules), "token", "left_semi").groupBy("token").agg(F.count("*").alias("urls"))
+    n_tokens = wanted.count()
+    seen = tokens.join(small(wanted.select("token").distinct(), n_tokens, INDEX_ROWS), "token", "left_semi").groupBy("token").agg(F.count("*").alias("urls"))
     index = wanted.join(seen, "token", "left").groupBy("rule_id").agg(F.min_by("token", F.struct(F.coalesce("urls", F.lit(0)), "token")).alias("token")).join(rules, "rule_id")
-    found = tokens.join(small(index, n_rules), "token").where(F.expr("concat(host, path) rlike regex"))
+    found = tokens.join(small(index, n_tokens, INDEX_ROWS), "token").where(F.expr("concat(host, path) rlike regex"))
     order = F.struct("size", -F.col("rule_id"))
     best = found.groupBy("host", "path").agg(
         F.max_by(F.when(F.col("listed"), F.struct("rule", "verdict")), F.when(F.col("listed"), order)).alias("best"),
         F.max(~F.col("listed") & (F.col("verdict") == "block")).alias("blocked"),
     )
     verdict = F.coalesce(F.col("best.verdict"), F.when(F.col("blocked"), F.lit("block")).otherwise(F.lit("allow")))
-    return split.join(best, ["host", "path"], "left").select("page_id", "url", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
+    judged = saved(best.select("host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict")), "judged")
+    joined = split.where("host <> '' or path <> ''").join(judged, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
+    none = split.where("host = '' and path = ''").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")})
+    return joined.select("page_id", "url", "host", "path", "rule", "verdict").unionByName(none)
