@@ -12,16 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamiz.llm.labelled import remainder
-from tamiz.llm.words import mixed, stretches
+from tamiz.llm.words import ENTRY, REMEMBERED, frees, mixed, sliced, stretches
 
-#: Labelled documents of each language in the sample, words of each that are learned from, hashed features, passes.
-SAMPLE, WORDS, SPACE, PASSES = 300, 120, 1 << 16, 12
-#: Words of documents that are decoded together; words remembered by a task; no letter: no language.
-CELLS, REMEMBERED, UNKNOWN = 400_000, 600_000, "und"
+#: Languages that are learned (those with most documents); labelled documents of each in the sample, words of each that
+#: are learned from, in so many stretches of its text; hashed features, passes.
+LANGS, SAMPLE, WORDS, STRETCHES, SPACE, PASSES = 100, 300, 120, 4, 1 << 16, 12
+#: Numbers of the chains that are decoded together; no letter: no language.
+CELLS, UNKNOWN = 400_000, "und"
 _EDGES = " \t\n\r.,;:!?¡¿\"'()[]{}*#$%&|<>=+-_/\\0123456789"
 
 
@@ -31,6 +32,15 @@ def bare(word: str) -> str:
     return w if w.isalpha() or any(map(str.isalpha, w)) else ""
 
 
+def lettered_words(words: list[str], most: int) -> list[str]:
+    """Up to `most` of the words, bare, in stretches spread over them."""
+    found = [x for x in map(bare, words) if x]
+    each = most // STRETCHES
+    if len(found) <= most:
+        return found
+    return [w for k in range(STRETCHES) for w in found[k * (len(found) - each) // (STRETCHES - 1) :][:each]]
+
+
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of non-empty words, one word after the other, and how many each has.
 
@@ -135,10 +145,10 @@ class Model:
 
 
 class Decoder:
-    """Scores whole documents; remembers the emissions of words."""
+    """Scores whole documents; remembers the emissions of words, up to `most` bytes of them."""
 
-    def __init__(self, model: Model):
-        self.model, self.known = model, {}
+    def __init__(self, model: Model, most: int = REMEMBERED):
+        self.model, self.known, self.most, self.held = model, {}, most, 0
         self.start, self.transition = np.exp(model.start), np.exp(model.transition)
 
     def __call__(self, texts_: list[str | None]) -> list[tuple[str, float]]:
@@ -151,7 +161,7 @@ class Decoder:
         rows = [[e for e in map(self.known.__getitem__, w) if e is not None] for w in words]
         order = sorted((i for i, r in enumerate(rows) if r), key=lambda i: -len(rows[i]))
         while order:
-            some = max(1, CELLS // len(rows[order[0]]))
+            some = max(1, CELLS // (len(rows[order[0]]) * len(self.model.langs)))
             block, order = order[:some], order[some:]
             lengths = np.array([len(rows[i]) for i in block])
             e = np.ones((len(block), lengths[0], len(self.model.langs)))
@@ -165,43 +175,51 @@ class Decoder:
         return out
 
     def _learn(self, words: list[list[str]]) -> None:
-        if len(self.known) > REMEMBERED:
+        if self.held > self.most:
             self.known.clear()
+            self.held = 0
         stems: dict[str, list[str]] = {}
         for w in set().union(*words) - self.known.keys():
             stems.setdefault(bare(w), []).append(w)
+            self.held += len(w) + ENTRY
         for w in stems.pop("", ()):
             self.known[w] = None
         e = self.model.emissions(*features(list(stems)))
         e = np.exp(e - e.max(1, keepdims=True)) if len(e) else e
         for same, x in zip(stems.values(), e, strict=True):
             self.known.update(dict.fromkeys(same, x.tobytes()))
+        self.held += e.size * 8
+
+
+def spread(words: Column, most: int, stretches_: int = STRETCHES) -> Column:
+    """At most so many of an array's words, in stretches spread evenly over it from its start to its end."""
+    each = most // stretches_
+    cut = F.transform(F.sequence(F.lit(0), F.lit(stretches_ - 1)), lambda k: F.slice(words, (F.lit(1) + F.floor(k * (F.size(words) - each) / (stretches_ - 1))).cast("int"), F.lit(each)))
+    return F.when(F.size(words) <= most, words).otherwise(F.flatten(cut))
 
 
-def fit(docs: DataFrame, rows: int = SAMPLE, words: int = WORDS) -> Model:
-    """Learns from at most `rows` documents of each language, drawn by hash outside the held-out third."""
+def fit(docs: DataFrame, rows: int = SAMPLE, words: int = WORDS, langs: int = LANGS) -> Model:
+    """Learns from at most `rows` documents of each of the `langs` most frequent languages, drawn by hash outside the
+    held-out third; of each, `words` words with a letter from stretches spread over its whole text."""
     usable = docs.where("lang is not null and text is not null").where(remainder(F.col("doc_id"), 3) != 1)
-    langs = [r[0] for r in usable.groupBy("lang").count().orderBy("lang").collect()]
-    model = Model(langs)
-    # ids are drawn first, so that no task sends more than `rows` of them; one scan then fetches the words
-    draw = F.xxhash64(F.col("doc_id"), F.lit(3))
-    ids = None
-    for x in langs:
-        mine = usable.where(F.col("lang") == x).select("doc_id").distinct().orderBy(draw, "doc_id").limit(rows)
-        ids = mine if ids is None else ids.union(mine)
-    first = F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, 4 * words)
-    found = usable.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("doc_id", "lang", first.alias("w")).dropDuplicates(["doc_id", "lang"]).collect() if langs else []
+    counted = usable.groupBy("lang").count()
+    model = Model(sorted(r[0] for r in counted.orderBy(F.desc("count"), "lang").limit(langs).collect()))
+    # ids are drawn first, each task passing on `rows` of a language; one scan then fetches the words
+    draw = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id"), F.lit(3)), "doc_id")
+    ids = usable.select("doc_id", "lang").withColumn("at", F.dense_rank().over(draw)).where(F.col("at") <= rows).where(F.col("lang").isin(model.langs)).select("doc_id", "lang").distinct()
+    lettered = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w.rlike(r"\p{L}"))
+    found = usable.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "lang", spread(lettered, 2 * words).alias("w")).collect() if model.langs else []
     found.sort(key=lambda r: r["doc_id"])
-    taken = [[r for r in found if r["lang"] == x] for x in langs]
+    taken = [[r for r in found if r["lang"] == x] for x in model.langs]
     texts_: list[tuple[list[str], list[int]]] = []
     for k, found in enumerate(taken):
         for i, r in enumerate(found):
-            own = [x for x in map(bare, r["w"]) if x][:words]
+            own = lettered_words(r["w"], words)
             texts_.append((own, [k] * len(own)))
             if len(taken) > 1 and i % 4 == 0:  # code-switched: half of this text, then half of one in another language
                 other = (k + 1 + (i // 4) % (len(taken) - 1)) % len(taken)
                 if taken[other]:
-                    more = [x for x in map(bare, taken[other][i % len(taken[other])]["w"]) if x][: words // 2]
+                    more = lettered_words(taken[other][i % len(taken[other])]["w"], words // 2)
                     half = own[: words // 2]
                     texts_.append((half + more, [k] * len(half) + [other] * len(more)))
     if texts_ and any(x[0] for x in texts_):
@@ -219,12 +237,11 @@ def identify(docs: DataFrame, fit_on: DataFrame | None = None) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(fit(docs if fit_on is None else fit_on))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = Decoder(model.value)
-        for b in batches:
-            text, found = b.column("text"), []
-            for first in range(0, b.num_rows, 1000):
-                found += decode(text.slice(first, 1000).to_pylist())
+        for b in sliced(batches, 1000):
+            found = decode(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")

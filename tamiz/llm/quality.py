@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamiz.llm.labelled import base_rate, held_out, label_rate, logistic, probability, sample
-from tamiz.llm.words import texts
+from tamiz.llm.words import frees, sliced, texts
 
 #: Labelled rows of each label in the sample; bytes of a dictionary, of a block; zstd level; score for a predicted 1.
 SAMPLE, DICTIONARY, BLOCK, LEVEL, THRESHOLD = 2000, 112_000, 256, 3, 0.3
+#: Bytes of blocks that a dictionary is trained on, as a multiple of its size.
+TIMES = 100
 
 
 class Sizes:
@@ -43,9 +45,11 @@ class Sizes:
         return float((bad.sum() - good.sum()) / (bad.sum() + good.sum())), float(full.min())
 
 
-def dictionary(samples: list[bytes], size: int = DICTIONARY) -> bytes:
-    """A zstd dictionary trained on blocks of the texts; of few texts, their last bytes."""
-    blocks = [t[i : i + BLOCK] for t in samples for i in range(0, len(t), BLOCK)][: 100 * size // BLOCK]
+def dictionary(samples: list[bytes], size: int = DICTIONARY, times: int = TIMES) -> bytes:
+    """A zstd dictionary trained on blocks of the texts, evenly drawn from all of them so that they come to at most
+    `times` its size; of few texts, their last bytes."""
+    blocks = [t[i : i + BLOCK] for t in samples for i in range(0, len(t), BLOCK)]
+    blocks = blocks[:: max(1, -(-len(blocks) * BLOCK // (times * size)))]
     try:
         return zstandard.train_dictionary(size, blocks, level=LEVEL, threads=0).as_bytes()
     except zstandard.ZstdError:
@@ -64,7 +68,7 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int = SAMPLE) -> Model:
-    """Dictionaries from one half of a bounded sample of labelled rows, the calibration from the other half."""
+    """Dictionaries from one half of a bounded sample of labelled rows (whole texts), the calibration from the other half."""
     drawn = sample(docs, labels, target, rows, seed=1)
     y = [label for _, _, label in drawn]
     if len(set(y)) < 2 or min(sum(y), len(y) - sum(y)) < 4:
@@ -88,9 +92,10 @@ def score(docs: DataFrame, labels: DataFrame, target: str = "quality", threshold
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, target))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.value.scorer()
-        for b in batches:
+        for b in sliced(batches):
             scores = [of(t) for t in texts(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], ["doc_id", "score", "predicted"])
 

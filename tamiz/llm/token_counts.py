@@ -16,7 +16,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tamiz.llm.words import texts
+from tamiz.llm.words import frees, sliced, texts
 
 
 def encoding(path: str):
@@ -55,9 +55,10 @@ def count(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.tiktoken")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, sizes = encoding(path)
-        for b in batches:
+        for b in sliced(batches):
             cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for i, text in enumerate(texts(b.column("text"))):
                 text = text or b""
