@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.llm.store import dropped, saved
+from tamiz.llm.store import dropped, lean, saved
 from tamiz.llm.words import frees, sliced, texts
 
 #: Words in a window of a test item.
@@ -133,6 +133,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     window. Items without an id mark words but are not listed. Repeated items count once by id. Other columns are
     not read. An empty benchmark hits nothing; empty docs give no rows.
     """
+    lean(docs)
     items = benchmark.where("text is not null").select("item_id", "text").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-size // table_bytes))

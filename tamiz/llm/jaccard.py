@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamiz.llm.graph import components
-from tamiz.llm.store import dropped, saved, small
+from tamiz.llm.store import dropped, lean, saved, small
 from tamiz.llm.words import LOWER, Hashes, frees, mixed, sliced, texts, windows
 
 #: Words in a shingle; least Jaccard similarity in hundredths.
@@ -325,6 +325,7 @@ def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     Repeated rows and rows that share a doc_id are one document to the links; a null doc_id gets the component of an
     equal set, if any, and links nothing. Other columns are not read; empty docs give no rows.
     """
+    lean(docs)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-size // PART_BYTES))
     read = saved(_read(docs, parts, k, percent), "shingles")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamiz.llm.labelled import remainder
+from tamiz.llm.store import lean
 from tamiz.llm.words import ENTRY, REMEMBERED, frees, mixed, sliced, stretches
 
 #: Languages that are learned (those with most documents); labelled documents of each in the sample, words of each that
@@ -234,7 +235,7 @@ def identify(docs: DataFrame, fit_on: DataFrame | None = None) -> DataFrame:
     that is null or has no letter gets `und` and 0. Without a labelled document all texts get `und`; with one
     language alone all texts with letters get that. Other columns are not read; empty docs give no rows.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs if fit_on is None else fit_on))
+    model = lean(docs).sparkContext.broadcast(fit(docs if fit_on is None else fit_on))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     @frees

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.llm.store import saved
+from tamiz.llm.store import lean, saved
 from tamiz.llm.words import ENTRY, LONG, REMEMBERED, frees, sliced, texts
 
 #: Tokens in a sequence; pieces in a group that one task packs.
@@ -205,6 +205,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, tokens: int = TOKENS, gr
     input; each wastes less than a sequence or two. Null text is packed as an empty document (id 0 alone), null and
     repeated doc_ids like any others; empty docs give no rows. Other columns are not read.
     """
+    lean(docs)
     made = saved(pieces(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), tokens), "pieces")
     rest = made.where(F.col("length") < tokens)
     groups = max(1, -(-rest.count() // group))

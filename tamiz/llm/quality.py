@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamiz.llm.labelled import base_rate, held_out, label_rate, logistic, probability, sample
+from tamiz.llm.store import lean
 from tamiz.llm.words import frees, sliced, texts
 
 #: Labelled rows of each label in the sample; bytes of a dictionary, of a block; zstd level; score for a predicted 1.
@@ -89,7 +90,7 @@ def score(docs: DataFrame, labels: DataFrame, target: str = "quality", threshold
     Null and empty texts compress alike under both dictionaries (difference 0) and get that score. With fewer than
     four labels of either kind every score is the (shrunk) rate. Other columns are not read; no docs, no rows.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, target))
+    model = lean(docs).sparkContext.broadcast(fit(docs, labels, target))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     @frees

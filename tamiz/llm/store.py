@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of two longs that one broadcast may hold (about 64 MB); larger sides are joined by a shuffle.
 BROADCAST_ROWS = 4_000_000
+#: Bytes of a batch that goes to Python at most, and the setting that says so.
+BATCH_BYTES, BATCH = 4_000_000, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def folder(spark: SparkSession) -> str:
@@ -24,6 +26,15 @@ def folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def lean(df: DataFrame) -> SparkSession:
+    """The session of df, in which Spark hands Python batches of BATCH_BYTES unless it was told otherwise: its own default
+    is 10,000 rows, of whole texts, held by the executor and by its Python worker at once."""
+    spark = df.sparkSession
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+    return spark
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there, so a lost executor costs nothing."""
     spark = df.sparkSession

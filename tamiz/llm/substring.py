@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.llm.store import dropped, saved, small
+from tamiz.llm.store import dropped, lean, saved, small
 from tamiz.llm.words import Hashes, frees, mixed, sliced, stretches, texts, windows
 
 #: Words of a repeat; words of an anchor.
@@ -144,6 +144,7 @@ def _own(docs: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> tuple[DataFrame, DataFrame]:
     """All documents (doc_id, own, n_words, kept_sha256 of all words), and the spans of windows to remove (doc_id, own, spans)."""
+    lean(docs)
     texts_ = _own(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     read = saved(_entries(texts_, window, prefix), "suffixes")
     every = saved(read.select("doc_id", "own", "n_words", "kept_sha256"), "every")

@@ -16,6 +16,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tamiz.llm.store import lean
 from tamiz.llm.words import frees, sliced, texts
 
 
@@ -52,6 +53,7 @@ def count(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     doc_ids are kept as they are; other columns are not read; empty docs give no rows. A narrow scan: nothing is
     shuffled or held but one batch of texts.
     """
+    lean(docs)
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.tiktoken")
     kind = docs.schema["doc_id"].dataType.simpleString()
 

@@ -17,7 +17,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tamiz.llm.decontam import words_of
 from tamiz.llm.labelled import base_rate, held_out, label_rate, logistic, probability, sample
-from tamiz.llm.words import frees, sliced, texts
+from tamiz.llm.store import lean
+from tamiz.llm.words import frees, give_back, sliced, texts
 
 #: Labelled rows of each label in the sample; neighbours; examples in a block; parts of the sample for the calibration.
 SAMPLE, NEIGHBOURS, BLOCK, PARTS, THRESHOLD = 2000, 15, 64, 5, 0.5
@@ -60,10 +61,9 @@ class Index:
         heaviest = [(int(t[w.argmax()]), float(w.max())) if len(t) else (-1, 0.0) for t, w in vectors]
         #: the example that stands at each place
         self.order = np.array(sorted(range(self.size), key=heaviest.__getitem__), np.int64)
-        none = np.empty(0, np.int64)
-        term = np.concatenate([none, *(vectors[i][0] for i in self.order)])
+        term = np.concatenate([np.empty(0, np.int32), *(vectors[i][0] for i in self.order)])
         weight = np.concatenate([np.empty(0), *(vectors[i][1] for i in self.order)])
-        place = np.repeat(np.arange(self.size), [len(vectors[i][0]) for i in self.order])
+        place = np.repeat(np.arange(self.size, dtype=np.int32), [len(vectors[i][0]) for i in self.order])
         common = np.flatnonzero(np.bincount(term, minlength=terms) * COMMON > self.size)
         self.row = np.full(terms, -1, np.int32)
         self.row[common] = np.arange(len(common))
@@ -72,7 +72,7 @@ class Index:
         self.dense[self.row[term[often]], place[often]] = weight[often]
         rare = np.flatnonzero(~often)
         rare = rare[np.argsort(term[rare], kind="stable")]
-        term, self.ids, self.weights = term[rare], place[rare].astype(np.int32), weight[rare]
+        term, self.ids, self.weights = term[rare], place[rare], weight[rare]
         block = self.ids // BLOCK
         # a run is what a list holds in one block
         first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])][: len(term)])
@@ -124,13 +124,12 @@ def weighed(terms: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> Vecto
     """Unit vector of terms that occur so often."""
     raw = (1 + np.log(counts)) * weights[terms]
     terms, raw = terms[raw > 0], raw[raw > 0]
-    return terms.astype(np.int64), raw / math.sqrt((raw * raw).sum() or 1.0)
+    return terms.astype(np.int32), raw / math.sqrt((raw * raw).sum() or 1.0)
 
 
 class Model:
-    def __init__(self, terms: list[bytes], weights: np.ndarray):
-        self.terms = {t: i for i, t in enumerate(terms)}
-        self.weights = weights
+    def __init__(self, terms: dict[bytes, int], weights: np.ndarray):
+        self.terms, self.weights = terms, weights
         self.index = Index([], len(terms))
         self.ids: list[int] = []
         self.y = np.empty(0)
@@ -139,7 +138,7 @@ class Model:
 
     def vector(self, words: list[bytes]) -> Vector:
         known = [t for t in map(self.terms.get, words) if t is not None]
-        return weighed(*np.unique(np.array(known, np.int64), return_counts=True), self.weights)
+        return weighed(*np.unique(np.array(known, np.int32), return_counts=True), self.weights)
 
     def votes(self, queries: list[Vector]) -> list[tuple[float, float, np.ndarray, np.ndarray]]:
         """(vote of label 1 weighted by nearness, how near the nearest is, neighbours, cosines) of each query."""
@@ -164,16 +163,17 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int = S
     both = len(set(y.tolist())) == 2
     place: dict[bytes, int] = {}
     bags = [np.unique(np.array([place.setdefault(w, len(place)) for w in words_of(t.encode())], np.int32), return_counts=True) for _, t, _ in drawn] if both else []
-    terms = list(place)
-    n, df = _frequencies(docs, terms)
+    ids = [i for i, _, _ in drawn]
+    drawn.clear()  # the driver needs the texts no more
+    n, df = _frequencies(docs, place)
     idf = np.log((1 + n) / (1 + df)) + 1
-    model = Model(terms, np.zeros(len(terms)))
+    model = Model(place, np.zeros(len(place)))
     model.rate = base_rate(y.tolist())
     if both:
 
         def learned(of: np.ndarray) -> tuple[np.ndarray, Index]:
-            weights = idf * association([bags[i][0] for i in of], y[of], len(terms))
-            return weights, Index([weighed(*bags[i], weights) for i in of], len(terms))
+            weights = idf * association([bags[i][0] for i in of], y[of], len(place))
+            return weights, Index([weighed(*bags[i], weights) for i in of], len(place))
 
         every = np.arange(len(y))
         # the calibration asks each part of what the others teach, weights of terms included, and weighs labels as they occur
@@ -183,8 +183,9 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int = S
             weights, index = learned(others)
             for i in every[every % PARTS == part]:
                 x[i] = _vote(y[others], *index.nearest(weighed(*bags[i], weights), NEIGHBOURS))[:2]
+            del index
         model.weights, model.index = learned(every)
-        model.ids, model.y = [i for i, _, _ in drawn], y.astype(float)
+        model.ids, model.y = ids, y.astype(float)
         shares = np.bincount(y, minlength=2) / len(y)
         true = label_rate(labels, target)
         model.w = logistic(x, y.astype(float))
@@ -192,9 +193,9 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int = S
     return model
 
 
-def _frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[int, np.ndarray]:
+def _frequencies(docs: DataFrame, terms: dict[bytes, int]) -> tuple[int, np.ndarray]:
     """Number of documents, and of those that hold each term."""
-    places = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+    places = docs.sparkSession.sparkContext.broadcast(terms)
 
     @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +208,7 @@ def _frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[int, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[n, counts[at]])], ["term", "n"])
 
     found = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    places.unpersist()
+    places.destroy()
     term, count = found.column("term").to_numpy(), found.column("n").to_numpy()
     df = np.zeros(len(terms))
     df[term[term >= 0]] = count[term >= 0]
@@ -222,7 +223,8 @@ def score(docs: DataFrame, labels: DataFrame, target: str = "toxic", threshold:
     is the (shrunk) rate. Labels of repeated ids count once, a 1 before a 0. Other columns are not read; empty docs give
     no rows.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs if fit_on is None else fit_on, labels, target))
+    model = lean(docs).sparkContext.broadcast(fit(docs if fit_on is None else fit_on, labels, target))
+    give_back()
     kind = docs.schema["doc_id"].dataType.simpleString()
     named = labels.schema["doc_id"].dataType
     evidence = pa.list_(pa.struct([("doc_id", to_arrow_type(named)), ("cosine", pa.float64()), ("label", pa.int32())]))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamiz.llm.graph import components
-from tamiz.llm.store import dropped, saved
+from tamiz.llm.store import dropped, lean, saved
 from tamiz.llm.words import frees
 
 #: Least cosine; vectors in a block; principal axes used; children of an interval, as a power of two.
@@ -241,6 +241,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, axes: int = AXES
     kind = np.float64 if vectors.schema["embedding"].dataType.elementType.simpleString() == "double" else np.float32
     name = vectors.schema["label"].dataType.simpleString()
     eps = math.sqrt(2 - 2 * cosine)
+    lean(vectors)
     base = saved(_valid(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding"), name), "vectors")
     alone = base.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     classes = saved(base.where("key is not null").groupBy("label", "dim", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("raw").alias("raw")), "classes")

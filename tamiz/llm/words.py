@@ -94,17 +94,22 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 2000, size: int = 4_00
             first = last
 
 
+def give_back() -> None:
+    """Memory that nothing holds any more goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def frees(run):
-    """run, a generator over a task's batches; at its end what it held goes back to the system, as Spark keeps its Python workers."""
+    """run, a generator over a task's batches; what it held is given back at its end, as Spark keeps its Python workers."""
 
     @functools.wraps(run)
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-        if trim:
-            trim(0)
+        give_back()
 
     return task
 

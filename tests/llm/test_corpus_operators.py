@@ -103,6 +103,38 @@ def test_near_vectors(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_of_any_magnitude_and_type(spark):
+    rows = [(1, 0, [1e200, 1e200, 0.0]), (2, 0, [2e200, 2e200, 0.0]), (3, 0, [1e-200, 0.0, 0.0]), (4, 0, [5e-320, 0.0, 0.0]), (5, 0, [0.0, 0.0, 1e308]), (6, 0, [0.0, -1.0, 0.0])]
+    got = as_set(vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")))
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True), (6, 0, 6, True)]
+    whole = spark.createDataFrame([(1, "a", [1, 2]), (2, "a", [2, 4]), (3, "b", [1, 2])], "vec_id long, label string, embedding array<int>")
+    assert as_set(vectors.near_duplicates(whole)) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
+def test_distant_blocks_are_skipped(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(40, 24))
+    rows = [(i, 0, (centres[i % 40] + 0.03 * rng.normal(size=24)).tolist()) for i in range(1200)]
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    seen = []
+    tiles = vectors._tiles
+    monkeypatch.setattr(vectors, "_tiles", lambda blocks, pairs, shift: (seen.append((blocks.count(), pairs.count())), tiles(blocks, pairs, 1))[1])
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")).collect()}
+    (blocks, pairs), x = seen[0], np.array([r[2] for r in rows], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.93
+    assert got == {i: (int(near[i].sum()) - 1, int(np.flatnonzero(near[i])[0])) for i in range(1200)}
+    assert pairs < 0.25 * blocks * (blocks + 1) / 2
+
+
+def test_one_vector_in_half_of_the_rows(spark):
+    rows = [(i, 0, [1.0, float(i % 2 and i)]) for i in range(400)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")).collect()}
+    near = [[abs(np.dot(a[2], b[2]) / np.linalg.norm(a[2]) / np.linalg.norm(b[2])) >= 0.93 for b in rows] for a in rows]
+    own = reached(range(400), [(a, b) for a in range(400) for b in range(a) if near[a][b]])
+    assert got == {i: (sum(near[i]) - 1, own[i]) for i in range(400)}
+
+
 def test_packing(docs, rows, none):
     from tokenizers import Tokenizer
 
@@ -124,6 +156,28 @@ def test_packing(docs, rows, none):
     assert packing.pack(none).count() == 0
 
 
+def test_ids_of_any_text():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, encode = Tokenizer.from_file(path), packing.Encoder(path, most=200_000)
+    r = random.Random(7)
+    pools = [lambda: chr(r.randrange(0x80)), lambda: chr(r.randrange(0x250)), lambda: chr(r.choice([r.randrange(0x20, 0xD800), r.randrange(0xE000, 0x110000)])), lambda: chr(r.randrange(0x300, 0x370)), lambda: r.choice(["<|endoftext|>", "<|startoftext|>", "<|", "|>", "endoftext", "<|ENDOFTEXT|>", "\x7f", " ", "A", "'ll", "é"])]
+    made = ["hello <|endoftext|> world", "\x7fD,", "x" * 5000, "<|startoftext|>" * 3]
+    for _ in range(8000):
+        two = [r.choice(pools), r.choice(pools)]
+        made.append("".join(r.choice(two)() for _ in range(r.randint(0, 14))))
+    for k in range(0, len(made), 500):
+        got = encode([t.encode() for t in made[k : k + 500]])
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in made[k : k + 500]]
+
+
+def test_packing_deals_equal_rows_apart(spark):
+    made = spark.createDataFrame([(1, "a few words")] * 2000, "doc_id long, text string").repartition(4)
+    got = packing.pack(made, group=100).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).collect()
+    assert all(x.n == x.end <= 2048 for x in got) and len({x.sequence_id // 2 % 20 for x in got}) >= 18
+
+
 def test_packing_of_lengths():
     rng = np.random.default_rng(0)
     for trial in range(100):
@@ -320,6 +374,101 @@ def test_index_is_exact(monkeypatch):
         assert sorted(found.tolist()) == sorted(i for _, i in want) and np.allclose(scores, [-c for c, _ in want])
 
 
+def test_toxicity_scores_by_brute_force(spark, docs, rows):
+    d = "/root/testdata/sf0.001"
+    documents, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    asked = docs.select("doc_id", "text").where("doc_id is not null").dropDuplicates(["doc_id"])
+    asked = asked.unionByName(documents.select(F.col("doc_id") + 10_000, "text").toDF("doc_id", "text")).collect()
+    m = toxicity.fit(documents, labels)
+    drawn = toxicity.sample(documents, labels, "toxic", toxicity.SAMPLE)
+
+    def vector(text):
+        count = defaultdict(int)
+        for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text)):
+            if w.encode() in m.terms:
+                count[w] += 1
+        raw = {w: (1 + math.log(n)) * m.weights[m.terms[w.encode()]] for w, n in count.items()}
+        norm = math.sqrt(sum(x * x for x in raw.values()))
+        return {w: x / norm for w, x in raw.items() if x}
+
+    examples = [(i, vector(t), y) for i, t, y in drawn]
+    made = spark.createDataFrame(asked, "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score(made, labels, fit_on=documents).collect()}
+    with_neighbours = 0
+    for i, t in asked:
+        q = vector(t)
+        near = sorted(((round(sum(x * v.get(w, 0) for w, x in q.items()), 11), y) for _, v, y in examples), reverse=True)
+        near = [(c, y) for c, y in near if c > 0]
+        near = [(c, y) for c, y in near if c >= near[min(toxicity.NEIGHBOURS, len(near)) - 1][0]]
+        with_neighbours += bool(near)
+        weight = [1 / (1.05 - c) for c, _ in near]
+        vote, best = (sum(w * y for w, (_, y) in zip(weight, near, strict=True)) / sum(weight), near[0][0]) if near else (0.0, 0.0)
+        z = m.w[0] + m.w[1] * vote + m.w[2] * best
+        want = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        assert abs(got[i].score - want) < 1e-6 and got[i].predicted == int(got[i].score >= 0.5), i
+    assert with_neighbours >= 200
+
+
+def test_quality_scores_by_brute_force(spark, docs):
+    import zstandard
+
+    d = "/root/testdata/sf0.01"
+    documents, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    m = quality.fit(documents, labels)
+    bad, good = (zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(x), write_content_size=False, write_checksum=False, write_dict_id=False) for x in m.dictionaries)
+    got = {r.doc_id: r.score for r in quality.score(documents, labels).collect()}
+    for r in documents.collect():
+        raw, each, total = (r.text or "").encode(), [], [0, 0]
+        for k in range(0, len(raw), 256):
+            a, b = (len(c.compress(raw[k : k + 256])) for c in (bad, good))
+            total = [total[0] + a, total[1] + b]
+            if len(raw[k : k + 256]) == 256 or len(raw) <= 256:
+                each.append((a - b) / (a + b))
+        x, y = ((total[0] - total[1]) / sum(total), min(each)) if raw else (0.0, 0.0)
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-max(-30.0, min(30.0, m.w[0] + m.w[1] * x + m.w[2] * y))))) < 1e-9
+
+
+def test_toxicity_recall_on_the_held_out_fold(spark):
+    d = "/root/testdata/sf0.1"
+    labels = table(spark, d, "labels")
+    got = toxicity.score(table(spark, d, "documents"), labels).join(labels, "doc_id").where("held_out and toxic is not null")
+    right, caught, toxic = got.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("double")), F.sum(F.col("predicted") * F.col("toxic")), F.sum("toxic")).first()
+    assert right >= 0.97 and caught >= 0.85 * toxic
+    found = toxicity.score(table(spark, d, "documents"), labels).where("size(evidence) > 0").count()
+    assert found >= 0.9 * table(spark, d, "documents").where("text <> ''").count()
+
+
+def test_a_sample_of_repeated_ids_is_small(spark):
+    rows = [(1, "a b", "x")] * 500 + [(1, "longer text", "x"), (2, "c", "x"), (3, None, "x"), (4, "d" * 100, "x"), (6, "e", "x")]
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3, 4, 6)] + [(2, 1), (None, 1)], "doc_id long, toxic int")
+    from tamiz.llm.labelled import held_out, sample
+
+    made = spark.createDataFrame(rows, "doc_id long, text string, toxic string")
+    out = {r[0] for r in spark.range(10).where(held_out(F.col("id"))).collect()}
+    assert sample(made, labels, "toxic", 10, most=50) == [x for x in ((1, "a b", 1), (2, "c", 1), (6, "e", 0)) if x[0] not in out]
+
+
+def test_language_posteriors_by_brute_force(spark):
+    documents = table(spark, "/root/testdata/sf0.001", "documents")
+    m = langid.fit(documents)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(documents).collect()}
+    for r in documents.limit(40).collect():
+        words = [w for w in map(langid.bare, (r.text or "").split()) if w]
+        if not words:
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        e = [m.emissions(*langid.features([w]))[0] for w in words]
+        n, k = len(words), len(m.langs)
+        forward, backward = [m.start + e[0]], [np.zeros(k)]
+        for t in range(1, n):
+            forward.append(np.array([np.logaddexp.reduce(forward[-1] + m.transition[:, y]) for y in range(k)]) + e[t])
+        for t in range(n - 1, 0, -1):
+            backward.append(np.array([np.logaddexp.reduce(m.transition[y] + e[t] + backward[-1]) for y in range(k)]))
+        post = np.array(forward) + np.array(backward[::-1])
+        mean = np.exp(post - np.logaddexp.reduce(post, axis=1, keepdims=True)).mean(0)
+        assert got[r.doc_id][0] == m.langs[int(mean.argmax())] and abs(got[r.doc_id][1] - mean.max()) < 1e-6
+
+
 def test_toxicity_at_the_smallest_size(spark):
     d = "/root/testdata/sf0.001"
     documents, labels = table(spark, d, "documents"), table(spark, d, "labels")
