@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most bytes of text in a sample; a longer text is not drawn, others are learned from whole.
-SAMPLE_BYTES = 48_000_000
+#: Most bytes of text in a sample, and of one text in it, which is learned from whole.
+SAMPLE_BYTES, TEXT_BYTES = 48_000_000, 2_000_000
 
 
 def remainder(doc_id: Column, folds: int) -> Column:
@@ -19,11 +19,11 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(remainder(doc_id, folds) == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, target: str, rows: int, seed: int = 0, folds: int = 5, most: int = SAMPLE_BYTES) -> list[tuple[int, str, int]]:
+def sample(docs: DataFrame, labels: DataFrame, target: str, rows: int, seed: int = 0, folds: int = 5, most: int = SAMPLE_BYTES, longest: int = TEXT_BYTES) -> list[tuple[int, str, int]]:
     """(doc_id, text, label) of at most `rows` labelled rows of each label and as many drawn without regard to it.
 
-    Only rows outside the held-out fold, in the order of a hash of doc_id, so alike on every run. Texts are whole; rows are
-    drawn until their texts come to `most` bytes. Ids are chosen from the labels alone, and the sizes and hashes of their
+    Only rows outside the held-out fold, in the order of a hash of doc_id, so alike on every run. Texts are whole, of
+    `longest` bytes at most; rows are drawn until their texts come to `most` bytes. Ids are chosen from the labels alone, and the sizes and hashes of their
     texts say which rows are fetched, so no more than 3 * rows texts reach the driver, however often an id is repeated.
     Null labels, ids and texts are left out; of repeated labels of an id a 1 counts, of its texts the shortest.
     """
@@ -32,17 +32,12 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, rows: int, seed: int
     drawn = [usable.where(F.col("label") == y).orderBy("draw", "doc_id").limit(rows) for y in (0, 1)] + [usable.orderBy("draw", "doc_id").limit(rows)]
     ids = drawn[0].union(drawn[1]).union(drawn[2]).select("doc_id", "label", "draw").distinct()
     texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    sizes = texts.groupBy("doc_id", "label", "draw").agg(F.min(F.struct(F.octet_length("text").alias("size"), F.xxhash64("text").alias("hash"))).alias("first")).select("doc_id", "label", "draw", "first.*").collect()
-    wanted, held = [], 0
-    for r in sorted(sizes, key=lambda r: (r["draw"], r["doc_id"])):
-        if held + r["size"] <= most:
-            held += r["size"]
-            wanted.append((r["doc_id"], r["hash"]))
-    if not wanted:
-        return []
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    chosen = F.broadcast(docs.sparkSession.createDataFrame(wanted, f"doc_id {kind}, hash long"))
-    found = texts.withColumn("hash", F.xxhash64("text")).join(chosen, ["doc_id", "hash"]).groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
+    first = F.min(F.struct(F.octet_length("text").alias("size"), F.xxhash64("text").alias("hash")))
+    sizes = texts.groupBy("doc_id", "draw").agg(first.alias("first")).select("doc_id", "draw", "first.*").where(F.col("size") <= longest)
+    # one task adds up the sizes: 3 * rows numbers
+    running = F.sum("size").over(Window.orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = sizes.withColumn("upto", running).where(F.col("upto") <= most).select("doc_id", "hash")
+    found = texts.withColumn("hash", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "hash"]).groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
     return sorted((r["doc_id"], r["text"], r["label"]) for r in found)
 
 

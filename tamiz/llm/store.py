@@ -6,13 +6,14 @@ import re
 import tempfile
 import uuid
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of two longs that one broadcast may hold (about 64 MB); larger sides are joined by a shuffle.
 BROADCAST_ROWS = 4_000_000
-#: Bytes of a batch that goes to Python at most, and the setting that says so.
-BATCH_BYTES, BATCH = 4_000_000, "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of a batch that goes to Python at most; rows that a Parquet reader holds at once.
+LEAN = {"spark.sql.execution.arrow.maxBytesPerBatch": "4000000", "spark.sql.parquet.columnarReaderBatchSize": "512"}
 
 
 def folder(spark: SparkSession) -> str:
@@ -27,14 +28,26 @@ def folder(spark: SparkSession) -> str:
 
 
 def lean(df: DataFrame) -> SparkSession:
-    """The session of df, in which Spark hands Python batches of BATCH_BYTES unless it was told otherwise: its own default
-    is 10,000 rows, of whole texts, held by the executor and by its Python worker at once."""
+    """The session of df, with settings for rows that are whole texts where it has none of its own: Spark's defaults read
+    4096 of them at once and hand 10,000 to Python, held by the executor and by its Python worker."""
     spark = df.sparkSession
-    if spark.conf.get(BATCH, None) is None:
-        spark.conf.set(BATCH, str(BATCH_BYTES))
+    for name, value in LEAN.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
     return spark
 
 
+def lent(df: DataFrame, value: Broadcast) -> DataFrame:
+    """df, which reads a broadcast value when it runs."""
+    df._tamiz_lent = value
+    return df
+
+
+def returned(df: DataFrame) -> None:
+    """Frees the value lent to df on all executors, once nothing runs df any more."""
+    df._tamiz_lent.destroy()
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there, so a lost executor costs nothing."""
     spark = df.sparkSession

@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tamiz.llm.decontam import words_of
 from tamiz.llm.labelled import base_rate, held_out, label_rate, logistic, probability, sample
-from tamiz.llm.store import lean
+from tamiz.llm.store import lean, lent
 from tamiz.llm.words import frees, give_back, sliced, texts
 
 #: Labelled rows of each label in the sample; neighbours; examples in a block; parts of the sample for the calibration.
@@ -240,4 +240,4 @@ def score(docs: DataFrame, labels: DataFrame, target: str = "toxic", threshold:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(why, evidence)], ["doc_id", "score", "predicted", "evidence"])
 
     scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int, evidence array<struct<doc_id:{named.simpleString()},cosine:double,label:int>>")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
+    return lent(scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence"), model)

@@ -59,8 +59,9 @@ PATTERNS = (
 
 
 def rule_table(spark: SparkSession, rules: tuple[Rule, ...] = RULES, patterns: tuple[Rule, ...] = PATTERNS) -> DataFrame:
+    names = ["rule_id", "rule", "verdict", "regex", "listed", "size", "literals"]
     rows = [(i, r.name(), r.verdict, r.regex(), bool(r.host), len(r.name()), r.literals() or [ANY]) for i, r in enumerate((*rules, *patterns))]
-    return spark.createDataFrame(rows, "rule_id int, rule string, verdict string, regex string, listed boolean, size int, literals array<string>")
+    return spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(names, row, strict=True))) for row in rows))))
 
 
 def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:

@@ -445,7 +445,7 @@ def test_a_sample_of_repeated_ids_is_small(spark):
 
     made = spark.createDataFrame(rows, "doc_id long, text string, toxic string")
     out = {r[0] for r in spark.range(10).where(held_out(F.col("id"))).collect()}
-    assert sample(made, labels, "toxic", 10, most=50) == [x for x in ((1, "a b", 1), (2, "c", 1), (6, "e", 0)) if x[0] not in out]
+    assert sample(made, labels, "toxic", 10, most=50, longest=20) == [x for x in ((1, "a b", 1), (2, "c", 1), (6, "e", 0)) if x[0] not in out]
 
 
 def test_language_posteriors_by_brute_force(spark):
