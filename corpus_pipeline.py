@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamiz.llm import decontam, jaccard, packing, substring, toxicity
-from tamiz.llm.store import saved, small
+from tamiz.llm.store import returned, saved, small
 from tamiz.session import table
 
 #: Columns of documents, which every stage but the last returns.
@@ -24,9 +24,13 @@ def _judged(docs: DataFrame) -> DataFrame:
     return docs.select(_key().alias("doc_id"), "text")
 
 
+def _keys(judged: DataFrame) -> DataFrame:
+    """The keys of judged rows, written."""
+    return saved(judged.select(F.col("doc_id").alias("key")).distinct(), "gone")
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows that have the keys in gone (column doc_id)."""
-    gone = saved(gone.select(F.col("doc_id").alias("key")).distinct(), "gone")
+    """docs without the rows that have the keys in gone."""
     return docs.withColumn("key", _key()).join(small(gone, gone.count(), 1_000_000), "key", "left_anti").select(*COLUMNS)
 
 
@@ -38,7 +42,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Empty docs give an empty table; other columns than those of documents are dropped.
     """
     scored = toxicity.score(_judged(docs), table(spark, sf_dir, "labels"), fit_on=docs)
-    return _without(docs, scored.where("predicted = 1"))
+    gone = _keys(scored.where("predicted = 1"))
+    returned(scored)
+    return _without(docs, gone)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -96,7 +102,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     very long ones are searched whole. An empty benchmark drops nothing; empty docs give an empty table.
     """
     judged = decontam.decontaminate(_judged(docs), table(spark, sf_dir, "benchmark"))
-    return _without(docs, judged.where("contaminated"))
+    return _without(docs, _keys(judged.where("contaminated")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
