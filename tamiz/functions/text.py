@@ -37,8 +37,8 @@ def fold(c: Column) -> Column:
 def tokens(c: Column, stop: list[str] | None = None) -> Column:
     """Words of two or more letters or digits, folded, without stop words."""
     stop = sorted({*STOP_ES, *STOP_EN}) if stop is None else stop
-    words = F.regexp_extract_all(fold(F.coalesce(c, F.lit(""))), F.lit(r"([a-z0-9]{2,})"), F.lit(1))
-    return F.filter(words, lambda w: ~w.isin(*stop)) if stop else words
+    words = F.split(fold(F.coalesce(c, F.lit(""))), "[^a-z0-9]+")
+    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*stop) if stop else F.length(w) > 1)
 
 
 def occurrences(c: Column, word: str) -> Column:

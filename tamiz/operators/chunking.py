@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,10 +12,18 @@ from pyspark.sql.types import ArrayType, StringType
 
 from tamiz.functions import text as T
 
-#: Tokens (white-space words here: no model tokenizer is at hand) of a parent at most, of a child, of its overlap.
+#: Tokens of a parent at most, of a child, of its overlap.
 PARENT, CHILD, OVERLAP = 1100, 250, 40
-#: Shortest child in characters.
-SHORTEST = 60
+#: Shortest child in characters; letters of a word that count as one token where no model's tokenizer is at hand.
+SHORTEST, LETTERS = 60, 40
+#: A line is a heading if it is so much larger than the median, of so many characters, and its section has so many.
+LARGER, HEADING, SECTION = 1.18, (3, 90), 400
+_LONG = re.compile(rf"\S{{{LETTERS + 1},}}")
+
+
+def tokens_in(text: str) -> int:
+    """White-space words; a very long one counts once for each LETTERS letters, as a tokenizer would cut it."""
+    return len(text.split()) + sum((len(w) - 1) // LETTERS for w in _LONG.findall(text))
 
 
 def sections(docs: DataFrame) -> DataFrame:
@@ -34,52 +43,89 @@ def outline_sections(marks: DataFrame, pages: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "pos", "section", "page_from", "page_to").agg(text.alias("text")).where(F.trim("text") != "")
 
 
+def font_sections(lines: DataFrame) -> DataFrame:
+    """Sections of documents without an outline, by their lines (doc_id, page, pos, text, sizes of type).
+
+    A line is a heading if its largest type is LARGER than the document's median one, it is short, doesn't end like a
+    sentence, and the section before it has over SECTION characters; other such lines are text. (doc_id, pos, section,
+    page_from, page_to, text); the first section is `Inicio`.
+    """
+    filled = lines.withColumn("text", F.trim("text")).where("text <> ''")
+    sizes = F.sort_array(F.flatten(F.collect_list(F.when(F.trim("text") != "", F.col("sizes")))))
+    bodies = lines.groupBy("doc_id").agg(sizes.alias("all"), F.max("page").alias("last")).select("doc_id", "last", F.coalesce(F.try_element_at("all", F.floor(F.size("all") / 2).cast("int") + 1), F.lit(10.0)).alias("body"))
+    length = F.length("text")
+    large = (F.array_max("sizes") > LARGER * F.col("body")) & (length > HEADING[0]) & (length < HEADING[1]) & ~F.col("text").rlike("[.,;]$")
+    marked = filled.join(bodies, "doc_id").select("doc_id", "last", F.struct("page", "pos", "text", large.alias("large")).alias("line"))
+    every = marked.groupBy("doc_id", "last").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    start = F.struct(F.lit(0).alias("section"), F.lit(0).alias("size"), F.array().cast("array<int>").alias("places"))
+
+    def step(now: Column, line: Column) -> Column:
+        new = line["large"] & (now["size"] > SECTION)
+        section = now["section"] + F.when(new, 1).otherwise(0)
+        return F.struct(section.alias("section"), F.when(new, 0).otherwise(now["size"] + F.length(line["text"]) + 1).alias("size"), F.array_append(now["places"], section).alias("places"))
+
+    placed = every.withColumn("places", F.aggregate("lines", start, step)["places"])
+    return _joined_lines(placed)
+
+
+def _joined_lines(placed: DataFrame) -> DataFrame:
+    x = F.posexplode(F.arrays_zip("lines", "places")).alias("at", "x")
+    one = placed.select("doc_id", "last", x).select("doc_id", "last", "at", F.col("x.places").alias("pos"), F.col("x.lines.page").alias("page"), F.col("x.lines.text").alias("line"))
+    found = one.groupBy("doc_id", "last", "pos").agg(F.min("page").alias("page_from"), F.array_sort(F.collect_list(F.struct("at", "line"))).alias("lines"))
+    heading = F.when(F.col("pos") == 0, "Inicio").otherwise(F.left(F.col("lines")[0]["line"], F.lit(120)))
+    rest = F.when(F.col("pos") == 0, F.col("lines")).otherwise(F.slice("lines", 2, F.greatest(F.lit(1), F.size("lines"))))
+    text = F.array_join(F.transform(rest, lambda x: F.concat(x["line"], F.lit("\n"))), "")
+    page_to = F.coalesce(F.lead("page_from").over(Window.partitionBy("doc_id").orderBy("pos")), F.col("last"))
+    pages = F.when(F.col("pos") == 0, 1).otherwise(F.col("page_from"))
+    return found.select("doc_id", "pos", heading.alias("section"), pages.alias("page_from"), page_to.alias("page_to"), text.alias("text")).where(F.trim("text") != "")
+
+
 def cleaned(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"\.{4,}", " "), r"\n{3,}", "\n\n"))
 
 
-def packed(pieces: list[str], most: int, joint: str) -> list[str]:
-    """Neighbouring pieces joined as long as they stay within a number of words."""
+def packed(pieces: list[str], most: int, joint: str, count: Callable[[str], int] = tokens_in) -> list[tuple[str, int]]:
+    """Neighbouring pieces joined as long as they stay within a number of tokens, with their sizes."""
     out: list[list[str]] = []
-    size = 0
+    sizes: list[int] = []
     for piece in pieces:
-        n = len(piece.split())
-        if out and size + n <= most:
+        n = count(piece)
+        if out and sizes[-1] + n <= most:
             out[-1].append(piece)
-            size += n
+            sizes[-1] += n
         else:
             out.append([piece])
-            size = n
-    return [joint.join(p) for p in out]
+            sizes.append(n)
+    return list(zip(map(joint.join, out), sizes, strict=True))
 
 
-def blocks(text: str, most: int = PARENT) -> list[str]:
-    """Blocks of at most `most` words: by paragraphs, else lines, else sentences, else words."""
-    if len(text.split()) <= most:
+def blocks(text: str, most: int = PARENT, count: Callable[[str], int] = tokens_in, size: int | None = None) -> list[str]:
+    """Blocks of at most `most` tokens: by paragraphs, else lines, else sentences, else words, else characters."""
+    size = count(text) if size is None else size
+    if size <= most:
         return [text]
     for split, joint in ((r"\n\n+", "\n\n"), (r"\n", "\n"), (r"(?<=[.!?])\s+", " "), (r"\s+", " ")):
         pieces = [p for p in re.split(split, text) if p.strip()]
         if len(pieces) > 1:
-            return [b for block in packed(pieces, most, joint) for b in blocks(block, most)]
-    return [text]
+            return [b for block, n in packed(pieces, most, joint, count) for b in blocks(block, most, count, n)]
+    step = max(200, int(most * max(1, len(text) // max(1, size)) * 0.9))
+    return [text[i : i + step] for i in range(0, len(text), step)]
 
 
 def children_of(sentences: list[str], size: int = CHILD, overlap: int = OVERLAP) -> list[str]:
-    """Sentences packed to about `size` words; each chunk begins with the last sentences, of `overlap` words, before it."""
-    out, held = [], []
-    count = 0
-    for s in sentences:
-        n = len(s.split())
-        if held and count + n > size:
-            out.append(" ".join(held))
-            back, count = 0, 0
-            while back < len(held) and count < overlap:
-                back += 1
-                count += len(held[-back].split())
-            held = held[-back:]
-        held.append(s)
+    """Sentences packed to about `size` tokens; each chunk begins with the last sentences, of `overlap` tokens, before it."""
+    sizes = [tokens_in(s) for s in sentences]
+    out, first, count = [], 0, 0
+    for i, n in enumerate(sizes):
+        if i > first and count + n > size:
+            out.append(" ".join(sentences[first:i]))
+            start, first, count = first, i, 0
+            while first > start and count < overlap:
+                first -= 1
+                count += sizes[first]
         count += n
-    return [c for c in (*out, " ".join(held)) if len(c) > SHORTEST]
+    out.append(" ".join(sentences[first:]))
+    return [c for c in out if len(c) > SHORTEST]
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -101,6 +147,17 @@ def parents(found: DataFrame) -> DataFrame:
     return one.select("doc_id", F.concat_ws("/", F.col("doc_id").cast("string"), F.col("pos").cast("string"), F.col("part").cast("string")).alias("parent_id"), name.alias("section"), "text")
 
 
+def statuses(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """docs with n_chunks and a status: ok, or error_sin_texto where no chunk came of a document."""
+    counted = chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
+    return docs.join(counted, "doc_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0))).withColumn("status", F.when(F.col("n_chunks") > 0, "ok").otherwise("error_sin_texto"))
+
+
+def with_children(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The parents that have a chunk."""
+    return found.join(chunks.select("parent_id").distinct(), "parent_id", "left_semi")
+
+
 def children(found: DataFrame, title: Column | None = None) -> DataFrame:
     """(doc_id, parent_id, chunk_id, section, text, embed_text) of parents; embed_text carries title and section."""
     cut = found.withColumn("parts", _children(T.sentences(F.col("text"))))

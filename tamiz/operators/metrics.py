@@ -2,18 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges that a group's values are counted in before one of them is looked into.
+RANGES = 1024
+
+
+def placed(df: DataFrame, value: str, places: dict[str, Column], *by: str) -> DataFrame:
+    """(by..., one column for each name): the values at places (from 0, by a column n of the group's size) of each group in order.
+
+    Values are counted in RANGES equal ranges between a group's least and largest; of those that hold a place the
+    distinct values are counted, so no task holds more of a group than that.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    cell = F.coalesce(F.least(F.lit(RANGES - 1), F.floor(F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low")) * RANGES)), F.lit(0)).alias("cell")
+    dealt = rows.join(sizes.select(*by, "low", "high"), list(by)).select(*by, cell, "v")
+    upto = lambda order: F.sum("count").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    counted = dealt.groupBy(*by, "cell").count().withColumn("upto", upto("cell"))
+    wanted = sizes.select(*by, F.explode(F.array(*(F.struct(F.lit(name).alias("name"), place.cast("long").alias("place")) for name, place in places.items()))).alias("p")).select(*by, "p.*")
+    holding = counted.join(wanted, list(by)).where((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("count")))
+    holding = holding.select(*by, "cell", "name", "place", (F.col("upto") - F.col("count")).alias("before"))
+    inside = dealt.join(holding.select(*by, "cell").distinct(), [*by, "cell"], "left_semi").groupBy(*by, "cell", "v").count()
+    inside = inside.withColumn("within", F.sum("count").over(Window.partitionBy(*by, "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    found = inside.join(holding, [*by, "cell"]).where(F.col("before") + F.col("within") > F.col("place"))
+    return found.groupBy(*by).agg(*(F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in places))
+
+
 def ranked(df: DataFrame, value: str, p: float, *by: str) -> DataFrame:
-    """(by..., rank value): the nearest-rank percentile of each group at round-half-even(p * (n - 1)), from counts of its distinct values."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).count()
-    keys = [F.col(b) for b in by]
-    running = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy(*keys)
-    placed = counted.select(*by, value, F.sum("count").over(running).alias("upto"), F.sum("count").over(total).alias("n"))
-    return placed.where(F.col("upto") > F.least(F.col("n") - 1, F.bround(p * (F.col("n") - 1)).cast("long"))).groupBy(*by).agg(F.min(value).alias("ranked"))
+    """(by..., ranked): the nearest-rank percentile of each group at round-half-even(p * (n - 1))."""
+    return placed(df, value, {"ranked": F.least(F.col("n") - 1, F.bround(p * (F.col("n") - 1)))}, *by)
+
+
+def median(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """(by..., median): the mean of a group's one or two middle values."""
+    middle = placed(df, value, {"a": F.floor((F.col("n") - 1) / 2), "b": F.floor(F.col("n") / 2)}, *by)
+    return middle.select(*by, ((F.col("a") + F.col("b")) / 2).alias("median"))
+
+
+def chosen_cases(cases: DataFrame, layer: str, speaker: str = "paciente", greens: int | None = None, only: list[str] | None = None) -> DataFrame:
+    """Evaluation cases (case_id, layer, speaker, level) of a layer and a speaker: all but green ones, the first `greens` of
+    those in order of their id (a report's own limit), and of all only the named ones, if any are."""
+    mine = cases.where((F.col("layer") == layer) & (F.col("speaker") == speaker))
+    mine = mine.where(F.col("case_id").isin(only)) if only else mine
+    green = mine.where("level = 'verde'").orderBy("case_id")
+    return mine.where("level <> 'verde'").unionByName(green if greens is None else green.limit(greens))
 
 
 def call_rollup(turns: DataFrame) -> DataFrame:

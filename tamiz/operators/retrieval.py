@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -17,8 +18,8 @@ from tamiz.functions.lexicon import expanded
 #: Lexical and dense candidates, fusion constant, boost of documents for patients, largest distance, results.
 LEXICAL_K, DENSE_K, FUSION_K, BOOST, DISTANCE, RESULTS = 30, 30, 60, 1.6, 0.42, 2
 K1, B = 1.5, 0.75
-#: Queries that go to all executors; more are joined by a shuffle.
-BROADCAST_QUERIES = 10_000
+#: Queries that are broadcast at once; vectors, and queries, that are compared at once.
+BROADCAST_QUERIES, BLOCK = 10_000, 1024
 
 
 def top(df: DataFrame, k: int, *order: Column, by: str = "query_id", rank: str = "rank") -> DataFrame:
@@ -26,26 +27,37 @@ def top(df: DataFrame, k: int, *order: Column, by: str = "query_id", rank: str =
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def postings(chunks: DataFrame, stop: list[str] | None = None) -> DataFrame:
-    """(term, chunk_id, tf, length) of chunks (chunk_id, text)."""
+def postings(chunks: DataFrame, stop: list[str] | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """(term, chunk_id, tf, length) of chunks (chunk_id, text), and one row of the empty term for each chunk; of some terms
+    alone, if they are given."""
     words = chunks.select("chunk_id", T.tokens(F.col("text"), stop).alias("words")).withColumn("length", F.size("words"))
-    return words.select("chunk_id", "length", F.explode("words").alias("term")).groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf"))
+    one = words.select("chunk_id", "length", F.explode(F.array_append("words", F.lit(""))).alias("term"))
+    one = one if terms is None else one.join(terms, "term", "left_semi")
+    return one.groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf"))
+
+
+def keyword_field(chunks: DataFrame) -> DataFrame:
+    """chunks with title, section and text as the text that words are looked for in."""
+    parts = [F.coalesce(c, F.lit("")) for c in ("title", "section") if c in chunks.columns]
+    return chunks.select("chunk_id", F.concat_ws(" ", *parts, "text").alias("text"))
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, k: int = LEXICAL_K, stop: list[str] | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k best chunks of each query (query_id, text); a repeated term counts once.
 
-    Only postings of query terms are kept, before anything is shuffled by chunk; sizes come from the same pass.
+    The texts are read once: what they hold of the queries' terms, and the empty term that counts chunks and lengths, is
+    shuffled once, and both the statistics and the scores read that shuffle.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text"), stop))).alias("term"))
-    words = chunks.select("chunk_id", T.tokens(F.col("text"), stop).alias("words"))
-    total = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"))
-    found = postings(chunks, stop).join(asked.select("term").distinct(), "term", "left_semi")
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    terms = asked.select("term").unionByName(queries.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    found = postings(chunks, stop, terms)
+    df = found.groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("lengths"))
+    empty = F.col("term") == ""
+    total = df.agg(F.max(F.when(empty, F.col("df"))).alias("n"), F.max(F.when(empty, F.col("lengths"))).alias("all")).select("n", (F.col("all") / F.col("n")).alias("mean"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     # one row of totals, and one of counts for each term asked
-    scored = asked.join(df, "term").join(F.broadcast(total)).join(found, "term")
+    scored = asked.join(df.drop("lengths"), "term").join(F.broadcast(total)).join(found, "term")
     scored = scored.groupBy("query_id", "chunk_id").agg(F.sum(weight).alias("score")).where("score > 0")
     return top(scored, k, F.round("score", 9).desc(), F.col("chunk_id"))
 
@@ -63,13 +75,20 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x / norm)
 
 
+def pooled(tokens: Column, mask: Column) -> Column:
+    """The unit mean of a text's token vectors where the mask is 1."""
+    kept = F.array_compact(F.zip_with(tokens, mask, lambda v, m: F.when(m == 1, v)))
+    total = F.aggregate(F.slice(kept, 2, F.greatest(F.lit(1), F.size(kept))), F.transform(kept[0], lambda x: x.cast("double")), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+    return F.when(F.size(kept) > 0, unit(total))
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int = DENSE_K) -> DataFrame:
     """(query_id, chunk_id, distance, rank): exact nearest neighbours of a stated set of queries.
 
     vectors (chunk_id, embedding[, scenario]), queries (query_id, embedding[, scenario]); where both have a scenario, a
-    query sees its own, general ones, and all if it has none. Each task compares its blocks of vectors with all
-    queries by one matrix product and passes on the k nearest of the block, so vectors are never shuffled. The
-    queries are counted: up to BROADCAST_QUERIES go to the tasks at once, more in parts, each with a scan of its own.
+    query sees its own, general ones, and all if it has none. Each task compares blocks of its vectors with blocks of
+    queries by matrix products and passes on the k nearest of each block, so vectors are never shuffled. The queries
+    are counted: up to BROADCAST_QUERIES are broadcast at once, more in parts, each with a scan of its own.
     Vectors that are null or of another length than a query's are left out.
     """
     bound = "scenario" in vectors.columns and "scenario" in queries.columns
@@ -79,43 +98,40 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = DENSE_K) -> DataFrame
     kinds = vectors.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     out = None
     for part in range(parts):
-        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).collect()
+        rows = vectors.sparkSession.sparkContext.broadcast(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).collect())
         best = top(vectors.select(*columns).where("embedding is not null").mapInArrow(_nearest(rows, k, bound, to_arrow_type(queries.schema["query_id"].dataType)), f"query_id {kinds[1]}, chunk_id {kinds[0]}, distance double"), k, F.round("distance", 9), F.col("chunk_id"))
         out = best if out is None else out.unionByName(best)
     return out
 
 
-def _nearest(rows: list, k: int, bound: bool, kind: pa.DataType):
+def _nearest(rows: Broadcast, k: int, bound: bool, kind: pa.DataType):
     """For batches of vectors: their k nearest to each query, and those as near as the last of them."""
-    ids = [r["query_id"] for r in rows]
-    wanted = np.array([r["scenario"] for r in rows], object) if bound else None
-    asked = [np.asarray(r["embedding"], float) for r in rows]
-    lengths = sorted({len(q) for q in asked})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found: list[tuple] = []
-            sizes = pc.list_value_length(b.column("embedding")).to_numpy(zero_copy_only=False)
-            for n in lengths:
-                q = np.flatnonzero([len(x) == n for x in asked])
-                v = np.flatnonzero(sizes == n)
-                if not len(v):
-                    continue
-                x = b.column("embedding").take(pa.array(v)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), n)
-                y = np.stack([asked[i] for i in q])
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    distance = 1 - (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])
-                distance[np.isnan(distance)] = np.inf
-                if bound:
-                    own = np.array(b.column("scenario").to_pylist(), object)[v][:, None]
-                    distance[~((own == wanted[q][None, :]) | (own == "general") | np.equal(wanted[q], None)[None, :])] = np.inf
-                rounded = np.round(distance, 9)
-                last = np.partition(rounded, min(k, len(v)) - 1, axis=0)[min(k, len(v)) - 1]
-                i, j = np.nonzero((rounded <= last[None, :]) & np.isfinite(rounded))
-                found.append((q[j], v[i], distance[i, j]))
-            if found:
-                q, v, distance = (np.concatenate([f[c] for f in found]) for c in range(3))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], kind), b.column("chunk_id").take(pa.array(v)), pa.array(distance)], ["query_id", "chunk_id", "distance"])
+        asked: dict[int, list] = {}
+        for r in rows.value:
+            asked.setdefault(len(r["embedding"]), []).append(r)
+        for whole in batches:
+            for b in (whole.slice(i, BLOCK) for i in range(0, whole.num_rows, BLOCK)):
+                sizes = pc.list_value_length(b.column("embedding")).to_numpy(zero_copy_only=False)
+                for n, mine in asked.items():
+                    v = np.flatnonzero(sizes == n)
+                    for at in range(0, len(mine) if len(v) else 0, BLOCK):
+                        yield of(b, v, n, mine[at : at + BLOCK])
+
+    def of(b: pa.RecordBatch, v: np.ndarray, n: int, queries: list) -> pa.RecordBatch:
+        x = b.column("embedding").take(pa.array(v)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), n)
+        y = np.array([r["embedding"] for r in queries], float)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            distance = 1 - (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])
+        distance[np.isnan(distance)] = np.inf
+        if bound:
+            own, wanted = np.array(b.column("scenario").to_pylist(), object)[v][:, None], np.array([r["scenario"] for r in queries], object)
+            distance[~((own == wanted[None, :]) | (own == "general") | np.equal(wanted, None)[None, :])] = np.inf
+        rounded = np.round(distance, 9)
+        last = np.partition(rounded, min(k, len(v)) - 1, axis=0)[min(k, len(v)) - 1]
+        i, j = np.nonzero((rounded <= last[None, :]) & np.isfinite(rounded))
+        return pa.RecordBatch.from_arrays([pa.array([queries[q]["query_id"] for q in j.tolist()], kind), b.column("chunk_id").take(pa.array(v[i])), pa.array(distance[i, j])], ["query_id", "chunk_id", "distance"])
 
     return run
 
@@ -137,10 +153,11 @@ def gate(hits: DataFrame, nearest: DataFrame, most: float = DISTANCE) -> DataFra
 def hybrid(chunks: DataFrame, parents: DataFrame, queries: DataFrame, k: int = RESULTS, scenario: bool = False, most: float = DISTANCE, boost: float = BOOST) -> DataFrame:
     """Sources of each query: BM25 and dense candidates, gate, fusion, boost, small to big, dedupe, first k.
 
-    chunks (chunk_id, parent_id, title, text, embedding[, scenario]), parents (parent_id, text), queries (query_id,
-    text, embedding[, scenario]). The scenario filter precedes the dense cut and follows the lexical one.
+    chunks (chunk_id, parent_id, title[, section], text, embedding[, scenario]), parents (parent_id, text), queries
+    (query_id, text, embedding[, scenario]). Words are looked for in title, section and text. The scenario filter
+    precedes the dense cut and follows the lexical one.
     """
-    lexical = bm25(chunks, queries.select("query_id", expanded(F.col("text")).alias("text")))
+    lexical = bm25(keyword_field(chunks), queries.select("query_id", expanded(F.col("text")).alias("text")))
     if scenario:
         where = (F.col("scenario") == F.col("wanted")) | (F.col("scenario") == "general") | F.col("wanted").isNull()
         wanted = queries.select("query_id", F.col("scenario").alias("wanted"))

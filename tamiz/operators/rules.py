@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamiz.functions.speech import own, said
+from tamiz.functions.speech import bound, own, said
 from tamiz.functions.text import fold
 
 # Levels and orders of severity.
@@ -28,7 +28,7 @@ NUMBERS, FLAGS = ["pain", "fever"], ["fever_felt", "pain_worse", "bleeding", "dy
 
 def quick_red(text: Column) -> Column:
     """The first alarm phrase of a turn that is about the speaker and not negated, else null."""
-    return said(own(fold(F.coalesce(text, F.lit("")))), QUICK_RED)
+    return bound(own(fold(F.coalesce(text, F.lit("")))), lambda t: said(t, QUICK_RED))
 
 
 def worst(base: dict[str, Column], extra: dict[str, Column]) -> dict[str, Column]:
@@ -66,13 +66,14 @@ def running_state(turns: DataFrame, call: str = "call_id", turn: str = "turn") -
     state["sleep"] = F.last("sleep", ignorenulls=True).over(w)
     state["unquantified"] = F.coalesce(F.last(event, ignorenulls=True).over(w), F.lit(False))
     state["minimising"] = F.coalesce(F.sum(F.col("minimises").cast("int")).over(w), F.lit(0)).cast("int")
-    state["others"] = F.array_distinct(F.filter(F.flatten(F.collect_list("others").over(w)), lambda x: x != ""))
+    named_others = F.filter("others", lambda x: x != "")  # turns without any add nothing to the list
+    state["others"] = F.array_distinct(F.flatten(F.collect_list(F.when(F.size(named_others) > 0, named_others)).over(w)))
     return turns.select(call, turn, *(c.alias(name) for name, c in state.items()))
 
 
 def short(c: Column) -> Column:
-    """A number as short as it can be written."""
-    return F.regexp_replace(F.format_string("%.4f", c), r"\.?0+$", "")
+    """A number as short as it can be written; null of none."""
+    return F.when(c.isNotNull(), F.regexp_replace(F.format_string("%.4f", c), r"\.?0+$", ""))
 
 
 def evaluate(s: DataFrame, procedure: Column | None = None, day: Column | None = None) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tamiz.functions import lexicon, speech
 from tamiz.functions import text as T
-from tamiz.operators import chunking, dialog, grounding, metrics, retrieval, rules, slots, speech_repair
+from tamiz.operators import chunking, dialog, grounding, guards, metrics, retrieval, rules, slots, speech_repair
 from tamiz.session import table
 from tamiz.sources import store
 from tamiz.streaming import calls, signal
@@ -156,16 +156,20 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"with {DENSE} select query_id, chunk_id, rank from (select *, row_number() over (partition by query_id order by round(distance, 9), chunk_id) as rank from pairs where label = wanted or label = 0) where rank <= 5")
 def dense_topk_filtered(spark: SparkSession, sf: str) -> DataFrame:
-    asked = _asked(spark, sf).select("query_id", F.col("embedding").alias("query"), "wanted")
-    pairs = _vectors(spark, sf).join(F.broadcast(asked), (F.col("label") == F.col("wanted")) | (F.col("label") == 0))
-    near = pairs.select("query_id", "chunk_id", retrieval.cosine_distance(F.col("embedding"), F.col("query")).alias("distance"))
-    return retrieval.top(near, 5, F.round("distance", 9), F.col("chunk_id")).select("query_id", "chunk_id", "rank")
+    """Labels stand for scenarios; 0 is the general one."""
+    name = lambda c: F.when(F.col(c) == 0, "general").otherwise(F.col(c).cast("string"))
+    vectors = _vectors(spark, sf).withColumn("scenario", name("label"))
+    asked = _asked(spark, sf).withColumn("scenario", name("wanted"))
+    return retrieval.dense(vectors, asked, 5).select("query_id", "chunk_id", "rank")
 
 
 @query(f"with {DENSE} select query_id, min(distance) <= 0.6 as passes from nearest where rank > 1 group by query_id")
 def relevance_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Which queries pass by the nearest vector that is not their own."""
     near = retrieval.dense(_vectors(spark, sf), _asked(spark, sf)).where("rank > 1")
-    return near.groupBy("query_id").agg((F.min("distance") <= 0.6).alias("passes"))
+    every = near.select("query_id").distinct()
+    passed = retrieval.gate(every, near, 0.6).withColumn("passes", F.lit(True))
+    return every.join(passed, "query_id", "left").select("query_id", F.coalesce("passes", F.lit(False)).alias("passes"))
 
 
 FUSED = f"""{BM25}, {DENSE},
@@ -180,10 +184,14 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "lexical_rank", "dense_rank")
 
 
-HYBRID = rf"""with {FUSED},
+#: BM25 over title and text, and vectors of stored documents alone.
+TITLED = "case when source in ('src1', 'src2') then 'Plan de cuidado' else source end || ' ' || text"
+STORED = FUSED.replace(WORDS.format("text") + " as w from documents", WORDS.format(TITLED) + " as w from documents").replace("from embeddings v,", "from (select * from embeddings where vec_id in (select doc_id from documents)) v,")
+HYBRID = rf"""with {STORED},
+gated as (select query_id from nearest group by query_id having min(distance) > 0.42),
 hits as (
   select f.query_id, f.chunk_id, d.text, f.lexical_rank, f.dense_rank, f.score * case when d.source in ('src1', 'src2') then 1.6 else 1 end as score
-  from fused f join documents d on d.doc_id = f.chunk_id),
+  from fused f join documents d on d.doc_id = f.chunk_id where f.query_id not in (select query_id from gated)),
 cut as (select * from (select *, row_number() over (partition by query_id order by round(score, 9) desc, lexical_rank nulls last, dense_rank nulls last) as rank from hits) where rank <= 6),
 one as (select * from (select *, row_number() over (partition by query_id, lower(left(regexp_replace(text, '[ \t\n\x0b\f\r]+', '', 'g'), 300)) order by rank) as first from cut) where first = 1)
 select query_id, n, chunk_id, round(score, 9) as score from (select *, row_number() over (partition by query_id order by rank) as n from one) where n <= 2"""
@@ -197,25 +205,36 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     chunks = docs.join(vectors, "doc_id", "left").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("parent_id"), title.alias("title"), "text", "embedding")
     asked = _queries(spark, sf).join(_asked(spark, sf).drop("wanted"), "query_id", "left")
-    with_vectors = chunks.where("embedding is not null")
-    lexical = retrieval.bm25(chunks, asked)
-    nearest = retrieval.dense(with_vectors, asked.where("embedding is not null"))
-    hits = retrieval.gate(retrieval.fused(lexical, nearest), nearest).join(chunks.select("chunk_id", "parent_id", "title"), "chunk_id")
-    hits = hits.withColumn("score", F.when(T.for_patients(F.col("title")), F.col("score") * retrieval.BOOST).otherwise(F.col("score")))
-    hits = retrieval.top(hits, 6, F.round("score", 9).desc(), F.col("lexical_rank").asc_nulls_last(), F.col("dense_rank").asc_nulls_last())
-    found = retrieval.sources(hits, chunks.select("parent_id", "text"))
+    found = retrieval.hybrid(chunks, chunks.select("parent_id", "text"), asked)
     return found.select("query_id", "n", "chunk_id", F.round("score", 9).alias("score"))
 
 
+@query()
+def small_to_big(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks by keywords, then the first hit of each parent block and of each parent text."""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("file"), "text")
+    parents = chunking.parents(chunking.sections(docs))
+    chunks = chunking.children(parents, F.lit(""))
+    hits = retrieval.bm25(chunks.select("chunk_id", "text"), _queries(spark, sf)).join(chunks.select("chunk_id", "parent_id"), "chunk_id")
+    found = retrieval.sources(hits, parents.select("parent_id", "text"), 6)
+    return found.select("query_id", "n", "parent_id", "chunk_id", F.round("score", 5).alias("score"))
+
+
 @query(r"""
 select b.item_id, d.doc_id, case when length(d.text) <= 700 then d.text when pos < 0 then left(d.text, 700)
   else case when greatest(0, pos - 175) > 0 then '…' else '' end || substr(d.text, greatest(0, pos - 175) + 1, 700) || '…' end as excerpt
 from benchmark b, lateral (select doc_id, text, instr(text, left(b.text, 80)) - 1 as pos from documents) d where d.doc_id = b.item_id or pos >= 0""")
 def context_window(spark: SparkSession, sf: str) -> DataFrame:
-    items = F.broadcast(table(spark, sf, "benchmark").select("item_id", F.col("text").alias("hit")))
+    """Documents with an item's id, and those that hold its first 80 characters: its first words find the candidates."""
+    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("hit"), F.left("text", F.lit(80)).alias("start"))
     docs = table(spark, sf, "documents")
-    pairs = docs.join(items, (F.col("doc_id") == F.col("item_id")) | F.contains("text", F.left("hit", F.lit(80))))
-    return pairs.select("item_id", "doc_id", T.window(F.col("text"), F.col("hit"), 700).alias("excerpt"))
+    # a passage that holds the first 80 characters holds the words between their first and last white space
+    inner = F.split(F.regexp_replace(F.regexp_replace("start", r"^\S*\s+", ""), r"\s+\S*$", ""), r"\s+")
+    keyed = items.withColumn("word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    words = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    found = words.join(keyed, "word").where(F.contains("text", F.col("start"))).select("item_id", "doc_id", "text", "hit")
+    same = docs.join(items, F.col("doc_id") == F.col("item_id")).where(~F.coalesce(F.contains("text", F.col("start")), F.lit(False))).select("item_id", "doc_id", "text", "hit")
+    return found.unionByName(same).select("item_id", "doc_id", T.window(F.col("text"), F.col("hit"), 700).alias("excerpt"))
 
 
 @query()
@@ -227,8 +246,8 @@ def query_expansion(spark: SparkSession, sf: str) -> DataFrame:
 @query("select event_type, quantile_disc(value, 0.5) is not null as some, round(list_sort(list(value))[least(count(value) - 1, round_even(0.95 * (count(value) - 1), 0)::bigint) + 1], 2) as p95 from events group by event_type".replace("quantile_disc(value, 0.5) is not null as some", "round(median(value), 2) as p50"))
 def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events")
-    p50 = events.groupBy("event_type").agg(F.round(F.median("value"), 2).alias("p50"))
-    return p50.join(metrics.ranked(events, "value", 0.95, "event_type"), "event_type").select("event_type", "p50", F.round("ranked", 2).alias("p95"))
+    p50, p95 = metrics.median(events, "value", "event_type"), metrics.ranked(events, "value", 0.95, "event_type")
+    return p50.join(p95, "event_type").select("event_type", F.round("median", 2).alias("p50"), F.round("ranked", 2).alias("p95"))
 
 
 def _turns(spark: SparkSession, sf: str) -> DataFrame:
@@ -365,7 +384,13 @@ def worst_of_merge(spark: SparkSession, sf: str) -> DataFrame:
 SAYINGS = ["tengo treinta y nueve de fiebre", "me duele siete de diez", "nada de pus", "no me sale pus, bueno ahora sí me salió pus amarillo", "mi hijo tiene 39 de fiebre", "mi hija dice que tengo 39 de fiebre", "fiebre desde hace treinta y seis horas", "dos pastillas cada ocho horas para el dolor", "sin sangrado", "todo bien"]
 
 
-@query()
+SAID = """
+with want(k, fever, fever_felt, pain, alarm) as (values (0, 39.0, null, null, null), (1, null, null, 7.0, null), (3, null, null, null, 'pus'), (5, 39.0, null, null, null), (6, null, true, null, null))
+select conv_id, turn, fever::double as fever, fever_felt::boolean as fever_felt, pain::double as pain, null::boolean as pain_worse, null::boolean as dyspnoea, null::boolean as bleeding, alarm
+from conversations left join want on k = (conv_id + turn) % 10"""
+
+
+@query(SAID)
 def symptom_extraction(spark: SparkSession, sf: str) -> DataFrame:
     saying = F.element_at(F.array(*map(F.lit, SAYINGS)), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(SAYINGS))) + 1).cast("int"))
     text = F.concat_ws(". ", saying, "text")
@@ -378,11 +403,9 @@ def last_agent_message(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", "role", F.last(F.when(F.col("role") == "assistant", F.col("text")), True).over(w).alias("last_agent"))
 
 
-@query("select conv_id, turn, text from (select *, row_number() over (partition by conv_id order by turn) as a, row_number() over (partition by conv_id order by turn desc) as z from conversations) where a = 1 or z <= 4")
+@query("select conv_id, turn, text from (select *, row_number() over (partition by conv_id order by turn) as a, row_number() over (partition by conv_id order by turn desc) as z, count(*) over (partition by conv_id) as n from conversations) where n <= 9 or a = 1 or z <= 8")
 def history_prune(spark: SparkSession, sf: str) -> DataFrame:
-    by = Window.partitionBy("conv_id")
-    numbered = table(spark, sf, "conversations").withColumns({"a": F.row_number().over(by.orderBy("turn")), "z": F.row_number().over(by.orderBy(F.desc("turn")))})
-    return numbered.where("a = 1 or z <= 4").select("conv_id", "turn", "text")
+    return dialog.pruned(table(spark, sf, "conversations"), "conv_id").select("conv_id", "turn", "text")
 
 
 OVERLAP = "list_distinct(regexp_extract_all(strip_accents(lower(coalesce({}, ''))), '[a-z]{{3,}}'))"
@@ -423,9 +446,18 @@ def json_extract(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", parsed["k"].alias("k"), parsed["missing"].isNull().alias("missing"))
 
 
-@query("select source, count(*) as documents, count(*) filter (where lang = 'en') as english, max(doc_id) as newest from documents group by source")
+@query("select doc_id, source, n_chars::double as ts from documents")
 def manifest(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.col("lang") == "en").alias("english"), F.max("doc_id").alias("newest"))
+    """The stored documents, newest first; their length stands for a time."""
+    return store.manifest(table(spark, sf, "documents").select("doc_id", "source", F.col("n_chars").cast("double").alias("ts")))
+
+
+@query("select vec_id as doc_id, coalesce(source, vec_id::varchar) as title, source is not null as there from embeddings left join documents on vec_id = doc_id")
+def source_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles of documents by their vectors' ids, and whether the documents are stored."""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("title"))
+    ids = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    return store.known(docs, store.titled(ids, docs)).select("doc_id", "title", "there")
 
 
 @query("select doc_id, lang, n_chars from documents where doc_id % 10 <> 3 union all select doc_id, 'xx', n_chars + 1 from documents where doc_id % 10 = 3 union all select doc_id + 10000000, 'new', n_chars from documents where doc_id % 50 = 0")
@@ -441,11 +473,20 @@ def forget_documents(spark: SparkSession, sf: str) -> DataFrame:
     return store.forgotten(table(spark, sf, "documents").select("doc_id", "source", "n_chars"), table(spark, sf, "labels").where("toxic = 1"))
 
 
-@query("select o_custkey as doc_id, o_orderkey as pos, o_orderdate as page_from, coalesce(lead(o_orderdate) over (partition by o_custkey order by o_orderkey), max(o_orderdate) over (partition by o_custkey)) as page_to from orders")
+PAGES = """
+marks as (select o_custkey as doc_id, o_orderkey as pos, left(o_orderpriority, 120) as section, row_number() over (partition by o_custkey order by o_orderkey) // 2 + 1 as page_from from orders),
+spans as (select doc_id, pos, section, page_from, coalesce(lead(page_from) over (partition by doc_id order by pos), 20) as page_to from marks)"""
+
+
+@query(f"with {PAGES} select doc_id, pos, section, page_from::int as page_from, page_to::int as page_to, (select string_agg('p' || p || case when p % 3 = 0 then ' ' || doc_id else '' end, chr(10) order by p) from range(page_from, page_to + 1) t(p)) as text from spans where page_from <= page_to")
 def section_lead(spark: SparkSession, sf: str) -> DataFrame:
-    by = Window.partitionBy("o_custkey")
-    end = F.coalesce(F.lead("o_orderdate").over(by.orderBy("o_orderkey")), F.max("o_orderdate").over(by))
-    return table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("pos"), F.col("o_orderdate").alias("page_from"), end.alias("page_to"))
+    """Sections of an outline: a customer is a document of 20 pages, an order a mark."""
+    orders = table(spark, sf, "orders")
+    page = F.floor(F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) / 2).cast("int") + 1
+    marks = orders.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("title"), page.alias("page"))
+    pages = orders.select(F.col("o_custkey").alias("doc_id")).distinct().withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(20))))
+    text = F.concat(F.lit("p"), F.col("page").cast("string"), F.when(F.col("page") % 3 == 0, F.concat(F.lit(" "), F.col("doc_id").cast("string"))).otherwise(""))
+    return chunking.outline_sections(marks, pages.withColumn("text", text))
 
 
 @query("select p.page_id, length(regexp_replace(p.html, '<[^>]*>', '', 'g')) as n_chars, regexp_extract(p.html, '<title>([^<]*)', 1) as title from pages p")
@@ -462,25 +503,178 @@ def _answers(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", pick(0).alias("question"), pick(1).alias("answer"))
 
 
-@query()
+#: What the fixtures say, worked out by hand, in their order.
+K = "(conv_id + turn) % 7"
+SLOTS = f"""
+with want(k, slot, status, pain, fever, wound, appetite, no_fever, reply, confirmed) as (values
+  (0, 'dolor', 'filled', 6.0, null, null, null, null, 'De acuerdo, el dolor está en 6.', null), (1, 'fiebre', 'filled', null, 38.5, null, null, null, 'De acuerdo, 38.5 grados.', null),
+  (2, 'herida', 'filled', null, null, 'enrojecida', null, null, 'De acuerdo.', null), (3, 'apetito_sueno', 'filled', null, null, null, 'nulo', null, 'De acuerdo.', null),
+  (4, 'confirmacion', 'open', null, null, null, null, null, 'De acuerdo.', 'Sí, quedó claro.'), (5, 'fiebre', 'filled', null, null, null, null, true, 'De acuerdo, sin fiebre.', null),
+  (6, 'dolor', 'unclear', null, null, null, null, null, 'De acuerdo.', null))
+select conv_id, turn, slot, status, pain::double as pain, fever::double as fever, wound, appetite, no_fever, reply, confirmed from conversations join want on k = {K}"""
+
+
+@query(SLOTS)
 def slot_parsing(spark: SparkSession, sf: str) -> DataFrame:
     turns = _answers(spark, sf).withColumn("slot", slots.asked(F.col("question")))
     turns = turns.withColumn("got", slots.parsed(F.col("slot"), F.col("answer")))
     return turns.select("conv_id", "turn", "slot", "got.*", slots.acknowledged(F.col("slot"), F.col("got")).alias("reply"), slots.confirmed(F.col("answer"), F.col("question")).alias("confirmed"))
 
 
-@query()
+@query(f"select conv_id, turn, case {K} when 0 then 6 when 1 then 5 end as number, {speech_repair.ALOUD[:30]}[turn + 1] || ' de treinta y ocho punto cinco' as aloud from conversations")
 def spoken_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return _answers(spark, sf).select("conv_id", "turn", slots.spoken_number(F.col("answer")).alias("number"), speech_repair.spoken(F.concat_ws(" ", F.col("turn").cast("string"), F.lit("de 38.5"))).alias("aloud"))
 
 
-@query()
+@query("select conv_id, turn, case when turn % 2 = 0 then 'tengo fiebre y hinchazón' else 'la herida está bien' end as repaired from conversations")
 def fuzzy_repair(spark: SparkSession, sf: str) -> DataFrame:
     said = F.when(F.col("turn") % 2 == 0, "tengo fierebres y sin chasón").otherwise("la erida está bien")
     return table(spark, sf, "conversations").select("conv_id", "turn", speech_repair.repaired(said).alias("repaired"))
 
 
+#: Answers as a recogniser writes them, with the slot that was asked for, and what they are taken for.
+MISHEARD = [
+    ("cita", "es el próximo saludo", "el próximo sábado"), ("medicacion", "el cielo sigo tomando", "Sí, me los sigo tomando."), ("animo", "muy animado", "Bien, animado."), ("animo", "bien mal", "Mal, desanimado."),
+    ("apetito_sueno", "¿Cómo bien?", "Como bien."), ("cierre", "a dios doctora", "adiós doctora"), ("herida", "tiene enchazón", "tiene hinchazón"), ("fiebre", "treinta y ocho", "Tengo 38 grados."), ("fiebre", "nada", "No he tenido fiebre."), ("", "tal cual", "tal cual"),
+]
+
+
+def _dealt(spark: SparkSession, sf: str, rows: list[tuple], *names: str) -> DataFrame:
+    """The conversations' turns, each with one of the fixture rows."""
+    pick = F.element_at(F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(names, row, strict=True))) for row in rows)), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(rows))) + 1).cast("int"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", pick.alias("x")).select("conv_id", "turn", "x.*")
+
+
+def _quoted(x) -> str:
+    return "null" if x is None else str(x).lower() if isinstance(x, bool) else "'" + x.replace("'", "''") + "'"
+
+
+def _wanted(rows: list[tuple], *names: str) -> str:
+    """SQL for the fixtures' results, the last fields of each row."""
+    values = ", ".join(f"({k}, {', '.join(map(_quoted, row[-len(names):]))})" for k, row in enumerate(rows))
+    return f"with want(k, {', '.join(names)}) as (values {values}) select conv_id, turn, {', '.join(names)} from conversations join want on k = (conv_id + turn) % {len(rows)}"
+
+
+@query(_wanted(MISHEARD, "repaired"))
+def slot_repairs(spark: SparkSession, sf: str) -> DataFrame:
+    return _dealt(spark, sf, [r[:2] for r in MISHEARD], "slot", "answer").select("conv_id", "turn", slots.repaired(F.col("slot"), F.col("answer")).alias("repaired"))
+
+
+#: Replies of an assistant, and how they are said.
+REPLIES = [
+    ("Mauricio, le habla Clara. ¿Cómo sigue?", "¿Cómo sigue?"), ("Ana, le habla Clara. Hola Ana, le habla Clara. Siga así", "Siga así"), ("Bien. Luis, le habla Clara. Descanse", "Bien. Descanse"),
+    ("Si tienes fiebre, puedes llamar a tu médico", "Si tiene fiebre, puede llamar a su médico"), ("¿Estás bien? Tu herida y tú", "¿Estás bien? Su herida y usted"), ("", ""),
+]
+
+
+@query(_wanted(REPLIES, "reply"))
+def formal_replies(spark: SparkSession, sf: str) -> DataFrame:
+    return _dealt(spark, sf, [r[:1] for r in REPLIES], "text").select("conv_id", "turn", slots.formal(slots.introduced_once(F.col("text"))).alias("reply"))
+
+
+#: What a recogniser hands over; how it is taken; whether it asks; whether it is worth extracting from.
+HEARD = [
+    ("unos treinta y ocho grados?", "unos treinta y ocho grados.", False, True), ("¿puedo bañarme?", "¿puedo bañarme?", True, True), ("tengo dolor", "tengo dolor", False, True), ("¿Cómo bien?", "¿Cómo bien?", False, True),
+    ("Gracias.", "", False, False), ("…", "", False, False), ("sí señora", "sí señora", False, False), ("es normal que salga líquido de la herida?", "es normal que salga líquido de la herida?", True, True),
+    ("una frase mucho más larga de lo que cabe en tan poco tiempo", "", False, False), ("quiero saber cuándo vuelvo", "quiero saber cuándo vuelvo", True, False),
+]
+
+
+@query(_wanted(HEARD, "heard", "asks", "worth"))
+def turn_guards(spark: SparkSession, sf: str) -> DataFrame:
+    heard = _dealt(spark, sf, [r[:1] for r in HEARD], "text").withColumn("heard", guards.settled(guards.heard(F.col("text"), F.lit(2.0))))
+    return heard.select("conv_id", "turn", "heard", guards.asks(F.col("heard")).alias("asks"), guards.worth_extracting(F.col("heard")).alias("worth"))
+
+
+#: What was said, what was heard, what was replied, and the issues of that turn.
+TURNS_CHECKED = [
+    ("tengo fiebre alta", "tengo fiebre alta", "¿Cuánto marcó?", ""), ("tengo fiebre alta", "", "Bien", "STT vacío o ausente"), ("tengo fiebre alta", "la casa", "Bien", "STT muy distinto de lo dicho: «la casa»"),
+    ("sí", "no", "¿Puedes venir? ¿Cuándo?", "Posible tuteo en respuesta;Más de una pregunta en el turno"), ("sí", "sí", "Gracias por compartir eso", "Fórmula poco natural: gracias por compartir"),
+    ("sí", "sí", "Por lo que me cuenta, hoy. Por lo que me cuenta, ya.", "Protocolo de alerta duplicado en el mismo texto"), ("sí", "sí", None, ""),
+]
+
+
+@query(_wanted(TURNS_CHECKED, "issues"))
+def reply_checks(spark: SparkSession, sf: str) -> DataFrame:
+    turns = _dealt(spark, sf, [r[:3] for r in TURNS_CHECKED], "said", "heard", "reply")
+    return turns.select("conv_id", "turn", F.array_join(guards.reply_issues(F.col("said"), F.col("heard"), F.col("reply")), ";").alias("issues"))
+
+
+BATTERY = """
+with calls as (select user_id as call_id, min(value) >= 1 as ok, count(*) filter (where value < 5) as spurious from events group by user_id)
+select count(*) as total, count(*) filter (where ok) as ok, count(*) filter (where not ok) as fail, sum(spurious)::bigint as spurious_searches from calls"""
+
+
+@query(BATTERY)
+def battery_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Users as test calls; a low value stands for a search that nobody asked for."""
+    issue = F.when(F.col("value") < 5, F.concat(F.lit("T1: RAG espurio: "), F.col("event_id").cast("string")))
+    calls_ = table(spark, sf, "events").groupBy(F.col("user_id").alias("call_id")).agg((F.min("value") >= 1).alias("ok"), F.collect_list(issue).alias("issues"))
+    return guards.battery(calls_)
+
+
+@query("select event_id, greatest(0, least(200, trunc(value * 3 - 100)))::int as age, case when value * 1000 between 8000 and 192000 then trunc(value * 1000)::int else 48000 end as rate, left(event_type, 3) as kind from events")
+def clamped_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    v = F.col("value")
+    return table(spark, sf, "events").select("event_id", guards.whole_number(v * 3 - 100, 50).alias("age"), guards.sample_rate(v * 1000).alias("rate"), guards.short_text(F.col("event_type"), "none", 3).alias("kind"))
+
+
+@query("select event_id from events where event_id % 5 = 0 or (value / 1000 >= 0.02 and value / 3 >= 12)")
+def noise_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Values of events as loudness and share of voice; every fifth is too short to be measured."""
+    rms = F.when(F.col("event_id") % 5 != 0, F.col("value") / 1000)
+    return guards.voiced(table(spark, sf, "events").select("event_id", rms.alias("rms"), (F.col("value") / 3).alias("voice"))).select("event_id")
+
+
+@query("select doc_id as case_id, level from (select doc_id, case toxic when 1 then 'rojo' else case quality when 1 then 'verde' else 'amarillo' end end as level, row_number() over (partition by toxic = 0 and quality = 1 order by doc_id) as n from labels where doc_id % 2 = 0 and doc_id % 3 > 0) where level <> 'verde' or n <= 7")
+def evaluation_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels as cases of two layers and two speakers; seven green ones are a report's own limit."""
+    level = F.when(F.col("toxic") == 1, "rojo").when(F.col("quality") == 1, "verde").otherwise("amarillo")
+    layer = F.when(F.col("doc_id") % 2 == 0, "clean").otherwise("noisy")
+    speaker = F.when(F.col("doc_id") % 3 > 0, "paciente").otherwise("familiar")
+    cases = table(spark, sf, "labels").select(F.col("doc_id").alias("case_id"), level.alias("level"), layer.alias("layer"), speaker.alias("speaker"))
+    return metrics.chosen_cases(cases, "clean", greens=7).select("case_id", "level")
+
+
+POOLED = """
+with v as (select vec_id, embedding::double[] as e, list_reverse(embedding::double[]) as r from embeddings where embedding is not null),
+s as (select vec_id, case when vec_id % 2 = 1 then list_transform(list_zip(e, r), lambda x: x[1] + x[2]) else e end as t from v)
+select vec_id, round(t[1] / sqrt(list_dot_product(t, t)), 6) as first, round(t[2] / sqrt(list_dot_product(t, t)), 6) as second from s"""
+
+
+@query(POOLED)
+def mean_pooling(spark: SparkSession, sf: str) -> DataFrame:
+    """A vector and its reverse as the vectors of two tokens, of which the second counts every other time."""
+    e = F.col("embedding")
+    mean = retrieval.pooled(F.array(e, F.reverse(e)), F.array(F.lit(1), (F.col("vec_id") % 2).cast("int")))
+    return table(spark, sf, "embeddings").where("embedding is not null").select("vec_id", mean.alias("m")).select("vec_id", F.round(F.col("m")[0], 6).alias("first"), F.round(F.col("m")[1], 6).alias("second"))
+
+
+@query("select user_id as call_id, count(*) as n, max(event_id) as last_source from events group by user_id")
+def citations(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as the sources of calls, as records in order."""
+    sources = table(spark, sf, "events").select(F.col("user_id").alias("call_id"), F.col("event_id").alias("n"), F.col("event_type").alias("doc_id"), F.col("event_type").alias("title"), F.lit("s").alias("section"), F.lit(1).alias("page_from"), F.lit(2).alias("page_to"))
+    found = guards.cited(sources, F.lit("q"), F.lit(1))
+    return found.select("call_id", F.size("cited").cast("long").alias("n"), F.element_at("cited", -1)["n"].alias("last_source"))
+
+
 @query()
+def font_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of documents; every ninth is set larger."""
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    size = F.when(F.pmod(F.col("doc_id") + F.col("pos"), F.lit(9)) == 0, 14.0).otherwise(10.0)
+    return chunking.font_sections(lines.select("doc_id", (F.floor(F.col("pos") / 20) + 1).cast("int").alias("page"), "pos", "text", F.array(size).alias("sizes")))
+
+
+GROUNDED = f"""
+with want(k, pain, fever, wound, appetite, fever_felt, mentioned) as (values
+  (0, 6.0, null, null, null, null, false), (1, null, null, null, null, null, false), (2, null, null, null, null, null, false), (3, null, null, null, 'nulo', null, false),
+  (4, null, null, null, null, null, false), (5, null, null, null, null, true, false), (6, null, null, null, null, null, false))
+select conv_id, turn, pain::double as pain, fever::double as fever, wound::varchar as wound, appetite, fever_felt::boolean as fever_felt, mentioned, null::varchar as sleep, null::boolean as pain_worse, null::boolean as bleeding,
+  null::boolean as dyspnoea, null::boolean as vomiting, false as minimises from conversations join want on k = {K}"""
+
+
+@query(GROUNDED)
 def grounded_extraction(spark: SparkSession, sf: str) -> DataFrame:
     claims = {"pain": F.lit(9.0), "fever": F.lit(39.0), "wound": F.lit(None).cast("string"), "appetite": F.lit("nulo"), "sleep": F.lit("alterado"), **{n: F.lit(True) for n in rules.FLAGS}}
     return _answers(spark, sf).select("conv_id", "turn", *(c.alias(n) for n, c in grounding.grounded(claims, F.col("answer")).items()))
@@ -498,7 +692,16 @@ def block_quality(spark: SparkSession, sf: str) -> DataFrame:
     return signal.quality(blocks)
 
 
-@query()
+GUARDS = f"""
+with a as (select conv_id as call_id, turn, {K} as k from conversations),
+d as (select *, bool_or(k = 0) over w as dolor, bool_or(k in (1, 5)) over w as fiebre, bool_or(k = 2) over w as herida, bool_or(k = 3) over w as apetito, count(*) filter (where k <> 6) over w as stretch
+  from a window w as (partition by call_id order by turn rows unbounded preceding))
+select call_id, turn * 2 + 1 as turn, ['dolor', 'fiebre', 'herida', 'apetito_sueno', 'confirmacion', 'fiebre', 'dolor'][k + 1] as slot, ['slot', 'slot', 'slot', 'slot', 'extract', 'slot', 'repeat'][k + 1] as action,
+  null::varchar as alarm, false as alerted, case when not dolor then 'dolor' when not fiebre then 'fiebre' when not herida then 'herida' else 'movilidad' end as next_item,
+  (case when k = 6 then count(*) filter (where k = 6) over (partition by call_id, stretch order by turn rows unbounded preceding) else 0 end)::int as unclear from d"""
+
+
+@query(GUARDS)
 def call_guards(spark: SparkSession, sf: str) -> DataFrame:
     """Fixture questions and answers as the turns of the driver's conversations."""
     turns = _answers(spark, sf)

@@ -26,6 +26,19 @@ def uploads(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return found.select(F.left(name, F.lit(120)).alias("file"), T.content_id(F.col("content")).alias("doc_id"), F.col("length").alias("bytes"), problem.alias("problem"), text.alias("text"))
 
 
+def vocabulary(spark: SparkSession, path: str) -> frozenset[str]:
+    """The words of a file, one to a line; none where there is no file (repairs then go by likeness alone)."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return frozenset()
+    return frozenset(r["value"] for r in spark.read.text(path).where(F.trim("value") != "").distinct().collect())
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Adds rows (turns, calls, alerts) to a log of JSON lines."""
+    rows.write.mode("append").json(path)
+
+
 def turn_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TURN).json(path)
 

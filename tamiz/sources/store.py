@@ -21,6 +21,23 @@ def manifest(documents: DataFrame) -> DataFrame:
     return documents.orderBy(F.desc("ts"), "doc_id")
 
 
+def known(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """ids (doc_id) with whether a document of that id is stored."""
+    there = documents.select("doc_id").distinct().withColumn("there", F.lit(True))
+    return ids.join(there, "doc_id", "left").withColumn("there", F.coalesce("there", F.lit(False)))
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The stored rows (chunks, parents) of the given keys; none of no keys."""
+    return rows.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def titled(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """rows (doc_id, ...) with the title of their document, or its id where it has none."""
+    titles = documents.select("doc_id", F.col("title").alias("_title"))
+    return rows.join(titles, "doc_id", "left").withColumn("title", F.coalesce("_title", F.col("doc_id").cast("string"))).drop("_title")
+
+
 class Store:
     """Readers see one whole version: a change writes new tables, then renames the pointer over the old one."""
 

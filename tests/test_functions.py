@@ -56,6 +56,10 @@ CASES = [
     ("mi hija dice que tengo 39 de fiebre", {"fever": 39.0}),
     ("me duele siete de diez", {"pain": 7.0}),
     ("dos pastillas cada ocho horas para el dolor", {}),
+    ("llevo 8 horas de dolor", {}),
+    ("me duele hace 3 dias", {}),
+    ("el dolor es 4 de 10 y llevo 9 horas de dolor", {"pain": 4.0}),
+    ("treinta y 9 de fiebre", {"fever_felt": True}),
     ("el dolor está en seis y va subiendo", {"pain": 6.0, "pain_worse": True}),
     ("me falta el aire", {"dyspnoea": True}),
     ("sin sangrado", {}),
@@ -128,6 +132,71 @@ def test_expansion(spark):
     assert one(spark, e, t="fiebre fever") == "fiebre fever temperature temperatura"
 
 
+def test_blocks_of_one_endless_word():
+    text = "x" * 50_000
+    out = chunking.blocks(text)
+    assert "".join(out) == text and len(out) > 1 and max(map(chunking.tokens_in, out)) <= chunking.PARENT
+    out = chunking.blocks(text, 100, len)
+    assert "".join(out) == text and {len(b) for b in out[:-1]} == {200}
+
+
+def test_chunks_and_statuses(spark):
+    docs = spark.createDataFrame([("d", "f", "# One\n" + "A sentence that is long enough to be kept as a chunk. " * 3), ("e", "g", "short"), ("n", "h", None)], "doc_id string, file string, text string")
+    parents = chunking.parents(chunking.sections(docs))
+    chunks = chunking.children(parents)
+    assert {r.doc_id: r.status for r in chunking.statuses(docs, chunks).collect()} == {"d": "ok", "e": "error_sin_texto", "n": "error_sin_texto"}
+    assert {r.doc_id for r in chunking.with_children(parents, chunks).collect()} == {"d"}
+
+
+def test_font_sections(spark):
+    import random
+
+    r = random.Random(4)
+    rows = []
+    for d in range(6):
+        for i in range(r.randint(1, 120)):
+            text = r.choice(["A heading", "ab", "Ends here.", "", "  ", "word " * r.randint(1, 30)])
+            rows.append((d, i // 10 + 1, i, text, [r.choice([10.0, 10.0, 10.0, 11.0, 14.0]) for _ in range(r.randint(1, 3))]))
+    want = []
+    for d in range(6):
+        mine = [x for x in rows if x[0] == d]
+        sizes = sorted(s for x in mine if x[3].strip() for s in x[4])
+        body = sizes[len(sizes) // 2] if sizes else 10
+        found, name, page, text = [], "Inicio", 1, ""
+        for _, p, _, line, size in mine:
+            line = line.strip()
+            if line and max(size) > 1.18 * body and 3 < len(line) < 90 and line[-1] not in ".,;" and len(text) > 400:
+                found.append((name, page, p, text))
+                name, page, text = line[:120], p, ""
+            elif line:
+                text += line + "\n"
+        found.append((name, page, max(x[1] for x in mine), text))
+        want += [(d, k, *f) for k, f in enumerate(found) if f[3].strip()]
+    got = chunking.font_sections(spark.createDataFrame(rows, "doc_id int, page int, pos int, text string, sizes array<double>"))
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want) and len(want) > 8
+
+
+def test_hybrid_looks_in_titles(spark):
+    chunks = spark.createDataFrame([(1, 1, "Fiebre", "uno", "texto", [1.0, 0.0]), (2, 2, None, "Fiebre", "texto", [1.0, 0.0]), (3, 3, "x", "y", "texto", [1.0, 0.0])], "chunk_id int, parent_id int, title string, section string, text string, embedding array<double>")
+    assert {r.chunk_id for r in retrieval.bm25(retrieval.keyword_field(chunks), spark.createDataFrame([(1, "fiebre")], "query_id int, text string")).collect()} == {1, 2}
+
+
+def test_dense_by_blocks(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(retrieval, "BLOCK", 7)
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(60, 4)).round(1)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100, None), (101, [1.0])]
+    vectors = spark.createDataFrame(rows, "chunk_id int, embedding array<double>").repartition(2)
+    got = retrieval.dense(vectors, spark.createDataFrame([(i, x[i].tolist()) for i in range(20)], "query_id int, embedding array<double>"), 5).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(20):
+        want = sorted((round(1 - float(unit[q] @ unit[i]), 9) + 0.0, i) for i in range(60))[:5]
+        mine = sorted((round(r.distance, 9) + 0.0, r.chunk_id) for r in got if r.query_id == q)
+        assert [i for _, i in mine] == [i for _, i in want] or np.allclose([d for d, _ in mine], [d for d, _ in want], atol=1e-8)
+
+
 words = st.lists(st.text("ab.", min_size=1, max_size=4), min_size=1, max_size=120)
 
 

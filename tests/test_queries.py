@@ -8,7 +8,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from pyspark.sql import functions as F
+
 from tamiz.functions import lexicon
+from tamiz.operators import chunking, retrieval
 from tamiz.plans.queries import ORACLE, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -64,6 +67,49 @@ def test_query_expansion_reads_whole_items(spark, sf, tmp_path):
     assert got[10_000_004].endswith("escalofrios chills")
 
 
+def test_small_to_big_by_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "source as file", "text")
+    parents = chunking.parents(chunking.sections(docs)).collect()
+    text = {r.parent_id: r.text for r in parents}
+    chunks = chunking.children(chunking.parents(chunking.sections(docs)), F.lit(""))
+    parent_of = {r.chunk_id: r.parent_id for r in chunks.select("chunk_id", "parent_id").collect()}
+    assert set(parent_of.values()) <= set(text)
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").selectExpr("item_id as query_id", "text")
+    by = {}
+    for r in retrieval.bm25(chunks.select("chunk_id", "text"), items).orderBy("query_id", "rank").collect():
+        by.setdefault(r.query_id, []).append(r.chunk_id)
+    want, dropped = set(), 0
+    for q, hits in by.items():
+        seen, prints, n = set(), set(), 0
+        for c in hits:
+            p = parent_of[c]
+            mark = re.sub(r"\s+", "", text[p])[:300].lower()
+            dropped += p in seen
+            if p in seen or mark in prints or n == 6:
+                seen.add(p)
+                continue
+            seen.add(p), prints.add(mark)
+            n += 1
+            want.add((q, n, p, c))
+    got = {(r.query_id, r.n, r.parent_id, r.chunk_id) for r in QUERIES["small_to_big"](spark, sf).collect()}
+    assert got == want and dropped
+
+
+def test_sentence_stream_by_brute_force(spark, sf):
+    whole = {(r.conv_id, r.turn): r.text or "" for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
+    for r in QUERIES["sentence_stream"](spark, sf).collect():
+        text = whole[r.conv_id, r.turn]
+        assert " ".join(" ".join(r.sentences).split()) == " ".join(text.split())
+        assert all(len(s) >= 25 and s[-1] in ".!?…" for s in r.sentences[:-1])
+
+
+def test_bm25_reads_the_texts_once(spark, sf):
+    plan = QUERIES["bm25_topk"](spark, sf)
+    plan.collect()
+    shown = plan._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in shown or shown.count("documents.parquet") == 1, shown
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -27,7 +27,7 @@ def test_slots(spark, slot, text, status, got):
     assert {k: v for k, v in row.items() if v is not None} == got
 
 
-@pytest.mark.parametrize(("text", "want"), [("tengo 36 grados y seis de dolor", 6), ("el dolor en cuatro o tres no", 3), ("once", None), ("ocho", 8), ("nuebe", 9), ("hola", None), (None, None)])
+@pytest.mark.parametrize(("text", "want"), [("tengo 36 grados y seis de dolor", 6), ("el dolor en cuatro o tres no", 3), ("once", None), ("ocho", 8), ("nuebe", 9), ("cuattro", 4), ("siette", 7), ("hola", None), (None, None)])
 def test_spoken_number(spark, text, want):
     assert one(spark, slots.spoken_number(F.col("t")), t=text) == want
 
@@ -37,6 +37,7 @@ def test_questions_and_replies(spark):
     assert one(spark, slots.asked(F.col("t")), t="hola") is None
     got = slots.parsed(F.lit("fiebre"), F.col("t"))
     assert one(spark, slots.acknowledged(F.lit("fiebre"), got), t="treinta y ocho") == "De acuerdo, 38 grados."
+    assert one(spark, slots.acknowledged(F.lit("fiebre"), got), t="nada de fiebre") == "De acuerdo, sin fiebre."
     assert one(spark, slots.confirmed(F.col("t"), F.lit("¿Le quedó claro?")), t="no me quedó claro") == "No, no me quedó claro."
     assert one(spark, slots.confirmed(F.col("t"), F.lit("¿Le quedó claro?")), t="y se quede a un lado") == "Sí, quedó claro."
     assert one(spark, slots.confirmed(F.col("t"), F.lit("hola")), t="sí") is None
@@ -65,8 +66,15 @@ def test_repair(spark, text, want):
 
 
 def test_numbers_aloud():
-    assert [speech_repair.number_words(n) for n in (0, 16, 31, 100, 101, 555, 999)] == ["cero", "dieciséis", "treinta y uno", "cien", "ciento uno", "quinientos cincuenta y cinco", "novecientos noventa y nueve"]
+    assert len(speech_repair.ALOUD) == 1000 == len(set(speech_repair.ALOUD))
+    assert [speech_repair.ALOUD[n] for n in (0, 16, 31, 100, 101, 555, 999)] == ["cero", "dieciséis", "treinta y uno", "cien", "ciento uno", "quinientos cincuenta y cinco", "novecientos noventa y nueve"]
     assert speech_repair.read_aloud("Tiene 38.5 °C [1], dolor **7/10** y 20%") == "Tiene treinta y ocho punto cinco grados , dolor siete sobre diez y veinte por ciento"
+    assert speech_repair.read_aloud("1234 y 5,07 o 12.345") == "1234 y cinco punto cero siete o doce.trescientos cuarenta y cinco"
+
+
+def test_repair_with_a_vocabulary():
+    fix = speech_repair.Repair(frozenset({"sanando", "punzada", "color"}))
+    assert fix("sanando las punzadas y colores") == "sanando las punzadas y colores" and fix("fierebres") == "fiebre" and fix("amarillenta") == "amarillenta"
 
 
 def test_sentence_stream():
@@ -75,21 +83,53 @@ def test_sentence_stream():
 
 
 def test_gain_does_not_depend_on_when_blocks_arrive():
-    rng = np.random.default_rng(0)
-    blocks = [rng.normal(size=64) * s for s in (0.01, 0.2, 0.001, 0.5)]
-    level, gain, levels = 0.0, 1.0, []
-    for b in blocks:
-        y, level, gain = signal.leveled(b, level, gain)
-        levels.append((level, gain))
-        assert np.abs(y).max() <= 1
-    assert levels[1][0] >= levels[2][0] > 0 and all(1 <= g <= signal.GAIN for _, g in levels)
+    peaks = np.array([0.01, 0.2, np.nan, 0.001, 0.5, 0.0])
+    whole, level, gain = signal.gains(peaks, 0.0, 1.0)
+    one, now = [], (0.0, 1.0)
+    for p in peaks:
+        by, *now = signal.gains(np.array([p]), *now)
+        one += by.tolist()
+    assert one == whole.tolist() and tuple(now) == (level, gain) and whole[1] == whole[2] and (whole >= 1).all() and (whole <= signal.GAIN).all()
+    assert np.isclose(whole[0], 1 + 0.25 * (12 - 1)) and np.isclose(level, 0.5 * 0.995)
 
 
 def test_quality(spark):
+    rng = np.random.default_rng(2)
     tone = np.sin(2 * np.pi * 1000 * np.arange(3200) / signal.RATE).tolist()
-    df = spark.createDataFrame([("a", 1, tone), ("a", 2, [0.5] * 10)], "call_id string, seq int, samples array<double>")
-    got = {r.seq: r for r in signal.quality(df).collect()}
-    assert got[1].voice > 99 and abs(got[1].rms - 0.7071) < 1e-3 and got[2].rms is None
+    odd = rng.normal(size=3200)
+    rows = [("a", 1, tone), ("a", 2, [0.5] * 10), ("a", 3, odd.tolist()), ("a", 4, [0.0] * 1000), ("a", 5, rng.normal(size=801).tolist()), ("a", 6, [float("nan"), float("inf")] * 500)]
+    got = {r.seq: r for r in signal.quality(spark.createDataFrame(rows, "call_id string, seq int, samples array<double>")).collect()}
+    assert got[1].voice > 99 and abs(got[1].rms - 0.7071) < 1e-3 and got[2].rms is None and got[2].seconds == 0.0
+    assert got[4].voice == got[4].rms == got[6].peak == 0.0
+    for seq in (3, 5):
+        x = np.array(rows[seq - 1][2])
+        x = x - x.mean()
+        spectrum = [(k * 16000 / len(x), abs(p) ** 2) for k, p in enumerate(np.fft.rfft(x * np.hanning(len(x))))]
+        total = sum(p for hz, p in spectrum if hz < 8000)
+        for name, low, high in (("voice", 300, 3000), ("high", 3000, 7000), ("rumble", 0, 300)):
+            assert abs(got[seq][name] - 100 * sum(p for hz, p in spectrum if low <= hz < high) / total) < 0.06
+        assert abs(got[seq].peak - abs(x).max()) < 1e-3 and abs(got[seq].rms - np.sqrt((x**2).mean())) < 1e-4
+
+
+def test_samples_and_pending_sound(spark):
+    raw = [np.array([0.5, np.nan, -np.inf], "<f4").tobytes() + b"ab", b"abc", b""]
+    df = spark.createDataFrame([("a", i, bytearray(x)) for i, x in enumerate(raw)], "call_id string, seq int, sound binary").withColumn("samples", signal.samples("sound"))
+    assert [r.samples for r in df.orderBy("seq").collect()] == [[0.5, 0.0, 0.0], [], []]
+    two = spark.createDataFrame([("a", 2, [3.0]), ("a", 1, [1.0, 2.0])], "call_id string, seq int, samples array<double>")
+    assert signal.joined(two, "call_id").first().samples == [1.0, 2.0, 3.0]
+
+
+def test_filter_by_its_recurrence():
+    rng = np.random.default_rng(3)
+    x, sections = rng.normal(size=333), signal.butterworth(4, 90.0, 16000, True)
+    want, z = x.copy(), np.zeros((2, 2))
+    for k, (b0, b1, b2, a1, a2) in enumerate(sections):
+        for i, v in enumerate(want.tolist()):
+            out = b0 * v + z[k][0]
+            z[k] = b1 * v - a1 * out + z[k][1], b2 * v - a2 * out
+            want[i] = out
+    got, state = signal.filtered(x, sections, np.zeros((2, 2)))
+    assert np.allclose(got, want) and np.allclose(state, z)
 
 
 @pytest.mark.parametrize("rate", [8000, 16000, 44100, 48000])
@@ -120,5 +160,34 @@ def test_guards_come_in_order(spark):
 
     lines = ["¿Cómo ha estado el dolor?", "en seis", "¿Cuál es su temperatura?", "mm", "¿Cómo está la herida?", "me sale pus", "¿Le quedó claro?", "sí", "¿Algo más?", "¿puedo caminar?", "¿Algo más?", "no gracias"]
     turns = spark.createDataFrame([("c", i, "assistant" if i % 2 == 0 else "user", t) for i, t in enumerate(lines)], "call_id string, turn int, role string, text string")
+    assert [r.unclear for r in dialog.processed(turns).orderBy("turn").collect()] == [0, 1, 0, 0, 0, 0]
     got = [(r.action, r.alerted, r.next_item) for r in dialog.processed(turns).orderBy("turn").collect()]
     assert got == [("slot", False, "fiebre"), ("repeat", False, "fiebre"), ("escalate", False, "fiebre"), ("confirmation", True, "fiebre"), ("answer", True, "fiebre"), ("farewell", True, "fiebre")]
+
+
+@pytest.mark.parametrize(("heard", "fixed", "want"), [("tengo fierbe", "tengo fiebre", "tengo fiebre"), ("hola", " ", "hola"), ("hola", "HOLA", "hola"), ("me duele", "Lo siento, no puedo ayudar", "me duele"), ("a" * 100, "corto", "a" * 100), ("no", "x" * 61, "no"), ("no", None, "no")])
+def test_corrected(spark, heard, fixed, want):
+    from tamiz.operators import dialog
+
+    assert one(spark, dialog.corrected(F.col("a"), F.col("b")), a=heard, b=fixed) == want
+
+
+def test_clamps_and_prompts(spark):
+    from tamiz.operators import guards
+
+    assert [one(spark, guards.whole_number(F.col("t"), 50), t=x) for x in ("33", "33.9", "1e9", "-4", "x", "", None, "NaN")] == [33, 33, 200, 0, 50, 50, 50, 50]
+    assert [one(spark, guards.sample_rate(F.col("t")), t=x) for x in ("16000", "7999", "192001", "x", None)] == [16000, 48000, 48000, 48000, 48000]
+    kind = lambda q, s, t: one(spark, guards.prompt_kind(F.col("q"), F.col("s"), F.lit(t), ["dolor"]), q=q, s=s)
+    assert [kind("¿Le quedó claro?", "dolor", 2.0), kind("x", "dolor", 0.1), kind("x", "z", 1.6), kind(None, None, 0.8), kind("x", None, 0.5)] == ["confirmation", "dolor", "long", "short", "none"]
+    assert one(spark, guards.last_part(F.col("t"), 3), t="abcdef") == "def"
+
+
+def test_report(spark, tmp_path):
+    from tamiz.operators import guards
+
+    calls = spark.createDataFrame([(1, "Ana", "c1", "rojo", True, [], 2.5), (2, "Luis", "c2", None, False, ["T1: RAG espurio: x", "T2: STT muy distinto: «a|b»"], 1.0)], "call_id int, name string, case string, level string, ok boolean, issues array<string>, seconds double")
+    assert tuple(guards.battery(calls).first()) == (2, 1, 1, 1)
+    assert {(r.issue, r.calls) for r in guards.issue_counts(calls).collect()} == {("RAG espurio", 1), ("STT muy distinto", 1)}
+    guards.write_report(calls, f"file://{tmp_path}/r")
+    assert sorted(r.value for r in spark.read.text(f"file://{tmp_path}/r/table").collect()) == ["| 1 | Ana | c1 | rojo | sí | — | 2.5 |", "| 2 | Luis | c2 | — | NO | T1: RAG espurio: x; T2: STT muy distinto: «a/b» | 1.0 |"]
+    assert spark.read.json(f"file://{tmp_path}/r/json").count() == 2

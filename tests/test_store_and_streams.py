@@ -1,11 +1,16 @@
 """The versioned store, files, and streams that must say what the batch form says."""
 
 import random
+import statistics
+import time
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from tamiz.operators import metrics
+from tamiz.operators import dialog, metrics
 from tamiz.sources import files
+from tamiz.sources import store as lookups
 from tamiz.sources.store import TABLES, Store
 from tamiz.streaming import calls
 
@@ -44,11 +49,26 @@ def test_turn_log(spark, tmp_path):
     assert (r.turns, r.calls, r.tokens_in_per_turn, r.tokens_per_call) == (2, 1, 2.5, 5.0)
 
 
-def test_nearest_rank(spark):
-    values = [random.Random(1).randint(0, 9) for _ in range(37)]
-    df = spark.createDataFrame([("g", v) for v in values] + [("g", None)], "k string, v int")
-    want = sorted(values)[min(36, round(0.95 * 36))]
-    assert metrics.ranked(df, "v", 0.95, "k").first().ranked == want
+def test_nearest_rank_and_median(spark):
+    r = random.Random(1)
+    groups = {"a": [r.randint(0, 9) for _ in range(37)], "b": [1e9, *[r.gauss(0, 1) for _ in range(500)]], "c": [5.0], "d": [2.0] * 40, "e": [1.0, 2.0]}
+    df = spark.createDataFrame([(k, float(v)) for k, x in groups.items() for v in x] + [("g", None)], "k string, v double")
+    ranked, median = ({x.k: x[1] for x in got.collect()} for got in (metrics.ranked(df, "v", 0.95, "k"), metrics.median(df, "v", "k")))
+    for k, x in groups.items():
+        assert ranked[k] == sorted(x)[min(len(x) - 1, round(0.95 * (len(x) - 1)))] and median[k] == statistics.median(x)
+    assert set(ranked) == set(median) == set(groups)
+
+
+def test_lookups(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "One"), ("b", None)], "doc_id string, title string")
+    ids = spark.createDataFrame([("a",), ("b",), ("c",)], "doc_id string")
+    assert {(r.doc_id, r.there) for r in lookups.known(docs, ids).collect()} == {("a", True), ("b", True), ("c", False)}
+    assert {(r.doc_id, r.title) for r in lookups.titled(ids, docs).collect()} == {("a", "One"), ("b", "b"), ("c", "c")}
+    assert lookups.by_ids(docs, ids.limit(0), "doc_id").count() == 0
+    (tmp_path / "v.txt").write_text("uno\ndos\n\n")
+    assert files.vocabulary(spark, f"file://{tmp_path}/v.txt") == {"uno", "dos"} and files.vocabulary(spark, f"file://{tmp_path}/none") == frozenset()
+    files.append_log(docs, f"file://{tmp_path}/log"), files.append_log(docs, f"file://{tmp_path}/log")
+    assert spark.read.json(f"file://{tmp_path}/log").count() == 4
 
 
 def stream(spark, tmp_path, df, name):
@@ -76,24 +96,86 @@ def test_levels_as_stream(spark, tmp_path):
 
 def test_utterances(spark, tmp_path):
     def frames(*spans):
-        return [("c", ms, 0.9 if any(a <= ms < b for a, b in spans) else 0.05) for ms in range(0, 6000, 32)]
+        return [("c", ms, 0.9 if any(a <= ms < b for a, b in spans) else 0.05) for ms in range(0, 6400, 32)]
 
-    rows = frames((320, 1600), (2000, 2600), (4000, 4500))
+    rows = frames((320, 1600), (2000, 2592), (4000, 4480))
     df = spark.createDataFrame(rows, "call_id string, ms long, p double")
     got = drain(calls.utterances(stream(spark, tmp_path, df, "frames"), 800), "spoken", spark, tmp_path).orderBy("started_ms").collect()
     assert [(r.started_ms, r.cause) for r in got] == [(320, "silence"), (4000, "silence")]
-    # fed in two parts the same comes out
-    state, out = (-1, -1), []
+    assert [r.sound_from_ms for r in got] == [0, 4000 - 19 * 32]
+    # fed in two parts, or shuffled, the same comes out
+    state, out = (-1, -1, -1), []
     for part in (rows[:70], rows[70:]):
-        import pandas as pd
-
         state, more = calls._utterances(state, pd.DataFrame(part, columns=["call_id", "ms", "p"]), 800, 30_000)
         out += more
-    assert [tuple(o) for o in out] == [(r.started_ms, r.ended_ms, r.cause) for r in got]
+    assert [tuple(o) for o in out] == [tuple(r)[1:] for r in got]
+
+
+def brute_utterances(p, silence, longest=30_000):
+    """Counts frames, as a listener does."""
+    out, start, quiet, kept = [], None, 0, []
+    for k, x in enumerate(p):
+        if start is None:
+            kept = [*kept, k][-20:]
+            if x >= 0.35:
+                start, quiet = k, 0
+            continue
+        if (k - start) * 32 >= longest:
+            out.append((start, "length", kept[0]))
+        elif x < 0.20:
+            quiet += 1
+            if quiet * 32 < silence:
+                continue
+            out.append((start, "silence", kept[0]))
+        else:
+            quiet = 0
+            continue
+        start, kept = None, []
+    return out
+
+
+@pytest.mark.parametrize(("silence", "brief"), [(800, False), (500, True)])
+def test_utterances_by_counting_frames(silence, brief):
+    r = random.Random(silence)
+    for _ in range(60):
+        p = [x for _ in range(r.randint(1, 12)) for x in [r.choice([0.05, 0.1, 0.3, 0.5, 0.9])] * r.choice([1, 2, 15, 16, 24, 25, 26, 300, 1000])]
+        rows = pd.DataFrame({"ms": [32 * k for k in range(len(p))], "p": p, "brief": brief})
+        _, got = calls._utterances((-1, -1, -1), rows)
+        assert [(a // 32, cause, f // 32) for a, _, cause, f in got] == brute_utterances(p, silence)
+
+
+def test_chunks_of_a_key_are_put_in_order():
+    parts = [pd.DataFrame({"turn": [5, 3]}), pd.DataFrame({"turn": [4, 1]})]
+    assert calls.ordered(iter(parts), "turn")["turn"].tolist() == [1, 3, 4, 5]
+
+
+def test_guards_as_a_stream_say_what_the_window_says(spark, tmp_path):
+    lines = [("¿Cómo ha estado el dolor?", "en seis"), ("¿Cuál es su temperatura?", "mm"), ("¿Cuál es su temperatura?", "mm"), ("¿Cuál es su temperatura?", "no he tenido fiebre"), ("¿Cómo está la herida?", "me sale pus"), ("¿Le quedó claro?", "sí"), ("¿Algo más?", "¿puedo caminar?"), ("¿Algo más?", "no gracias")]
+    turns = spark.createDataFrame([(f"c{c}", i, q, a) for c in range(3) for i, (q, a) in enumerate(lines[c:])], "call_id string, turn int, question string, text string")
+    # with a timer of processing time batches never end by themselves
+    q = calls.guarded(stream(spark, tmp_path, turns, "answers")).writeStream.format("memory").queryName("guarded").option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="1 second").start()
+    for _ in range(60):
+        if q.exception() or spark.table("guarded").where("action <> 'nudge'").count() >= turns.count():
+            break
+        time.sleep(1)
+    q.stop()
+    got = spark.table("guarded")
+    said = turns.selectExpr("call_id", "turn * 2 as turn", "'assistant' as role", "question as text").unionByName(turns.selectExpr("call_id", "turn * 2 + 1 as turn", "'user' as role", "text"))
+    want = dialog.processed(said).selectExpr("call_id", "cast((turn - 1) / 2 as int) as turn", "action", "next_item", "unclear")
+    assert sorted(map(tuple, got.where("action <> 'nudge'").collect())) == sorted(map(tuple, want.collect()))
+    assert {r.action for r in want.collect()} == {"slot", "repeat", "escalate", "confirmation", "answer", "farewell"}
+
+
+def test_three_strikes_call_people():
+    rows = pd.DataFrame([{"turn": i, "confirmed": False, "farewell": False, "thanks": False, "alarm": None, "status": s, "question": False, "slot": "dolor", "known": []} for i, s in enumerate(["unclear", "unclear", "unclear", "filled", "unclear"])])
+    out, *_ = calls._guarded(rows, False, set(), 0)
+    assert [x[1] for x in out] == ["repeat", "repeat", "call_people", "slot", "repeat"]
 
 
 def test_alerts_are_written_once(spark, tmp_path):
     sink = calls.write_alerts(f"file://{tmp_path}/alerts")
-    batch = spark.createDataFrame([(1, True), (2, False)], "call_id int, raised boolean")
-    sink(batch, 0), sink(batch, 0), sink(batch, 1)
-    assert spark.read.json(f"file://{tmp_path}/alerts").count() == 2
+    rows = [("a", "fever", True), ("a", "fever", True), ("a", "pain", True), ("b", "fever", False)]
+    batch = spark.createDataFrame(rows, "call_id string, reason string, raised boolean")
+    more = spark.createDataFrame([("a", "fever", True), ("b", "pain", True)], batch.schema)
+    sink(batch, 0), sink(batch, 0), sink(more, 1), sink(batch, 0), sink(more, 1)
+    assert sorted((r.call_id, r.reason) for r in spark.read.json(f"file://{tmp_path}/alerts").collect()) == [("a", "fever"), ("a", "pain"), ("b", "pain")]
