@@ -384,9 +384,10 @@ def worst_of_merge(spark: SparkSession, sf: str) -> DataFrame:
 SAYINGS = ["tengo treinta y nueve de fiebre", "me duele siete de diez", "nada de pus", "no me sale pus, bueno ahora sí me salió pus amarillo", "mi hijo tiene 39 de fiebre", "mi hija dice que tengo 39 de fiebre", "fiebre desde hace treinta y seis horas", "dos pastillas cada ocho horas para el dolor", "sin sangrado", "todo bien"]
 
 
+#: What the sayings make known; of the turns' own texts words of a worsening are met with, and a number's name right after a saying about pain.
 SAID = """
 with want(k, fever, fever_felt, pain, alarm) as (values (0, 39.0, null, null, null), (1, null, null, 7.0, null), (3, null, null, null, 'pus'), (5, 39.0, null, null, null), (6, null, true, null, null))
-select conv_id, turn, fever::double as fever, fever_felt::boolean as fever_felt, pain::double as pain, null::boolean as pain_worse, null::boolean as dyspnoea, null::boolean as bleeding, alarm
+select conv_id, turn, fever::double as fever, fever_felt::boolean as fever_felt, coalesce(pain::double, case when (conv_id + turn) % 10 = 7 then nullif(list_position(['cero', 'uno', 'dos', 'tres', 'cuatro', 'cinco', 'seis', 'siete', 'ocho', 'nueve', 'diez'], replace(regexp_extract(strip_accents(lower(text)), '^[^0-9]{0,16}?\\b(cero|un[oa]|dos|tres|cuatro|cinco|seis|siete|ocho|nueve|diez)\\b', 1), 'una', 'uno')), 0) - 1 end)::double as pain, case when regexp_matches(strip_accents(lower(text)), 'empeor|aument|va subiendo|mas fuerte|cada vez peor') then true end as pain_worse, null::boolean as dyspnoea, null::boolean as bleeding, alarm
 from conversations left join want on k = (conv_id + turn) % 10"""
 
 
