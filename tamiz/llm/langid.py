@@ -148,7 +148,7 @@ class Model:
 class Decoder:
     """Scores whole documents; remembers the emissions of words, up to `most` bytes of them."""
 
-    def __init__(self, model: Model, most: int = REMEMBERED):
+    def __init__(self, model: Model, most: int = 2 * REMEMBERED):
         self.model, self.known, self.most, self.held = model, {}, most, 0
         self.start, self.transition = np.exp(model.start), np.exp(model.transition)
 

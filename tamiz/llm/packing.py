@@ -50,7 +50,7 @@ class Encoder:
     past U+024F go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = REMEMBERED):
+    def __init__(self, path: str, most: int = 3 * REMEMBERED):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.units = Tokenizer.from_file(path), {}, {}
@@ -74,12 +74,14 @@ class Encoder:
             self.known.clear()
             self.units.clear()
             self.held = 0
-        for word in set().union(*words) - self.known.keys():
+        new = set().union(*words) - self.known.keys()
+        for word in new:
             ids = self.known[word] = self.own.get(word) or self.word(word)
             self.held += len(word) + len(ids) + ENTRY
         out = [b"".join(map(self.known.__getitem__, w)) + b"\0\0\0\0" for w in words]
-        for word in {w for some in words for w in some if len(w) > LONG}:
-            self.held -= len(word) + len(self.known.pop(word)) + ENTRY
+        for word in new:
+            if len(word) > LONG:
+                self.held -= len(word) + len(self.known.pop(word)) + ENTRY
         return out
 
     def word(self, word: bytes) -> bytes:
