@@ -64,7 +64,7 @@ class Encoder:
         """Words and own tokens of a text in their order."""
         if not text:
             return []
-        if self.splits is None or not self.splits.search(text):
+        if not any(t in text for t in self.own):
             return text.split()
         return [w for k, part in enumerate(self.splits.split(text)) for w in ([part] if k % 2 else part.split())]
 
