@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tamiz.llm import decontam, jaccard, langid, packing, quality, sql, substring, token_counts, toxicity, url_filter, vectors
+from tamiz.llm import decontam, divergence, jaccard, langid, negatives, packing, quality, sql, substring, token_counts, topk, toxicity, url_filter, vectors
 from tamiz.session import table
 
 
@@ -54,8 +55,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict:
-    found = [op1_near_vectors, op2_quality_compression, op3_best_fit_packing, op4_decontaminate, op5_jaccard_join, op6_substring_dedup, op7_language_crf, op8_toxicity_neighbours, op9_token_counts, op10_url_filter, pipeline]
+    found = [op1_near_vectors, op2_quality_compression, op3_best_fit_packing, op4_decontaminate, op5_jaccard_join, op6_substring_dedup, op7_language_crf, op8_toxicity_neighbours, op9_token_counts, op10_url_filter, op11_hard_negatives, op12_source_divergence, op13_exact_topk, pipeline]
     return {f.__name__: f for f in found}
 
 

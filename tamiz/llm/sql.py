@@ -82,4 +82,52 @@ select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_re
 from words left join kept using (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op1_near_vectors": OP1, "op4_decontaminate": OP4, "op5_jaccard_join": OP5, "op6_substring_dedup": OP6, "op10_url_filter": OP10}
+OP11 = r"""
+with usable as materialized (
+  select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(cast(embedding as double[]), lambda x: floor(256 * x)) as v
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (
+  select a.r as a, a.vec_id as anchor_id, b.vec_id as vec_id, a.label = b.label as same, cast(list_dot_product(a.v, b.v) as bigint) as score
+  from usable a join usable b on a.r <> b.r where a.vec_id % 100 = 0),
+positives as (
+  select a, anchor_id, vec_id as positive_id, score as positive_score, row_number() over (partition by a order by score desc, vec_id) as place
+  from scores where same qualify place <= 5)
+select p.anchor_id, positive_id, row_number() over (partition by p.a, place order by score desc, vec_id) as rank, vec_id as negative_id, positive_score, score as negative_score
+from positives p join scores s on p.a = s.a and not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+qualify rank <= 5
+"""
+
+OP12 = r"""
+with docs as (select row_number() over () as r, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+words as (
+  select r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs),
+counts as (select lang, source, term, count(*) as n, count(distinct r) as d from words group by all),
+kept as (select lang, term, sum(n)::hugeint as total from counts group by all having sum(d) >= 30),
+sizes as (select lang, count(*)::hugeint as v, sum(total) as n from kept group by lang),
+pairs as (select distinct lang, source from docs),
+used as (select c.lang, c.source, c.term, c.n from counts c join kept using (lang, term)),
+totals as (select lang, source, sum(n)::hugeint as n from used group by all),
+p as (
+  select g.lang, g.source, k.term, coalesce(u.n, 0) as n, 1 + (1000000000 * (coalesce(u.n, 0) + 5)::hugeint) // (coalesce(t.n, 0) + 5 * s.v) as p,
+    1 + (1000000000 * (k.total + 5)) // (s.n + 5 * s.v) as q
+  from pairs g join kept k using (lang) join sizes s using (lang) left join totals t using (lang, source) left join used u using (lang, source, term)),
+apart as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+every as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+  from pairs a join pairs b on a.lang = b.lang and a.source <> b.source left join apart x on x.lang = a.lang and x.source = a.source and x.item = b.source
+  union all select lang, source, 'term', term, (p - q)::bigint from p where n > 0 and p > q)
+select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from every qualify part = 'pair' or rank <= 50
+"""
+
+OP13 = r"""
+with usable as materialized (
+  select row_number() over () as r, vec_id, list_transform(cast(embedding as double[]), lambda x: floor(256 * x)) as v
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (
+  select a.r, a.vec_id as query_id, b.vec_id, cast(list_dot_product(a.v, b.v) as bigint) as score
+  from usable a join usable b on a.r <> b.r where a.vec_id % 50 = 0)
+select query_id, row_number() over (partition by r order by score desc, vec_id) as rank, vec_id, score from scores qualify rank <= 5
+"""
+
+ORACLE: dict[str, str] = {"op1_near_vectors": OP1, "op4_decontaminate": OP4, "op5_jaccard_join": OP5, "op6_substring_dedup": OP6, "op10_url_filter": OP10, "op11_hard_negatives": OP11, "op12_source_divergence": OP12, "op13_exact_topk": OP13}
