@@ -9,7 +9,7 @@ from tamiz.functions import lexicon, speech
 from tamiz.functions import text as T
 from tamiz.operators import chunking, dialog, grounding, guards, metrics, retrieval, rules, slots, speech_repair
 from tamiz.session import table
-from tamiz.sources import store
+from tamiz.sources import index, store
 from tamiz.streaming import calls, signal
 
 QUERIES: dict = {}
@@ -131,6 +131,22 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("query_id", "chunk_id", F.round("score", 5).alias("score"), "rank")
 
 
+CHANGED = """(select doc_id, case when lang = 'fr' then concat_ws(' ', text, source, lang) else text end as text from documents where doc_id not in (select doc_id from labels where toxic = 1)
+  union all select 10000000 + item_id, text from benchmark)"""
+
+
+@query(f"with {BM25.replace('from documents', f'from {CHANGED}')} select query_id, chunk_id, round(score, 5) as score, rank from lexical")
+def index_search(spark: SparkSession, sf: str) -> DataFrame:
+    """BM25 from a stored index: built, then the documents of one language change and the items come in, then those that are
+    labelled toxic are forgotten."""
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    stored = index.built(spark, _chunks(spark, sf))
+    changed = docs.where("lang = 'fr'").select(F.col("doc_id").alias("chunk_id"), F.concat_ws(" ", "text", "source", "lang").alias("text"))
+    stored.upsert(changed.unionByName(items.select((F.col("item_id") + 10000000).alias("chunk_id"), "text")))
+    stored.forget(table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("chunk_id")))
+    return stored.search(_queries(spark, sf)).select("query_id", "chunk_id", F.round("score", 5).alias("score"), "rank")
+
+
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
 

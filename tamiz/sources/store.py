@@ -1,10 +1,12 @@
-"""The knowledge store: Parquet tables of one version each, and a pointer that names the current version."""
+"""The knowledge store: Parquet tables in hash buckets of their document, of which a change writes those that it touches."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamiz.sources.versions import Tables, Versions
+
 TABLES = ("documents", "parents", "chunks", "vectors")
 
 
@@ -39,46 +41,59 @@ def titled(rows: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Readers see one whole version: a change writes new tables, then renames the pointer over the old one."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+    """The tables of the documents, in hash buckets of doc_id and in versions.
 
-    def version(self) -> int:
-        pointers = self._fs.globStatus(self._path(f"{self.path}/current-*"))
-        return max((int(p.getPath().getName().split("-")[1]) for p in pointers or []), default=0)
+    A change rewrites the buckets that hold its documents and no other; readers see the version before it or the one after.
+    Of two writers that start from one version the later gets a Conflict and leaves nothing behind. Buckets are for
+    the life of a store: about as many as make a bucket of the largest table some 100 MB.
+    """
 
-    def table(self, name: str) -> DataFrame | None:
-        version = self.version()
-        return self.spark.read.parquet(f"{self.path}/v{version}/{name}") if version else None
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.versions = Versions(spark, path)
+        number, manifest = self.versions.head()
+        self.tables = Tables(self.versions, manifest.get("of", buckets))
 
-    def _commit(self, tables: dict[str, DataFrame]) -> None:
-        old = self.version()
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.path}/v{old + 1}/{name}")
-        # creating a pointer without overwriting fails for the later of two writers
-        self._fs.create(self._path(f"{self.path}/current-{old + 1}"), False).close()
+    def version(self) -> int:
+        return self.versions.head()[0]
+
+    def table(self, name: str, ids: DataFrame | None = None) -> DataFrame | None:
+        """A table as of now, or its rows of some documents, for which only their buckets are opened."""
+        _, now = self.versions.head()
+        if not now:
+            return None
+        if ids is None:
+            return self.tables.read(now["tables"][name])
+        return by_ids(self.tables.read(now["tables"][name], self.tables.touched(ids, "doc_id")), ids, "doc_id")
+
+    def _change(self, base: int, now: dict, gone: DataFrame, new: dict[str, DataFrame], touched: list[int]) -> None:
+        folder = self.versions.folder()
+        try:
+            tables = {name: self.tables.replaced(now.get("tables", {}).get(name), gone, new.get(name), touched, "doc_id", f"{folder}/{name}") for name in TABLES}
+            self.versions.commit(base, now, {"of": self.tables.n, "tables": tables})
+        except Exception:
+            self.versions.discard(folder)
+            raise
 
     def upsert(self, **tables: DataFrame) -> None:
         """Replaces the documents that the given tables name, in all tables at once."""
+        base, now = self.versions.to_change()
         ids = tables["documents"].select("doc_id").distinct()
-        now = {}
-        for name in TABLES:
-            old = self.table(name)
-            now[name] = tables[name] if old is None else forgotten(old, ids).unionByName(tables[name])
-        self._commit(now)
+        self._change(base, now, ids, tables, self.tables.touched(ids, "doc_id"))
 
     def forget(self, ids: list[str]) -> bool:
         """Removes documents from all tables; False if none of them is there."""
-        gone = self.spark.createDataFrame([(i,) for i in ids], "doc_id string")
-        documents = self.table("documents")
-        if documents is None or documents.join(gone, "doc_id", "left_semi").isEmpty():
+        base, now = self.versions.to_change()
+        if not now:
+            return False
+        gone = self.versions.spark.createDataFrame([(i,) for i in ids], "doc_id string")
+        touched = self.tables.touched(gone, "doc_id")
+        if self.tables.read(now["tables"]["documents"], touched).join(gone, "doc_id", "left_semi").isEmpty():
             return False
-        self._commit({name: forgotten(self.table(name), gone) for name in TABLES})
+        self._change(base, now, gone, {}, touched)
         return True
 
+    def vacuum(self, keep: int = 1, age_s: float = 3600.0) -> int:
+        return self.versions.vacuum(keep, age_s)
+
     def list_documents(self) -> DataFrame:
         return manifest(self.table("documents"))

@@ -11,25 +11,9 @@ from pyspark.sql import functions as F
 from tamiz.operators import dialog, metrics
 from tamiz.sources import files
 from tamiz.sources import store as lookups
-from tamiz.sources.store import TABLES, Store
 from tamiz.streaming import calls
 
 
-def tables(spark, *ids):
-    one = spark.createDataFrame([(i, float(n)) for n, i in enumerate(ids)], "doc_id string, ts double")
-    return {name: one for name in TABLES}
-
-
-def test_upsert_and_forget(spark, tmp_path):
-    store = Store(spark, f"file://{tmp_path}/store")
-    assert store.version() == 0 and store.table("documents") is None and not store.forget(["a"])
-    store.upsert(**tables(spark, "a", "b"))
-    store.upsert(**tables(spark, "b", "c"))
-    assert [r.doc_id for r in store.list_documents().collect()] == ["c", "a", "b"]
-    assert store.forget(["b", "zz"]) and not store.forget(["b"])
-    assert all(sorted(r.doc_id for r in store.table(t).collect()) == ["a", "c"] for t in TABLES)
-
-
 def test_uploads(spark, tmp_path):
     for name, body in {"a.md": b"# x", "b.exe": b"1", "c.txt": b"", "sub/d?.txt": b"# x"}.items():
         path = tmp_path / name
