@@ -10,7 +10,7 @@ from tamiz.functions import text as T
 from tamiz.operators import chunking, dialog, grounding, guards, metrics, retrieval, rules, slots, speech_repair
 from tamiz.session import table
 from tamiz.sources import index, store
-from tamiz.streaming import calls, signal
+from tamiz.streaming import calls, signal, windows
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -457,6 +457,34 @@ def silence_nudges(spark: SparkSession, sf: str) -> DataFrame:
     return calls.nudges(table(spark, sf, "events"), 600)
 
 
+@query("select event_type, time_bucket(interval '1 hour', ts) as starts, time_bucket(interval '1 hour', ts) + interval '1 hour' as ends, count(*) as n, sum(floor(value * 100)::bigint)::bigint as cents from events group by all")
+def tumbling_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts by the hour; the same call over a stream waits for the watermark (tests/test_windows.py)."""
+    return windows.windows(table(spark, sf, "events"), "1 hour", cents=F.floor(F.col("value") * 100).cast("long"))
+
+
+@query("""select event_type, starts, starts + interval '1 hour' as ends, count(*) as n
+from (select event_type, ts, unnest(range(time_bucket(interval '15 minutes', ts) - interval '45 minutes', time_bucket(interval '15 minutes', ts) + interval '1 minute', interval '15 minutes')) as starts from events) group by all""")
+def sliding_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return windows.windows(table(spark, sf, "events"), "1 hour", "15 minutes")
+
+
+@query("""with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval '2 hours' then 0 else 1 end as new from events),
+s as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as spell from g)
+select user_id, min(ts) as starts, max(ts) + interval '2 hours' as ends, count(*) as n from s group by user_id, spell""")
+def session_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return windows.spells(table(spark, sf, "events"), "2 hours")
+
+
+@query("""with a as (select event_type, ts, epoch_us(ts) / 1e6 as s, event_id % 3 as batch from events),
+m as (select batch, max(max(s) - 86400) over (order by batch rows between unbounded preceding and 1 preceding) as mark from a group by batch)
+select event_type, count(*) filter (where not coalesce(s < mark, false)) as on_time, count(*) filter (where coalesce(s < mark, false)) as late from a join m using (batch) group by event_type""")
+def late_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as if they came in three batches, a day's delay allowed."""
+    arrived = table(spark, sf, "events").withColumn("batch", F.pmod("event_id", F.lit(3)))
+    return windows.late_counts(windows.late(arrived, 86400))
+
+
 @query("select event_id, cast(json_extract(props, '$.k') as bigint) as k, json_extract(props, '$.missing') is null as missing from events")
 def json_extract(spark: SparkSession, sf: str) -> DataFrame:
     parsed = F.from_json("props", "k long, missing string")
