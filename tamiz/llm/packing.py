@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import struct
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -16,7 +17,6 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +29,16 @@ TOKENS, GROUP = 2048, 50_000
 TOGETHER, TEXT_BYTES = 500, 2_000_000
 
 
-#: What this tokenizer's own splitter keeps, for letters up to U+024F.
-UNITS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-PLAIN = re.compile(r"[\x21-\u024f]+")
+def _class(kind: str) -> str:
+    return "".join(re.escape(chr(c)) for c in range(PLAIN) if unicodedata.category(chr(c))[0] == kind)
+
+
+#: Characters below this one are split here, as the tokenizer's own splitter does it; those that it takes for white space.
+PLAIN, SPACE = 0x250, r"\t-\r \x85\xa0"
+UNITS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^{SPACE}{_class('L')}{_class('N')}]+")
+#: Characters that are left to the whole tokenizer: others, controls, and capitals whose small form lies beyond.
+PLAINLY = "".join(re.escape(chr(c)) for c in range(PLAIN) if (c > 31 or 8 < c < 14) and len(chr(c).lower()) == 1 and ord(chr(c).lower()) < PLAIN)
+HAS_ODD, ODD_WORD = re.compile(f"[^{PLAINLY}]"), re.compile(rf"(?<![^{SPACE}])([^{SPACE}]*[^{PLAINLY}][^{SPACE}]*)")
 
 
 def byte_letters() -> dict[int, int]:
@@ -45,61 +52,56 @@ class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, with id 0 at the end.
 
     The tokenizer's own tokens (like <|endoftext|>) are looked for in the whole text first, as it does. Between them it
-    drops white space and never joins across it, so the ids of a text are those of its words in turn. Each different
-    word is encoded once and remembered: its units go to the tokenizer's model one by one, and words with characters
+    lowers letters, drops white space and never joins units (runs of letters, single digits, runs of other characters), so the
+    ids of a text are those of its units in turn. Each different unit is encoded once and remembered; words with characters
     past U+024F go through the whole tokenizer.
     """
 
     def __init__(self, path: str, most: int = 3 * REMEMBERED):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.units = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.most, self.held = most, 0
         self.model, self.letters = self.tokenizer.model, byte_letters()
         own = self.tokenizer.get_added_tokens_decoder()
-        self.own = {t.content.encode(): struct.pack("<I", i) for i, t in own.items()}
-        self.splits = re.compile(b"(" + b"|".join(re.escape(t) for t in sorted(self.own, key=len, reverse=True)) + b")") if own else None
+        self.own = {t.content: struct.pack("<I", i) for i, t in own.items()}
+        self.splits = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.own, key=len, reverse=True)) + ")") if own else None
+        self.known.update(self.own)
 
-    def parts(self, text: bytes | None) -> list[bytes]:
-        """Words and own tokens of a text in their order."""
-        if not text:
-            return []
+    def parts(self, raw: bytes | None) -> list[str]:
+        """Units, odd words and own tokens of a text in their order."""
+        text = (raw or b"").decode()
         if not any(t in text for t in self.own):
-            return text.split()
-        return [w for k, part in enumerate(self.splits.split(text)) for w in ([part] if k % 2 else part.split())]
+            return self.units(text)
+        return [u for k, part in enumerate(self.splits.split(text)) for u in ([part] if k % 2 else self.units(part))]
+
+    def units(self, text: str) -> list[str]:
+        if text.isascii() and text.isprintable() or not HAS_ODD.search(text):
+            return UNITS.findall(text.lower())
+        return [u for k, part in enumerate(ODD_WORD.split(text)) for u in ([part] if k % 2 else UNITS.findall(part.lower()))]
 
     def __call__(self, batch: list[bytes | None]) -> list[bytes]:
-        words = [self.parts(t) for t in batch]
+        units = [self.parts(t) for t in batch]
         if self.held > self.most:
-            self.known.clear()
-            self.units.clear()
+            self.known = dict(self.own)
             self.held = 0
-        new = set().union(*words) - self.known.keys()
-        for word in new:
-            ids = self.known[word] = self.own.get(word) or self.word(word)
-            self.held += len(word) + len(ids) + ENTRY
-        out = [b"".join(map(self.known.__getitem__, w)) + b"\0\0\0\0" for w in words]
-        for word in new:
-            if len(word) > LONG:
-                self.held -= len(word) + len(self.known.pop(word)) + ENTRY
+        new = set().union(*units).difference(self.known)
+        odd = [u for u in new if HAS_ODD.search(u)]
+        self.known.update(zip(odd, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)), strict=True))
+        self.known.update((u, self.unit(u)) for u in new.difference(odd))
+        out = [b"".join(map(self.known.__getitem__, u)) + b"\0\0\0\0" for u in units]
+        for u in new:
+            size = len(u) + len(self.known[u]) + ENTRY
+            if len(u) > LONG:
+                del self.known[u]
+            else:
+                self.held += size
         return out
 
-    def word(self, word: bytes) -> bytes:
-        text = word.lower().decode() if word.isascii() else self.tokenizer.normalizer.normalize_str(word.decode())
-        if not PLAIN.fullmatch(text):
-            return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if text.isalpha():
-            return self.units.get(text) or self.unit(text)
-        return b"".join([self.units.get(u) or self.unit(u) for u in UNITS.findall(text)])
-
     def unit(self, unit: str) -> bytes:
         letters = unit if unit.isascii() and unit.isprintable() else unit.encode().decode("latin-1").translate(self.letters)
         ids = [t.id for t in self.model.tokenize(letters)]
-        got = struct.pack(f"<{len(ids)}I", *ids)
-        if len(unit) <= LONG:
-            self.units[unit] = got
-            self.held += len(unit) + len(got) + ENTRY
-        return got
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def pieces(docs: DataFrame, tokenizer: str, tokens: int = TOKENS) -> DataFrame:
