@@ -1,7 +1,7 @@
 """Source divergence audit: how far apart the word distributions of a language's sources are, by dense term-block matrices.
 
-Words are counted by (lang, source, term) in the tasks that read texts, and what they counted is summed once. The terms
-that a language keeps are dealt to blocks. Of a block a task makes a dense int64 tile, groups by terms, turns counts into
+Words are counted by lang, term and source in the tasks that read texts. Document frequencies are summed first, so that only the
+counts of terms that a language keeps are dealt by source, and these terms to blocks. Of a block a task makes a dense int64 tile, groups by terms, turns counts into
 scaled probabilities, and adds up |p - q| for all pairs of groups by broadcasting the tile against itself; it keeps the partial
 pair matrix, and a heap of the terms that each group uses most above its language, over all blocks that it sees. Partial
 matrices are summed and heaps merged. Groups come in tiles too, so that a task never holds more than two tiles of them.
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamiz.llm.store import dropped, lean, saved
+from tamiz.llm.store import dropped, lean, saved, small
 from tamiz.llm.words import LONG, frees, sliced, texts
 from tamiz.operators.retrieval import top
 
@@ -26,7 +26,9 @@ DOCUMENTS, SMOOTH, SCALE = 30, 5, 1000**3
 #: Terms that a group's report shows at most.
 TERMS = 50
 #: Groups of a tile, terms of a block, blocks that one task sees of two tiles, numbers in a broadcast at most.
-GROUPS, BLOCK, STRETCH, CELLS = 128, 512, 32, 2_000_000
+GROUPS, BLOCK, STRETCH, CELLS = 128, 512, 4, 2_000_000
+#: Kept terms that are broadcast at most (some 20 MB); more are joined by a shuffle.
+KEPT = 200_000
 #: Bytes that counted words may take before a task passes them on, and what one takes in two counters, short as it may be.
 HELD, ENTRY = 80_000_000, 300
 #: Bytes that are in no term, and lower case for A-Z.
@@ -34,40 +36,46 @@ FOLD = bytes(32 if b < 65 or 91 <= b < 97 or 123 <= b < 128 else b + 32 if b < 9
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences of each term and documents that hold it, summed; the empty term of a group
-    counts its documents. A task passes its sums on when they take HELD bytes."""
+    """(lang, term, docs, held), where held has (source, n) of each source: what a task has counted, each time that this takes
+    HELD bytes and at its end. The empty term of a lang counts documents."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
 
     @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, tuple[Counter, Counter]] = {}
+        counts: dict[str, tuple[Counter, dict[str, Counter]]] = {}
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (n, docs) in held.items():
-                words = list(n)
-                for at in range(0, len(words), 20_000):
-                    part = words[at : at + 20_000]
-                    names, sums = ([pa.array([x] * len(part), pa.string()) for x in (lang, source)], [pa.array([c[w] for w in part], pa.int64()) for c in (n, docs)])
-                    yield pa.RecordBatch.from_arrays([*names, pa.array(part, pa.binary()).cast(pa.string()), *sums], ["lang", "source", "term", "n", "docs"])
+            for lang, (docs, sources) in counts.items():
+                terms, place = list(docs), {t: i for i, t in enumerate(docs)}
+                at = np.concatenate([np.fromiter(map(place.__getitem__, c), np.int64, len(c)) for c in sources.values()])
+                n = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in sources.values()])
+                source = np.repeat(np.arange(len(sources)), [len(c) for c in sources.values()])
+                order = np.argsort(at, kind="stable")
+                names = pa.array(list(sources), pa.string()).take(pa.array(source[order]))
+                ends = np.r_[0, np.cumsum(np.bincount(at, minlength=len(terms)))]
+                held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([names, pa.array(n[order])], ["source", "n"]))
+                columns = [pa.array([lang] * len(terms), pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(list(docs.values()), pa.int64()), held]
+                whole = pa.RecordBatch.from_arrays(columns, ["lang", "term", "docs", "held"])
+                yield from (whole.slice(i, 20_000) for i in range(0, len(terms), 20_000))
 
         for part in sliced(batches):
             for lang, source, raw in zip(part.column("lang").to_pylist(), part.column("source").to_pylist(), texts(part.column("text")), strict=True):
-                n, seen = held.setdefault((lang, source), (Counter(), Counter()))
-                before = len(n)
+                docs, sources = counts.setdefault(lang, (Counter(), {}))
+                n = sources.setdefault(source, Counter())
+                before = len(n) + len(docs)
                 here = Counter(raw.translate(FOLD).split())
                 here[b""] = 1  # the document itself
                 n.update(here)
-                seen.update(here.keys())
-                size += (len(n) - before) * ENTRY + sum(len(w) for w in here if len(w) > LONG)
+                docs.update(here.keys())
+                size += (len(n) + len(docs) - before) * ENTRY + sum(len(w) for w in here if len(w) > LONG)
                 if size > HELD:
                     yield from out()
-                    held.clear()
+                    counts.clear()
                     size = 0
         yield from out()
 
-    kinds = "lang string, source string, term string, n long, docs long"
-    return docs.select(text("lang"), text("source"), text("text")).mapInArrow(run, kinds).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return docs.select(text("lang"), text("source"), text("text")).mapInArrow(run, "lang string, term string, docs long, held array<struct<source string, n long>>")
 
 
 def scaled(counts: np.ndarray, total: np.ndarray, terms: int) -> np.ndarray:
@@ -92,17 +100,19 @@ def audit(docs: DataFrame, documents: int = DOCUMENTS, most: int = TERMS) -> Dat
     """
     spark = lean(docs)
     counts = saved(counted(docs), "counts")
-    kept = counts.where("term <> ''").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total")).where(F.col("docs") >= documents)
-    kept = saved(kept.select("lang", "term", "total"), "terms")
+    kept = counts.where("term <> ''").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum(F.aggregate("held", F.lit(0).cast("long"), lambda s, x: s + x["n"])).alias("total"))
+    kept = saved(kept.where(F.col("docs") >= documents).select("lang", "term", "total"), "terms")
     langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("total").alias("all"))
     # a number for each group in its lang, in the order of sources
-    groups = counts.where("term = ''").select("lang", "source").withColumn("g", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1)
-    blocks = kept.join(langs, "lang").select("lang", "term", "total", F.pmod(F.xxhash64("term"), F.ceil(F.col("terms") / BLOCK)).alias("block"))
+    groups = counts.where("term = ''").select("lang", F.explode("held.source").alias("source")).distinct().withColumn("g", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1)
     groups = saved(groups, "groups")
-    cells = counts.where("term <> ''").join(blocks, ["lang", "term"]).join(groups, ["lang", "source"])
+    blocks = kept.join(langs, "lang").select("lang", "term", "total", F.pmod(F.xxhash64("term"), F.ceil(F.col("terms") / BLOCK)).alias("block"))
+    # of all that was counted only what a lang keeps is dealt by source
+    held = counts.where("term <> ''").join(small(blocks, kept.count(), KEPT), ["lang", "term"]).select("lang", "block", "term", "total", F.explode("held").alias("h"))
+    cells = held.groupBy("lang", "block", "term", "total", F.col("h.source").alias("source")).agg(F.sum("h.n").alias("n")).join(groups, ["lang", "source"])
     cells = saved(cells.select("lang", "block", "term", "total", "g", "n"), "cells")
-    sums = cells.groupBy("lang", "g").agg(F.sum("n").alias("sum"))
     dropped(counts)
+    sums = cells.groupBy("lang", "g").agg(F.sum("n").alias("sum"))
     # tiles of groups, with what each group's counts come to
     every = groups.join(langs, "lang", "left").join(sums, ["lang", "g"], "left").na.fill(0, ["terms", "all", "sum"])
     tile = (F.col("g") / GROUPS).cast("int")
