@@ -5,41 +5,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamiz.sources.versions import written
 
-#: Ranges that a group's values are counted in before one of them is looked into.
-RANGES = 1024
+#: Values that one task may put in order, and ranges that more of them are cut into at a time.
+MOST, RANGES = 1_000_000, 128
 
 
 def placed(df: DataFrame, value: str, places: dict[str, Column], *by: str) -> DataFrame:
     """(by..., one column for each name): the values at places (from 0, by a column n of the group's size) of each group in order.
 
-    Values are counted in RANGES equal ranges between a group's least and largest; of those that hold a place the
-    distinct values are counted, so no task holds more of a group than that.
+    All places go together. While the range that holds one has more than MOST values, it is cut at approximate quantiles of
+    its own values, which are then counted exactly, so a range shrinks whatever the values are like; a single value is a
+    range by itself. What is left is counted by value and put in order.
     """
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-    cell = F.coalesce(F.least(F.lit(RANGES - 1), F.floor(F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low")) * RANGES)), F.lit(0)).alias("cell")
-    dealt = rows.join(sizes.select(*by, "low", "high"), list(by)).select(*by, cell, "v")
-    upto = lambda order: F.sum("count").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    counted = dealt.groupBy(*by, "cell").count().withColumn("upto", upto("cell"))
-    wanted = sizes.select(*by, F.explode(F.array(*(F.struct(F.lit(name).alias("name"), place.cast("long").alias("place")) for name, place in places.items()))).alias("p")).select(*by, "p.*")
-    holding = counted.join(wanted, list(by)).where((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("count")))
-    holding = holding.select(*by, "cell", "name", "place", (F.col("upto") - F.col("count")).alias("before"))
-    inside = dealt.join(holding.select(*by, "cell").distinct(), [*by, "cell"], "left_semi").groupBy(*by, "cell", "v").count()
-    inside = inside.withColumn("within", F.sum("count").over(Window.partitionBy(*by, "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-    found = inside.join(holding, [*by, "cell"]).where(F.col("before") + F.col("within") > F.col("place"))
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    named = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), place.cast("long").alias("place")) for name, place in places.items())))
+    none = F.lit(None).cast("double")
+    wanted = sizes.select(*by, "n", named.alias("p")).select(*by, "p.*", none.alias("low"), none.alias("high"), F.lit(0).cast("long").alias("before"), F.col("n").alias("held"))
+    wanted = written(wanted, "places")
+    key = [*by, "name"]
+    inside = lambda of: rows.join(of, list(by)).where((F.col("low").isNull() | (F.col("v") >= F.col("low"))) & (F.col("high").isNull() | (F.col("v") <= F.col("high"))))
+    while (wanted.agg(F.max("held")).first()[0] or 0) > MOST:
+        wide = wanted.where(F.col("held") > MOST)
+        shares = [k / RANGES for k in range(1, RANGES)]
+        cuts = inside(wide).groupBy(*key).agg(F.array_distinct(F.percentile_approx("v", shares, 10_000)).alias("cuts"))
+        # a value at which the range is cut is a range of its own, so each range loses some values at least
+        cell = (2 * F.size(F.filter("cuts", lambda x: x < F.col("v"))) + F.array_contains("cuts", F.col("v")).cast("int")).alias("cell")
+        counted = inside(wide).join(cuts, key).groupBy(*key, "place", "before", cell).agg(F.count("*").alias("count"), F.min("v").alias("low"), F.max("v").alias("high"))
+        counted = counted.withColumn("upto", F.sum("count").over(Window.partitionBy(*key).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before"))
+        holds = counted.where((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("count")))
+        # a range of one value is narrow enough
+        held = F.when(F.col("low") < F.col("high"), F.col("count")).otherwise(1)
+        narrow = holds.select(*key, "place", "low", "high", (F.col("upto") - F.col("count")).alias("before"), held.alias("held"))
+        wanted = written(wanted.where(F.col("held") <= MOST).unionByName(narrow), "places")
+    order = Window.partitionBy(*key).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    found = inside(wanted).groupBy(*key, "place", "before", "v").count().withColumn("upto", F.col("before") + F.sum("count").over(order)).where(F.col("upto") > F.col("place"))
     return found.groupBy(*by).agg(*(F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in places))
 
 
+def _nearest_rank(p: float) -> Column:
+    return F.least(F.col("n") - 1, F.bround(p * (F.col("n") - 1)))
+
+
+MIDDLE = {"a": F.floor, "b": F.ceil}
+
+
 def ranked(df: DataFrame, value: str, p: float, *by: str) -> DataFrame:
     """(by..., ranked): the nearest-rank percentile of each group at round-half-even(p * (n - 1))."""
-    return placed(df, value, {"ranked": F.least(F.col("n") - 1, F.bround(p * (F.col("n") - 1)))}, *by)
+    return placed(df, value, {"ranked": _nearest_rank(p)}, *by)
 
 
 def median(df: DataFrame, value: str, *by: str) -> DataFrame:
     """(by..., median): the mean of a group's one or two middle values."""
-    middle = placed(df, value, {"a": F.floor((F.col("n") - 1) / 2), "b": F.floor(F.col("n") / 2)}, *by)
-    return middle.select(*by, ((F.col("a") + F.col("b")) / 2).alias("median"))
+    return percentiles(df, value, 0.5, *by).drop("ranked")
+
+
+def percentiles(df: DataFrame, value: str, p: float, *by: str) -> DataFrame:
+    """(by..., median, ranked): both in the same passes."""
+    middle = {name: half((F.col("n") - 1) / 2) for name, half in MIDDLE.items()}
+    found = placed(df, value, {**middle, "ranked": _nearest_rank(p)}, *by)
+    return found.select(*by, ((F.col("a") + F.col("b")) / 2).alias("median"), "ranked")
 
 
 def chosen_cases(cases: DataFrame, layer: str, speaker: str = "paciente", greens: int | None = None, only: list[str] | None = None) -> DataFrame:

@@ -20,6 +20,8 @@ LEXICAL_K, DENSE_K, FUSION_K, BOOST, DISTANCE, RESULTS = 30, 30, 60, 1.6, 0.42,
 K1, B = 1.5, 0.75
 #: Queries that are broadcast at once; vectors, and queries, that are compared at once.
 BROADCAST_QUERIES, BLOCK = 10_000, 1024
+#: Queries that distances are measured from to exclude blocks of vectors.
+PIVOTS = 16
 
 
 def top(df: DataFrame, k: int, *order: Column, by: str = "query_id", rank: str = "rank") -> DataFrame:
@@ -83,55 +85,136 @@ def pooled(tokens: Column, mask: Column) -> Column:
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = DENSE_K) -> DataFrame:
-    """(query_id, chunk_id, distance, rank): exact nearest neighbours of a stated set of queries.
+    """(query_id, chunk_id, distance, rank): exact nearest neighbours of a stated set of queries, by cosine distance.
 
     vectors (chunk_id, embedding[, scenario]), queries (query_id, embedding[, scenario]); where both have a scenario, a
-    query sees its own, general ones, and all if it has none. Each task compares blocks of its vectors with blocks of
-    queries by matrix products and passes on the k nearest of each block, so vectors are never shuffled. The queries
-    are counted: up to BROADCAST_QUERIES are broadcast at once, more in parts, each with a scan of its own.
-    Vectors that are null or of another length than a query's are left out.
+    query sees its own, general ones, and all if it has none. Each task keeps the k nearest of each query over all its
+    vectors and passes on those alone, so vectors are never shuffled. The queries are counted: up to BROADCAST_QUERIES are
+    broadcast at once, more in parts, each with a scan of its own. Vectors that are null or of another length than a query's
+    are left out; ties go to the smaller chunk_id.
     """
+    kind = queries.schema["query_id"].dataType.simpleString()
+    parts = [top(p.where("chunk_id is not null").select("query_id", "chunk_id", "distance"), k, F.round("distance", 9), F.col("chunk_id")) for p in passed(vectors, queries, k)]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out.withColumn("query_id", F.col("query_id").cast(kind))
+
+
+def passed(vectors: DataFrame, queries: DataFrame, k: int = DENSE_K) -> list[DataFrame]:
+    """What the tasks of each part pass on: (query_id, chunk_id, distance, compared, skipped). A row without chunk_id tells how
+    many pairs of a query and a block of vectors a task compared, and how many the triangle inequality excluded."""
     bound = "scenario" in vectors.columns and "scenario" in queries.columns
     columns = ["chunk_id", "embedding", *["scenario"] * bound]
     asked = queries.where("embedding is not null").select("query_id", *columns[1:])
     parts = max(1, -(-asked.count() // BROADCAST_QUERIES))
     kinds = vectors.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    out = None
+    types = to_arrow_type(vectors.schema["chunk_id"].dataType), to_arrow_type(queries.schema["query_id"].dataType)
+    out = []
     for part in range(parts):
         rows = vectors.sparkSession.sparkContext.broadcast(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).collect())
-        best = top(vectors.select(*columns).where("embedding is not null").mapInArrow(_nearest(rows, k, bound, to_arrow_type(queries.schema["query_id"].dataType)), f"query_id {kinds[1]}, chunk_id {kinds[0]}, distance double"), k, F.round("distance", 9), F.col("chunk_id"))
-        out = best if out is None else out.unionByName(best)
+        out.append(vectors.select(*columns).where("embedding is not null and chunk_id is not null").mapInArrow(_nearest(rows, k, bound, *types), f"query_id {kinds[1]}, chunk_id {kinds[0]}, distance double, compared long, skipped long"))
     return out
 
 
-def _nearest(rows: Broadcast, k: int, bound: bool, kind: pa.DataType):
-    """For batches of vectors: their k nearest to each query, and those as near as the last of them."""
+class _Asked:
+    """Queries of one length, their distances to pivots, and the nearest vectors found for them so far.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked: dict[int, list] = {}
-        for r in rows.value:
-            asked.setdefault(len(r["embedding"]), []).append(r)
-        for whole in batches:
-            for b in (whole.slice(i, BLOCK) for i in range(0, whole.num_rows, BLOCK)):
-                sizes = pc.list_value_length(b.column("embedding")).to_numpy(zero_copy_only=False)
-                for n, mine in asked.items():
-                    v = np.flatnonzero(sizes == n)
-                    for at in range(0, len(mine) if len(v) else 0, BLOCK):
-                        yield of(b, v, n, mine[at : at + BLOCK])
-
-    def of(b: pa.RecordBatch, v: np.ndarray, n: int, queries: list) -> pa.RecordBatch:
-        x = b.column("embedding").take(pa.array(v)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), n)
-        y = np.array([r["embedding"] for r in queries], float)
+    Unit vectors are |x - y| = sqrt(2 * distance) apart, a metric: for a pivot p no vector of a block is nearer to q than
+    |q - p| less the block's largest, or its smallest less |q - p|. Pivots are queries far from one another.
+    """
+
+    def __init__(self, rows: list, k: int, bound: bool):
+        self.k, self.ids, y = k, [r["query_id"] for r in rows], np.array([r["embedding"] for r in rows], float)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            self.y = y / np.linalg.norm(y, axis=1)[:, None]
+        self.wanted = np.array([r["scenario"] for r in rows], object) if bound else None
+        usable = self.y[np.isfinite(self.y).all(1)]
+        pivots, far = [], np.full(len(usable), np.inf)
+        while len(pivots) < min(PIVOTS, len(usable)) and far.max() > 1e-6:
+            pivots.append(usable[int(far.argmax())])
+            far = np.minimum(far, np.linalg.norm(usable - pivots[-1], axis=1))
+        self.pivots = np.array(pivots).reshape(len(pivots), self.y.shape[1])
+        self.apart = self._apart(self.y)
+        self.distance, self.found = np.full((len(rows), k), np.inf), np.empty((len(rows), k), object)
+        self.compared = self.skipped = 0
+
+    def _apart(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(0.0, 2 - 2 * x @ self.pivots.T))
+
+    def batch(self, x: np.ndarray, ids: np.ndarray, own: np.ndarray | None) -> None:
+        """Vectors, put in blocks by the pivot that is nearest to them."""
         with np.errstate(invalid="ignore", divide="ignore"):
-            distance = 1 - (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])
-        distance[np.isnan(distance)] = np.inf
-        if bound:
-            own, wanted = np.array(b.column("scenario").to_pylist(), object)[v][:, None], np.array([r["scenario"] for r in queries], object)
-            distance[~((own == wanted[None, :]) | (own == "general") | np.equal(wanted, None)[None, :])] = np.inf
+            x = x / np.linalg.norm(x, axis=1)[:, None]
+        good = np.isfinite(x).all(1)
+        x, ids, own = x[good], ids[good], own if own is None else own[good]
+        if not len(x):
+            return
+        apart = self._apart(x)
+        near = apart.argmin(1) if len(self.pivots) else np.zeros(len(x), int)
+        order = np.lexsort((apart[np.arange(len(x)), near], near)) if len(self.pivots) else np.arange(len(x))
+        for at in range(0, len(x), BLOCK // 4):
+            part = order[at : at + BLOCK // 4]
+            self.block(x[part], ids[part], None if own is None else own[part], apart[part])
+
+    def block(self, x: np.ndarray, ids: np.ndarray, own: np.ndarray | None, apart: np.ndarray) -> None:
+        least = np.zeros(len(self.y))
+        if len(self.pivots):
+            least = np.maximum(self.apart - apart.max(0), apart.min(0) - self.apart).max(1).clip(0)
+        # 1e-8 for rounding, of distances to nine digits and of square roots
+        alive = np.flatnonzero((least * least / 2 <= self.distance[:, -1] + 1e-8) & np.isfinite(self.y).all(1))
+        self.compared += len(alive)
+        self.skipped += len(self.y) - len(alive)
+        for at in range(0, len(alive), BLOCK):
+            q = alive[at : at + BLOCK]
+            distance = 1 - self.y[q] @ x.T
+            if own is not None:
+                distance[~((own[None, :] == self.wanted[q][:, None]) | (own == "general")[None, :] | np.equal(self.wanted[q], None)[:, None])] = np.inf
+            self.merge(q, distance, ids)
+
+    def merge(self, q: np.ndarray, distance: np.ndarray, ids: np.ndarray) -> None:
         rounded = np.round(distance, 9)
-        last = np.partition(rounded, min(k, len(v)) - 1, axis=0)[min(k, len(v)) - 1]
-        i, j = np.nonzero((rounded <= last[None, :]) & np.isfinite(rounded))
-        return pa.RecordBatch.from_arrays([pa.array([queries[q]["query_id"] for q in j.tolist()], kind), b.column("chunk_id").take(pa.array(v[i])), pa.array(distance[i, j])], ["query_id", "chunk_id", "distance"])
+        cut = np.round(self.distance[q, -1], 9)
+        if rounded.shape[1] > self.k:
+            cut = np.minimum(cut, np.partition(rounded, self.k - 1, axis=1)[:, self.k - 1])
+        i, j = np.nonzero((rounded <= cut[:, None]) & np.isfinite(rounded))
+        busy = np.unique(i)
+        if not len(busy):
+            return
+        had_i, had_j = np.nonzero(np.isfinite(self.distance[q[busy]]))
+        at = np.r_[busy[had_i], i]
+        far, who = np.r_[self.distance[q[busy[had_i]], had_j], distance[i, j]], np.r_[self.found[q[busy[had_i]], had_j], ids[j]]
+        order = np.lexsort((np.unique(who, return_inverse=True)[1], np.round(far, 9), at))
+        at, far, who = at[order], far[order], who[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        kept = place < self.k
+        self.distance[q[at[kept]], place[kept]], self.found[q[at[kept]], place[kept]] = far[kept], who[kept]
+
+
+def _nearest(rows: Broadcast, k: int, bound: bool, kind: pa.DataType, query_kind: pa.DataType):
+    """For a task's vectors: the k nearest to each query, once all are seen."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[int, list] = {}
+        for r in rows.value:
+            by.setdefault(len(r["embedding"]), []).append(r)
+        asked = {n: _Asked(mine, k, bound) for n, mine in by.items()}
+        for b in batches:
+            sizes = pc.list_value_length(b.column("embedding")).to_numpy(zero_copy_only=False)
+            ids = np.array([*b.column("chunk_id").to_pylist(), None], object)[:-1]
+            own = np.array([*b.column("scenario").to_pylist(), None], object)[:-1] if bound else None
+            for n, mine in asked.items():
+                v = np.flatnonzero(sizes == n)
+                if len(v):
+                    x = b.column("embedding").take(pa.array(v)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), n)
+                    mine.batch(x, ids[v], None if own is None else own[v])
+        for mine in asked.values():
+            i, j = np.nonzero(np.isfinite(mine.distance))
+            n = len(i)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([None, *(mine.ids[q] for q in i.tolist())], query_kind), pa.array([None, *mine.found[i, j].tolist()], kind), pa.array([None, *mine.distance[i, j].tolist()], pa.float64()),
+                pa.array([mine.compared, *[None] * n], pa.int64()), pa.array([mine.skipped, *[None] * n], pa.int64()),
+            ], ["query_id", "chunk_id", "distance", "compared", "skipped"])
 
     return run
 

@@ -12,6 +12,9 @@ from tamiz.session import table
 from tamiz.sources import index, store
 from tamiz.streaming import calls, signal, windows
 
+#: Items that are compared with every text at once.
+SOME = 1000
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -241,15 +244,23 @@ select b.item_id, d.doc_id, case when length(d.text) <= 700 then d.text when pos
   else case when greatest(0, pos - 175) > 0 then '…' else '' end || substr(d.text, greatest(0, pos - 175) + 1, 700) || '…' end as excerpt
 from benchmark b, lateral (select doc_id, text, instr(text, left(b.text, 80)) - 1 as pos from documents) d where d.doc_id = b.item_id or pos >= 0""")
 def context_window(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with an item's id, and those that hold its first 80 characters: its first words find the candidates."""
-    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("hit"), F.left("text", F.lit(80)).alias("start"))
-    docs = table(spark, sf, "documents")
-    # a passage that holds the first 80 characters holds the words between their first and last white space
+    """Documents with an item's id, and those that hold its first 80 characters: a whole word inside them finds the candidates."""
+    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("hit"), F.left("text", F.lit(80)).alias("start")).where("start is not null")
+    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", "text")
+    # words between two white spaces of the characters; the first and the last may be parts of longer ones in a text
     inner = F.split(F.regexp_replace(F.regexp_replace("start", r"^\S*\s+", ""), r"\s+\S*$", ""), r"\s+")
-    keyed = items.withColumn("word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    words = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    has = F.col("start").rlike(r"\s\S+\s")
+    keyed = items.where(has).withColumn("word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    words = docs.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
     found = words.join(keyed, "word").where(F.contains("text", F.col("start"))).select("item_id", "doc_id", "text", "hit")
-    same = docs.join(items, F.col("doc_id") == F.col("item_id")).where(~F.coalesce(F.contains("text", F.col("start")), F.lit(False))).select("item_id", "doc_id", "text", "hit")
+    # items without such a word are looked for in each text, so many at once
+    without = items.where(~has)
+    parts = -(-without.count() // SOME)
+    for part in range(parts):
+        some = F.broadcast(without.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part))
+        found = found.unionByName(docs.join(some, F.contains("text", F.col("start"))).select("item_id", "doc_id", "text", "hit"))
+    whole = table(spark, sf, "documents").select("doc_id", "text")
+    same = whole.join(items, F.col("doc_id") == F.col("item_id")).where(~F.coalesce(F.contains("text", F.col("start")), F.lit(False))).select("item_id", "doc_id", "text", "hit")
     return found.unionByName(same).select("item_id", "doc_id", T.window(F.col("text"), F.col("hit"), 700).alias("excerpt"))
 
 
@@ -261,9 +272,8 @@ def query_expansion(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select event_type, quantile_disc(value, 0.5) is not null as some, round(list_sort(list(value))[least(count(value) - 1, round_even(0.95 * (count(value) - 1), 0)::bigint) + 1], 2) as p95 from events group by event_type".replace("quantile_disc(value, 0.5) is not null as some", "round(median(value), 2) as p50"))
 def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    events = table(spark, sf, "events")
-    p50, p95 = metrics.median(events, "value", "event_type"), metrics.ranked(events, "value", 0.95, "event_type")
-    return p50.join(p95, "event_type").select("event_type", F.round("median", 2).alias("p50"), F.round("ranked", 2).alias("p95"))
+    found = metrics.percentiles(table(spark, sf, "events"), "value", 0.95, "event_type")
+    return found.select("event_type", F.round("median", 2).alias("p50"), F.round("ranked", 2).alias("p95"))
 
 
 def _turns(spark: SparkSession, sf: str) -> DataFrame:
@@ -607,14 +617,14 @@ def slot_repairs(spark: SparkSession, sf: str) -> DataFrame:
 
 #: Replies of an assistant, and how they are said.
 REPLIES = [
-    ("Mauricio, le habla Clara. ¿Cómo sigue?", "¿Cómo sigue?"), ("Ana, le habla Clara. Hola Ana, le habla Clara. Siga así", "Siga así"), ("Bien. Luis, le habla Clara. Descanse", "Bien. Descanse"),
+    ("Mauricio, le habla Elena. ¿Cómo sigue?", "¿Cómo sigue?"), ("Ana, le habla Elena. Hola Ana, le habla Elena. Siga así", "Siga así"), ("Bien. Luis, le habla Elena. Descanse", "Bien. Descanse"),
     ("Si tienes fiebre, puedes llamar a tu médico", "Si tiene fiebre, puede llamar a su médico"), ("¿Estás bien? Tu herida y tú", "¿Estás bien? Su herida y usted"), ("", ""),
 ]
 
 
 @query(_wanted(REPLIES, "reply"))
 def formal_replies(spark: SparkSession, sf: str) -> DataFrame:
-    return _dealt(spark, sf, [r[:1] for r in REPLIES], "text").select("conv_id", "turn", slots.formal(slots.introduced_once(F.col("text"))).alias("reply"))
+    return _dealt(spark, sf, [r[:1] for r in REPLIES], "text").select("conv_id", "turn", slots.formal(slots.introduced_once(F.col("text"), "Elena")).alias("reply"))
 
 
 #: What a recogniser hands over; how it is taken; whether it asks; whether it is worth extracting from.

@@ -197,6 +197,31 @@ def test_dense_by_blocks(spark, monkeypatch):
         assert [i for _, i in mine] == [i for _, i in want] or np.allclose([d for d, _ in mine], [d for d, _ in want], atol=1e-8)
 
 
+def test_dense_passes_on_the_best_of_a_task_and_skips_far_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(40, 16))
+    x = np.array([centres[i % 40] + 0.05 * rng.normal(size=16) for i in range(6000)])
+    x[:2000:2] = x[1]  # ties in a sixth of the rows
+    vectors = spark.createDataFrame([(f"v{i:05}", v.tolist()) for i, v in enumerate(x)], "chunk_id string, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 6000, 150)], "query_id int, embedding array<double>")
+    (part,) = retrieval.passed(vectors, asked, 7)
+    part = part.cache()
+    assert part.where("chunk_id is not null").count() <= 3 * 40 * 7
+    told = part.agg({"compared": "sum", "skipped": "sum"}).first().asDict()
+    assert told["sum(skipped)"] > 0.45 * sum(told.values())
+    unit = x.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    got = {}
+    for r in retrieval.dense(vectors, asked, 7).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.chunk_id
+    for i in range(0, 6000, 150):
+        q = np.array(x[i])
+        d = np.round(1 - unit @ (q / np.linalg.norm(q)), 9)
+        assert [got[i][k] for k in range(1, 8)] == [f"v{j:05}" for j in np.lexsort((np.arange(6000), d))[:7]]
+
+
 words = st.lists(st.text("ab.", min_size=1, max_size=4), min_size=1, max_size=120)
 
 

@@ -113,3 +113,17 @@ def test_bm25_reads_the_texts_once(spark, sf):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_context_window_finds_parts_of_words(spark, tmp_path):
+    long = "alpha beta gamma " * 20
+    items = [(1, "abc def"), (2, "single"), (3, long), (4, None), (5, ""), (6, "two words"), (7, "in the middle")]
+    docs = [(100, "xabc defg and more"), (101, "a singleton here"), (102, f"before {long} after"), (103, None), (6, "nothing of it"), (104, "xin the middles")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.item_id, r.doc_id): r.excerpt for r in QUERIES["context_window"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = {r[:2]: r[2] for r in con.execute(ORACLE["context_window"]).fetchall()}
+    assert got == want and {(1, 100), (2, 101), (3, 102), (6, 6), (7, 104)} <= set(got)

@@ -15,14 +15,16 @@ from tamiz.streaming import calls
 
 
 def test_uploads(spark, tmp_path):
-    for name, body in {"a.md": b"# x", "b.exe": b"1", "c.txt": b"", "sub/d?.txt": b"# x"}.items():
+    for name, body in {"a.md": b"# x", "b.exe": b"1", "c.txt": b"", "sub/d?.txt": b"# x", "guía.pdf": b"%PDF", "notas (año 2).md": b"x", "k" * 130 + ".txt": b"y"}.items():
         path = tmp_path / name
         path.parent.mkdir(exist_ok=True)
         path.write_bytes(body)
     got = {r.file: (r.problem, r.text) for r in files.uploads(spark, f"file://{tmp_path}").collect()}
-    assert got == {"a.md": (None, "# x"), "b.exe": ("kind", None), "d_.txt": (None, "# x")}
+    assert got == {"a.md": (None, "# x"), "b.exe": ("kind", None), "d_.txt": (None, "# x"), "c.txt": ("empty", None), "guía.pdf": (None, None), "notas (año 2).md": (None, "x"), "k" * 120: ("kind", None)}
+    counts = {r.problem: (r.files, r.bytes) for r in files.upload_counts(files.uploads(spark, f"file://{tmp_path}")).collect()}
+    assert counts == {"taken": (4, 11), "kind": (2, 2), "empty": (1, 0)}
     found = files.uploads(spark, f"file://{tmp_path}").where("problem is null")
-    assert files.new_documents(found, found.limit(0)).count() == 1
+    assert files.new_documents(found, found.limit(0)).count() == 3
 
 
 def test_turn_log(spark, tmp_path):
@@ -43,6 +45,17 @@ def test_nearest_rank_and_median(spark):
     assert set(ranked) == set(median) == set(groups)
 
 
+def test_percentiles_under_skew(spark, monkeypatch):
+    """One outlier far off, one value in most rows: no range that a task puts in order is large."""
+    monkeypatch.setattr(metrics, "MOST", 50)
+    monkeypatch.setattr(metrics, "RANGES", 8)
+    r = random.Random(7)
+    groups = {"out": [1e300, *[r.random() for _ in range(3000)]], "same": [1.0] * 2500 + [r.random() for _ in range(300)], "few": [3.0, 1.0], "steep": [10.0 ** r.uniform(-300, 300) for _ in range(2000)]}
+    df = spark.createDataFrame([(k, float(v)) for k, x in groups.items() for v in x], "k string, v double").repartition(3)
+    got = {x.k: (x["median"], x["ranked"]) for x in metrics.percentiles(df, "v", 0.95, "k").collect()}
+    assert got == {k: (statistics.median(x), sorted(x)[min(len(x) - 1, round(0.95 * (len(x) - 1)))]) for k, x in groups.items()}
+
+
 def test_lookups(spark, tmp_path):
     docs = spark.createDataFrame([("a", "One"), ("b", None)], "doc_id string, title string")
     ids = spark.createDataFrame([("a",), ("b",), ("c",)], "doc_id string")
