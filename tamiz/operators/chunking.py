@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,12 +19,7 @@ PARENT, CHILD, OVERLAP = 1100, 250, 40
 SHORTEST, LETTERS = 60, 40
 #: A line is a heading if it is so much larger than the median, of so many characters, and its section has so many.
 LARGER, HEADING, SECTION = 1.18, (3, 90), 400
-_LONG = re.compile(rf"\S{{{LETTERS + 1},}}")
-
-
-def tokens_in(text: str) -> int:
-    """White-space words; a very long one counts once for each LETTERS letters, as a tokenizer would cut it."""
-    return len(text.split()) + sum((len(w) - 1) // LETTERS for w in _LONG.findall(text))
+WORD = re.compile(r"\S+")
 
 
 def sections(docs: DataFrame) -> DataFrame:
@@ -84,64 +80,114 @@ def cleaned(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"\.{4,}", " "), r"\n{3,}", "\n\n"))
 
 
-def packed(pieces: list[str], most: int, joint: str, count: Callable[[str], int] = tokens_in) -> list[tuple[str, int]]:
-    """Neighbouring pieces joined as long as they stay within a number of tokens, with their sizes."""
-    out: list[list[str]] = []
-    sizes: list[int] = []
-    for piece in pieces:
-        n = count(piece)
-        if out and sizes[-1] + n <= most:
-            out[-1].append(piece)
-            sizes[-1] += n
-        else:
-            out.append([piece])
-            sizes.append(n)
-    return list(zip(map(joint.join, out), sizes, strict=True))
+#: Where a block may end, best first: paragraphs, lines, sentences, words.
+ENDS = [re.compile(p) for p in (r"\n\n+", r"\n", r"(?<=[.!?])\s+", r"\s+")]
+
+
+class Tokens:
+    """Where the tokens of texts begin, from one encoding of each: white-space words, or a tokenizer's own tokens.
+
+    A tokenizer is a path to its file, which every executor can read; the special tokens that it puts around a text count
+    for each piece of it.
+    """
 
+    def __init__(self, tokenizer: str | None = None):
+        self.model, self.special = None, 0
+        if tokenizer:
+            from tokenizers import Tokenizer
 
-def blocks(text: str, most: int = PARENT, count: Callable[[str], int] = tokens_in, size: int | None = None) -> list[str]:
-    """Blocks of at most `most` tokens: by paragraphs, else lines, else sentences, else words, else characters."""
-    size = count(text) if size is None else size
-    if size <= most:
-        return [text]
-    for split, joint in ((r"\n\n+", "\n\n"), (r"\n", "\n"), (r"(?<=[.!?])\s+", " "), (r"\s+", " ")):
-        pieces = [p for p in re.split(split, text) if p.strip()]
-        if len(pieces) > 1:
-            return [b for block, n in packed(pieces, most, joint, count) for b in blocks(block, most, count, n)]
-    step = max(200, int(most * max(1, len(text) // max(1, size)) * 0.9))
-    return [text[i : i + step] for i in range(0, len(text), step)]
+            self.model = Tokenizer.from_file(tokenizer)
+            self.special = self.model.num_special_tokens_to_add(False)
 
+    def starts(self, texts: list[str]) -> list[np.ndarray]:
+        if self.model:
+            found = self.model.encode_batch(texts, add_special_tokens=False)
+            return [np.array([a for a, _ in e.offsets], np.int64) for e in found]
+        return [np.array([at for m in WORD.finditer(t) for at in range(m.start(), m.end(), LETTERS)], np.int64) for t in texts]
 
-def children_of(sentences: list[str], size: int = CHILD, overlap: int = OVERLAP) -> list[str]:
+    def sizes(self, texts: list[str]) -> np.ndarray:
+        return np.array([len(s) + self.special for s in self.starts(texts)], np.int64)
+
+
+def spans(text: str, starts: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """(from, to) of blocks of at most `most` tokens, of which starts says where they begin.
+
+    A span with more is cut at the best kind of end that it has; neighbouring pieces go together as far as their tokens,
+    differences of places among starts, allow. What has no end is cut between tokens.
+    """
+    before = lambda at: np.searchsorted(starts, at)
+    done, todo = [], [(0, len(text), 0)]
+    while todo:
+        a, b, kind = todo.pop()
+        if before(b) - before(a) <= most:
+            done.append((a, b))
+        elif kind == len(ENDS):
+            cuts = [a, *starts[before(a) + most : before(b) : most].tolist(), b]
+            done += zip(cuts, cuts[1:], strict=False)
+        else:
+            cuts = np.array([a, *(m.end() for m in ENDS[kind].finditer(text, a, b) if m.end() < b), b])
+            upto = before(cuts)
+            k = 0
+            while k < len(cuts) - 1:
+                to = max(k + 1, int(np.searchsorted(upto, upto[k] + most, "right")) - 1)
+                todo.append((int(cuts[k]), int(cuts[to]), kind + 1))
+                k = to
+    return sorted(done)
+
+
+def blocks(texts: list[str], most: int = PARENT, tokens: Tokens | None = None) -> list[list[str]]:
+    """The blocks of each text, without white space around them. A block that has more tokens by itself than within its text is cut
+    again, so none has over `most`, special ones counted."""
+    tokens = tokens or Tokens()
+    out, room = [], max(1, most - tokens.special)
+    for text, starts in zip(texts, tokens.starts(texts), strict=True):
+        found = [b for b in (text[a:z].strip() for a, z in spans(text, starts, room)) if b]
+        if tokens.model and len(found) > 1:
+            sizes = tokens.sizes(found)
+            found = [c for block, n in zip(found, sizes.tolist(), strict=True) for c in ([block] if n <= most or len(block) < 2 else blocks([block], most - (n - most), tokens)[0])]
+        out.append(found or [""])
+    return out
+
+
+def children_of(sentences: list[str], sizes: np.ndarray, size: int = CHILD, overlap: int = OVERLAP) -> list[str]:
     """Sentences packed to about `size` tokens; each chunk begins with the last sentences, of `overlap` tokens, before it."""
-    sizes = [tokens_in(s) for s in sentences]
-    out, first, count = [], 0, 0
-    for i, n in enumerate(sizes):
-        if i > first and count + n > size:
-            out.append(" ".join(sentences[first:i]))
-            start, first, count = first, i, 0
-            while first > start and count < overlap:
-                first -= 1
-                count += sizes[first]
-        count += n
-    out.append(" ".join(sentences[first:]))
+    upto = np.r_[0, np.cumsum(sizes)]
+    out, first, new = [], 0, 0
+    while new < len(sentences):
+        end = max(new + 1, int(np.searchsorted(upto, upto[first] + size, "right")) - 1)
+        out.append(" ".join(sentences[first:end]))
+        first, new = max(first, int(np.searchsorted(upto, upto[end] - overlap, "right")) - 1), end
     return [c for c in out if len(c) > SHORTEST]
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _blocks(text: pd.Series) -> pd.Series:
-    return text.map(blocks)
+def _blocks(tokenizer: str | None):
+    @F.pandas_udf(ArrayType(StringType()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokens = Tokens(tokenizer)
+        for text in batches:
+            yield pd.Series(blocks(text.tolist(), PARENT, tokens), dtype=object)
+
+    return run
+
 
+def _children(tokenizer: str | None):
+    @F.pandas_udf(ArrayType(StringType()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokens = Tokens(tokenizer)
+        for found in batches:
+            # each sentence of a batch is encoded once
+            every = [list(s) for s in found]
+            sizes = tokens.sizes([x for s in every for x in s]) - tokens.special
+            ends = np.cumsum([len(s) for s in every]) if every else []
+            yield pd.Series([children_of(s, sizes[e - len(s) : e]) for s, e in zip(every, ends, strict=True)], dtype=object)
 
-@F.pandas_udf(ArrayType(StringType()))
-def _children(sentences: pd.Series) -> pd.Series:
-    return sentences.map(lambda s: children_of(list(s)))
+    return run
 
 
-def parents(found: DataFrame) -> DataFrame:
+def parents(found: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, parent_id, section, text) of sections (doc_id, pos, section, text); contents and references are left out."""
     good = found.where(~T.is_toc(F.col("section"), F.col("text"))).withColumn("text", cleaned(F.col("text"))).where("text <> ''")
-    cut = good.withColumn("parts", _blocks("text"))
+    cut = good.withColumn("parts", _blocks(tokenizer)("text"))
     one = cut.select("doc_id", "pos", "section", F.size("parts").alias("n"), F.posexplode("parts").alias("part", "text"))
     name = F.when(F.col("n") > 1, F.concat("section", F.lit(" ("), (F.col("part") + 1).cast("string"), F.lit(")"))).otherwise(F.col("section"))
     return one.select("doc_id", F.concat_ws("/", F.col("doc_id").cast("string"), F.col("pos").cast("string"), F.col("part").cast("string")).alias("parent_id"), name.alias("section"), "text")
@@ -158,8 +204,8 @@ def with_children(found: DataFrame, chunks: DataFrame) -> DataFrame:
     return found.join(chunks.select("parent_id").distinct(), "parent_id", "left_semi")
 
 
-def children(found: DataFrame, title: Column | None = None) -> DataFrame:
+def children(found: DataFrame, title: Column | None = None, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, parent_id, chunk_id, section, text, embed_text) of parents; embed_text carries title and section."""
-    cut = found.withColumn("parts", _children(T.sentences(F.col("text"))))
+    cut = found.withColumn("parts", _children(tokenizer)(T.sentences(F.col("text"))))
     one = cut.select("doc_id", "parent_id", "section", F.posexplode("parts").alias("n", "text"))
     return one.withColumn("chunk_id", F.concat_ws("/", "parent_id", F.col("n").cast("string"))).withColumn("embed_text", F.concat_ws(" | ", title if title is not None else F.lit(""), "section", "text")).drop("n")

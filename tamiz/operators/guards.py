@@ -20,6 +20,7 @@ CLINICAL = r"(?iU)dolor|duele|fiebre|calentura|temperatura|herida|sangr|mareo|vo
 FAMILIAR = r"(?iU)\b(?:tú|tu temperatura|te recomiendo|puedes|debes|tienes)\b"
 STOCK = ["gracias por compartir", "puedo ofrecerte|puedo ofrecerle la posibilidad", "y se quede a un lado", "no parece ser un problema grave"]
 ALERT = "Por lo que me cuenta"
+LOOKING = r"(?iU)perm[ií]tame revisar|d[eé]jeme (?:revisar|consultar)"
 #: Least loudness and share of voice (in %) of a turn; most characters a second of speech, shortest time it is counted for.
 RMS, VOICE, PER_SECOND, SHORTEST_S = 0.02, 12.0, 25.0, 0.3
 #: Least share of said words that a transcript keeps; characters of a transcript that a summary reads; longest short text.
@@ -96,6 +97,11 @@ def record(state: DataFrame, *names: str) -> Column:
     return F.to_json(F.struct(*names))
 
 
+def spurious_search(said: Column, reply: Column) -> Column:
+    """Whether a reply says that it looks something up where a datum was stated and nothing asked."""
+    return said.rlike(STATED) & ~said.rlike(REAL_QUESTION) & reply.rlike(LOOKING)
+
+
 def reply_issues(said: Column, transcript: Column, reply: Column) -> Column:
     """What a turn of a test call did wrong: array of sentences."""
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([a-záéíóúñü]{3,})"), F.lit(1)))
@@ -110,6 +116,7 @@ def reply_issues(said: Column, transcript: Column, reply: Column) -> Column:
         *(F.when(reply.rlike(f"(?i){p}"), f"Fórmula poco natural: {p}") for p in STOCK),
         F.when(times("¿") > 1, "Más de una pregunta en el turno"),
         F.when(times(ALERT) > 1, "Protocolo de alerta duplicado en el mismo texto"),
+        F.when(spurious_search(F.coalesce(said, F.lit("")), F.coalesce(reply, F.lit(""))), F.concat(F.lit("RAG espurio ante dato clínico (posible '?' de ASR): «"), F.left(F.coalesce(transcript, F.lit("")), F.lit(80)), F.lit("»"))),
     ]
     return F.array_compact(F.array(*found))
 
@@ -126,11 +133,21 @@ def issue_counts(calls: DataFrame) -> DataFrame:
     return calls.select("call_id", F.explode("issues").alias("issue")).select("call_id", kind.alias("issue")).distinct().groupBy(F.trim("issue").alias("issue")).agg(F.count("*").alias("calls"))
 
 
-def write_report(calls: DataFrame, path: str) -> None:
-    """Test calls (call_id, name, case, level, ok, issues, seconds) as JSON, and as the rows of a Markdown table."""
-    calls.write.mode("overwrite").json(f"{path}/json")
+def report_lines(calls: DataFrame) -> DataFrame:
+    """(n, line): a report as Markdown: totals, the head of its table, then test calls (call_id, name, case, level, ok, issues, seconds)
+    in the order of their numbers."""
     dash = F.lit("—")
     issues = F.when(F.size("issues") > 0, F.replace(F.array_join(F.slice("issues", 1, 3), "; "), F.lit("|"), F.lit("/"))).otherwise(dash)
     cells = [F.col("call_id").cast("string"), F.col("name"), F.col("case"), F.coalesce("level", dash), F.when(F.col("ok"), "sí").otherwise("NO"), issues, F.col("seconds").cast("string")]
-    row = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
-    calls.orderBy("call_id").select(row.alias("line")).write.mode("overwrite").text(f"{path}/table")
+    rows = calls.select(F.col("call_id").cast("long").alias("n"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+    sums = calls.agg(F.count("*").alias("total"), F.count_if("ok").alias("ok"), F.round(F.sum("seconds"), 1).alias("seconds"))
+    said = [F.format_string("- Pacientes: **%d**", "total"), F.format_string("- OK: **%d** · Fallos: **%d**", F.col("ok"), F.col("total") - F.col("ok")), F.concat(F.lit("- Duración total: **"), F.coalesce(F.col("seconds"), F.lit(0.0)).cast("string"), F.lit(" s**"))]
+    head = [*said, F.lit("| # | Paciente | Caso | Triaje | OK | Issues | s |"), F.lit("|---|----------|------|--------|----|--------|---|")]
+    top = sums.select(F.posexplode(F.array(*head)).alias("k", "line")).select((F.col("k") - len(head)).cast("long").alias("n"), "line")
+    return top.unionByName(rows)
+
+
+def write_report(calls: DataFrame, path: str) -> None:
+    """Test calls as JSON lines, and as a Markdown file; their numbers count from 0 or higher."""
+    calls.write.mode("overwrite").json(f"{path}/json")
+    report_lines(calls).repartitionByRange(1, "n").sortWithinPartitions("n").select("line").write.mode("overwrite").text(f"{path}/table")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tamiz.functions import lexicon, speech
 from tamiz.functions import text as T
-from tamiz.operators import chunking, dialog, grounding, guards, metrics, retrieval, rules, slots, speech_repair
+from tamiz.operators import chunking, dialog, grounding, guards, metrics, records, retrieval, rules, slots, speech_repair
 from tamiz.session import table
 from tamiz.sources import index, store
 from tamiz.streaming import calls, signal, windows
@@ -735,9 +735,55 @@ def grounded_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return _answers(spark, sf).select("conv_id", "turn", *(c.alias(n) for n, c in grounding.grounded(claims, F.col("answer")).items()))
 
 
-@query()
+WS = r"[ \t\n\x0b\f\r]+"
+
+
+@query(rf"""
+with p as (select conv_id, turn, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '{WS}$', ''), '([.!?…]){WS}', '\1' || chr(1), 'g'), chr(1)) as s from conversations),
+k as (select *, coalesce(list_min(list_filter(range(1, len(s)), lambda i: length(s[i]) < 25)), len(s)) - 1 as k from p),
+o as (select conv_id, turn, list_append(s[1 : k], array_to_string(s[k + 1 :], ' ')) as o from k)
+select conv_id, turn, array_to_string(list_filter(list_transform(o, lambda x: regexp_replace(regexp_replace(x, '^{WS}', ''), '{WS}$', '')), lambda x: x <> ''), ' | ') as sentences from o""")
 def sentence_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").select("conv_id", "turn", speech_repair.sentence_stream(F.split(F.coalesce("text", F.lit("")), "(?<= )")).alias("sentences"))
+    """Each turn's text as a stream of its words; the same over parts in any order: speech_repair.sentences_as_they_come."""
+    parts = F.split(F.coalesce("text", F.lit("")), "(?<= )")
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(speech_repair.sentence_stream(parts), " | ").alias("sentences"))
+
+
+@query("""select conv_id, turn, 'El AGENTE preguntó: «' || left(coalesce(last_value(case when role = 'assistant' then text end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), ''), 220) || '»' || chr(10) || 'El PACIENTE respondió (transcripción telefónica): «' || coalesce(text, '') || '»' as content
+from conversations qualify role = 'user'""")
+def extraction_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    return records.extraction_inputs(table(spark, sf, "conversations"), "conv_id")
+
+
+def _evaluated(spark: SparkSession, sf: str) -> DataFrame:
+    return records.evaluated(rules.running_state(_symptoms(spark, sf)))
+
+
+@query(f"""with {LEVEL}, both as (select l.*, s.pain, s.fever, s.minimising from level l join state s using (call_id, turn))
+select call_id, min(turn) as turn, 'rojo' as level, min_by(pain, turn) as pain, round(min_by(fever, turn), 1) as fever from both where level = 2 group by call_id""")
+def alert_records(spark: SparkSession, sf: str) -> DataFrame:
+    """The alert of each call; of its reasons and symptoms the SQL knows the numbers alone."""
+    found = records.alerts(_evaluated(spark, sf), "pain", "fever")
+    return found.where(F.size("reasons") > 0).select("call_id", "turn", "level", "pain", F.round("fever", 1).alias("fever"))
+
+
+@query(f"""with {LEVEL}, both as (select l.*, s.pain, s.fever, s.minimising from level l join state s using (call_id, turn))
+select call_id, count(*) as turns, ['verde', 'amarillo', 'rojo'][max(level) + 1] as final_level, bool_or(level = 2) as alerted, min(turn) filter (where level = 2) as alert_turn,
+  max_by(pain, turn) as pain, round(max_by(fever, turn), 1) as fever, max_by(minimising, turn) as minimising from both group by call_id""")
+def call_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    found = records.summaries(_evaluated(spark, sf), "pain", "fever", "minimising")
+    return found.select("call_id", "turns", "final_level", "alerted", "alert_turn", "pain", F.round("fever", 1).alias("fever"), "minimising")
+
+
+@query("""with c as (select doc_id as caso_id, ['verde', 'amarillo', 'rojo'][quality + toxic + 1] as esperado, ['verde', 'amarillo', 'rojo'][n_chars % 3 + 1] as predicho from labels join documents using (doc_id)),
+e as (select min(caso_id) as a, max(caso_id) as z from c)
+select caso_id, case when caso_id = a then '[' else ' ' end || '{"caso_id":' || caso_id || ',"esperado":"' || esperado || '","predicho":"' || predicho || '"}' || case when caso_id = z then ']' else ',' end as line from c, e""")
+def evaluation_array(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of an evaluation's results as one JSON array (records.write_array writes them as a file)."""
+    level = lambda c: F.element_at(F.array(*map(F.lit, rules.LEVELS)), c.cast("int") + 1)
+    docs = table(spark, sf, "documents").select("doc_id", F.pmod("n_chars", F.lit(3)).alias("p"))
+    cases = table(spark, sf, "labels").join(docs, "doc_id").select(F.col("doc_id").alias("caso_id"), level(F.col("quality") + F.col("toxic")).alias("esperado"), level(F.col("p")).alias("predicho"))
+    return records.array_lines(cases, "caso_id")
 
 
 @query()

@@ -1,5 +1,6 @@
 """Text, speech and rule functions on hand-written Spanish."""
 
+import random
 import unicodedata
 
 import pytest
@@ -134,10 +135,29 @@ def test_expansion(spark):
 
 def test_blocks_of_one_endless_word():
     text = "x" * 50_000
-    out = chunking.blocks(text)
-    assert "".join(out) == text and len(out) > 1 and max(map(chunking.tokens_in, out)) <= chunking.PARENT
-    out = chunking.blocks(text, 100, len)
-    assert "".join(out) == text and {len(b) for b in out[:-1]} == {200}
+    (out,) = chunking.blocks([text])
+    assert "".join(out) == text and len(out) > 1 and max(chunking.Tokens().sizes(out)) <= chunking.PARENT
+
+
+def test_blocks_and_children_by_a_tokenizer(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokens = chunking.Tokens(path)
+    tokens.special = 2
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdeé123.,;ñ") for _ in range(r.randint(1, 14)))
+    texts = ["".join(word() + r.choice([" ", " ", " ", ". ", "\n", "\n\n"]) for _ in range(r.choice([5, 200, 3000]))) for _ in range(12)] + ["", "x" * 9000, "é" * 3000]
+    for text, found in zip(texts, chunking.blocks(texts, 120, tokens), strict=True):
+        assert all(len(tokens.model.encode(b, add_special_tokens=False).ids) + 2 <= 120 for b in found)
+        assert "".join("".join(found).split()) == "".join(text.split())
+    # neighbours were not needlessly parted: two paragraphs that fit stay together
+    assert chunking.blocks(["one two\n\nthree four\n\nfive six seven"], 4) == [["one two\n\nthree four", "five six seven"]]
+    docs = spark.createDataFrame([("d", "f.md", "# One\n" + "A sentence that says a little more than nothing at all. " * 400)], "doc_id string, file string, text string")
+    parents = chunking.parents(chunking.sections(docs), path)
+    plain = chunking.Tokens(path)
+    assert parents.count() > 1 and max(plain.sizes([r.text for r in parents.collect()])) <= chunking.PARENT
+    assert max(plain.sizes([r.text for r in chunking.children(parents, None, path).collect()])) <= chunking.CHILD
 
 
 def test_chunks_and_statuses(spark):
@@ -229,7 +249,7 @@ words = st.lists(st.text("ab.", min_size=1, max_size=4), min_size=1, max_size=12
 @given(words, st.sampled_from(["\n\n", "\n", " "]))
 def test_blocks_keep_words(found, joint):
     text = joint.join(found)
-    out = chunking.blocks(text, 10)
+    (out,) = chunking.blocks([text], 10)
     assert " ".join(out).split() == text.split() and all(len(b.split()) <= 10 for b in out)
 
 
@@ -237,7 +257,7 @@ def test_blocks_keep_words(found, joint):
 @given(st.lists(st.integers(1, 30), max_size=40))
 def test_children_overlap(sizes):
     sentences = [" ".join([f"w{i}x{'y' * 60}"] * n) for i, n in enumerate(sizes)]
-    out = chunking.children_of(sentences, 40, 10)
+    out = chunking.children_of(sentences, chunking.Tokens().sizes(sentences), 40, 10)
     covered = {w for c in out for w in c.split()}
     assert covered == {w for s in sentences for w in s.split()}
     for a, b in zip(out, out[1:], strict=False):

@@ -1,10 +1,14 @@
 """Slots, grounding, repair and signal on hand-written cases."""
 
+import json
+import random
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tamiz.operators import grounding, rules, slots, speech_repair
+from tamiz.operators import grounding, guards, records, rules, slots, speech_repair
 from tamiz.streaming import signal
 
 
@@ -77,9 +81,55 @@ def test_repair_with_a_vocabulary():
     assert fix("sanando las punzadas y colores") == "sanando las punzadas y colores" and fix("fierebres") == "fiebre" and fix("amarillenta") == "amarillenta"
 
 
-def test_sentence_stream():
-    text = "Esta es una frase bastante larga. Y otra más larga todavía aquí. Sí. Fin"
-    assert speech_repair.streamed(list(text)) == ["Esta es una frase bastante larga.", "Y otra más larga todavía aquí.", "Sí. Fin"]
+def streamed(parts, least=25):
+    """What is said when, part by part: a sentence goes when the next one begins and it is long enough."""
+    held, out = "", []
+    for c in "".join(parts):
+        held += c
+        while (m := re.search(r"(?<=[.!?…])\s+(?=\S)", held)) and m.start() >= least:
+            out, held = [*out, held[: m.start()]], held[m.end() :]
+    rest = re.sub(r"(?<=[.!?…])\s+(?=\S)", " ", held).strip()
+    return [x for x in [*(o.strip() for o in out), rest] if x]
+
+
+def replies():
+    r = random.Random(9)
+    out = [list("Esta es una frase bastante larga. Y otra más larga todavía aquí. Sí. Fin"), [""], ["Una frase sola que no acaba"], ["  "]]
+    for _ in range(25):
+        text = "".join("palabra " * r.choice([0, 1, 3, 5]) + r.choice(["fin. ", "¡eh!  ", "ya…\n", "sigue "]) for _ in range(r.randint(1, 8)))
+        cuts = sorted(r.randrange(len(text) + 1) for _ in range(r.randint(0, 9)))
+        out.append([text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)])
+    return out
+
+
+def test_sentence_stream(spark):
+    assert streamed(replies()[0]) == ["Esta es una frase bastante larga.", "Y otra más larga todavía aquí.", "Sí. Fin"]
+    df = spark.createDataFrame(list(enumerate(replies())), "i int, parts array<string>")
+    got = {r.i: r.s for r in df.select("i", speech_repair.sentence_stream(F.col("parts")).alias("s")).collect()}
+    assert got == {i: streamed(p) for i, p in enumerate(replies())}
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_sentences_of_parts_in_any_order(spark, tmp_path, seed):
+    rows = [(f"c{i % 3}", i, k, p, k == len(parts) - 1) for i, parts in enumerate(replies()) for k, p in enumerate(parts)]
+    schema = "call_id string, reply int, place int, text string, last boolean"
+    random.Random(seed).shuffle(rows)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for k in range(3):
+            spark.createDataFrame([*rows[k::3], *rows[k::6]], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        q = speech_repair.sentences_as_they_come(stream).writeStream.format("memory").queryName(f"said{seed}").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").start()
+        q.processAllAvailable()
+        left = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+        q.stop()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = {}
+    for r in sorted(spark.table(f"said{seed}").collect(), key=lambda r: r.n):
+        got.setdefault(r.reply, []).append(r.sentence)
+    assert got == {i: streamed(p) for i, p in enumerate(replies()) if streamed(p)}
+    assert left == 0
 
 
 def test_gain_does_not_depend_on_when_blocks_arrive():
@@ -191,3 +241,21 @@ def test_report(spark, tmp_path):
     guards.write_report(calls, f"file://{tmp_path}/r")
     assert sorted(r.value for r in spark.read.text(f"file://{tmp_path}/r/table").collect()) == ["| 1 | Ana | c1 | rojo | sí | — | 2.5 |", "| 2 | Luis | c2 | — | NO | T1: RAG espurio: x; T2: STT muy distinto: «a/b» | 1.0 |"]
     assert spark.read.json(f"file://{tmp_path}/r/json").count() == 2
+
+
+def test_searches_that_nothing_asked_for(spark):
+    cases = [("tengo dolor", "Permítame revisar sus indicaciones un momento.", True), ("¿puedo caminar con dolor?", "Permítame revisar.", False), ("tengo dolor", "De acuerdo.", False), ("hola", "Permítame revisar", False), (None, None, None)]
+    df = spark.createDataFrame([(i, *c[:2]) for i, c in enumerate(cases)], "i int, said string, reply string")
+    got = {r.i: [x for x in r.issues if "RAG espurio" in x] for r in df.select("i", guards.reply_issues(F.col("said"), F.col("said"), F.col("reply")).alias("issues")).collect()}
+    assert [bool(got[i]) for i in range(len(cases))] == [bool(c[2]) for c in cases]
+
+
+def test_reports_as_files(spark, tmp_path):
+    calls = spark.createDataFrame([(2, "Ana", "b", None, False, ["x|y: 1"], 2.5), (1, "Luz", "a", "rojo", True, [], 1.0)], "call_id int, name string, case string, level string, ok boolean, issues array<string>, seconds double")
+    guards.write_report(calls, f"file://{tmp_path}/report")
+    (file,) = (tmp_path / "report/table").glob("part-*")
+    assert file.read_text().splitlines() == ["- Pacientes: **2**", "- OK: **1** · Fallos: **1**", "- Duración total: **3.5 s**", "| # | Paciente | Caso | Triaje | OK | Issues | s |", "|---|----------|------|--------|----|--------|---|", "| 1 | Luz | a | rojo | sí | — | 1.0 |", "| 2 | Ana | b | — | NO | x/y: 1 | 2.5 |"]
+    for name, rows in (("some", calls), ("none", calls.limit(0))):
+        records.write_array(rows, f"file://{tmp_path}/{name}", "call_id")
+        (file,) = (f for f in (tmp_path / name).glob("part-*") if f.stat().st_size)
+        assert [x["call_id"] for x in json.loads(file.read_text())] == ([1, 2] if name == "some" else [])
