@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ DOCUMENTS, SMOOTH, SCALE = 30, 5, 1000**3
 TERMS = 50
 #: Groups of a tile, terms of a block, blocks that one task sees of two tiles, numbers in a broadcast at most.
 GROUPS, BLOCK, STRETCH, CELLS = 128, 512, 4, 2_000_000
+#: Counts of a term that one task adds up, but for what a hash deals unevenly.
+TOGETHER = 64
 #: Kept terms that are broadcast at most (some 20 MB); more are joined by a shuffle.
 KEPT = 200_000
 #: Bytes that counted words may take before a task passes them on, and what one takes in two counters, short as it may be.
@@ -35,10 +38,27 @@ HELD, ENTRY = 80_000_000, 300
 FOLD = bytes(32 if b < 65 or 91 <= b < 97 or 123 <= b < 128 else b + 32 if b < 91 else b for b in range(256))
 
 
+#: What a source held of a term: the source's hash and the occurrences.
+CELL = np.dtype([("source", "<i8"), ("n", "<i8")])
+
+
+def slices(cells: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Cells as one binary value for each stretch between ends."""
+    raw = np.ascontiguousarray(cells).view(np.uint8)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends * CELL.itemsize, np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+
+
+def cells_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All cells of a binary column, and the row of each."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), CELL), np.repeat(np.arange(len(values)), [len(v) // CELL.itemsize for v in values])
+
+
 def counted(docs: DataFrame) -> DataFrame:
-    """(lang, term, docs, held), where held has (source, n) of each source: what a task has counted, each time that this takes
-    HELD bytes and at its end. The empty term of a lang counts documents."""
+    """(lang, term, docs, n, held, sources): documents, occurrences, and cells of each source, as a task has counted them each
+    time that they take HELD bytes and at its end. The empty term of a lang counts documents and names the sources."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    named = pa.list_(pa.struct([("source", pa.string()), ("hash", pa.int64())]))
 
     @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,15 +68,16 @@ def counted(docs: DataFrame) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             for lang, (docs, sources) in counts.items():
                 terms, place = list(docs), {t: i for i, t in enumerate(docs)}
+                hashes = np.array([xxhash.xxh3_64_intdigest(s.encode()) for s in sources], np.uint64).view(np.int64)
                 at = np.concatenate([np.fromiter(map(place.__getitem__, c), np.int64, len(c)) for c in sources.values()])
-                n = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in sources.values()])
-                source = np.repeat(np.arange(len(sources)), [len(c) for c in sources.values()])
-                order = np.argsort(at, kind="stable")
-                names = pa.array(list(sources), pa.string()).take(pa.array(source[order]))
+                cells = np.empty(len(at), CELL)
+                cells["n"] = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in sources.values()])
+                cells["source"] = np.repeat(hashes, [len(c) for c in sources.values()])
+                cells = cells[np.argsort(at, kind="stable")]
                 ends = np.r_[0, np.cumsum(np.bincount(at, minlength=len(terms)))]
-                held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([names, pa.array(n[order])], ["source", "n"]))
-                columns = [pa.array([lang] * len(terms), pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(list(docs.values()), pa.int64()), held]
-                whole = pa.RecordBatch.from_arrays(columns, ["lang", "term", "docs", "held"])
+                names = [[{"source": s, "hash": h} for s, h in zip(sources, hashes.tolist(), strict=True)] if t == b"" else None for t in terms]
+                columns = [pa.array([lang] * len(terms), pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(list(docs.values()), pa.int64()), pa.array(np.add.reduceat(cells["n"], ends[:-1])), slices(cells, ends), pa.array(names, named)]
+                whole = pa.RecordBatch.from_arrays(columns, ["lang", "term", "docs", "n", "held", "sources"])
                 yield from (whole.slice(i, 20_000) for i in range(0, len(terms), 20_000))
 
         for part in sliced(batches):
@@ -75,7 +96,67 @@ def counted(docs: DataFrame) -> DataFrame:
                     size = 0
         yield from out()
 
-    return docs.select(text("lang"), text("source"), text("text")).mapInArrow(run, "lang string, term string, docs long, held array<struct<source string, n long>>")
+    return docs.select(text("lang"), text("source"), text("text")).mapInArrow(run, "lang string, term string, docs long, n long, held binary, sources array<struct<source string, hash long>>")
+
+
+def _new(terms: pa.Array) -> np.ndarray:
+    """Where another term begins among rows in the order of terms."""
+    return np.flatnonzero(np.r_[True, terms[1:].to_numpy(zero_copy_only=False) != terms[:-1].to_numpy(zero_copy_only=False)])
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """(lang, block, tile, tiles, term, total, held): one row for each term and tile of sources, of rows (lang, block, tiles, term, total,
+    held) in the order of lang, block and term."""
+
+    def one(t: pa.Table) -> pa.RecordBatch:
+        new = _new(t.column("term").combine_chunks())
+        cells, row = cells_of(t.column("held"))
+        at = np.searchsorted(new, row, "right") - 1
+        tiles = t.column("tiles").to_numpy()[row]
+        order = np.lexsort((cells["source"], cells["source"] % tiles, at))
+        cells, at, tiles = cells[order], at[order], tiles[order]
+        first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (cells["source"][1:] != cells["source"][:-1])])
+        whole = cells[first].copy()
+        whole["n"] = np.add.reduceat(cells["n"], first)
+        at, tile = at[first], whole["source"] % tiles[first]
+        ends = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (tile[1:] != tile[:-1]), True])
+        names = ("lang", "block", "tiles", "term", "total")
+        mine = pa.array(new[at[ends[:-1]]])
+        columns = {c: t.column(c).combine_chunks().take(mine) for c in names} | {"tile": pa.array(tile[ends[:-1]].astype(np.int32)), "held": slices(whole, ends)}
+        return pa.RecordBatch.from_arrays([columns[c] for c in ORDER], ORDER)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in batches:
+            now = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            if now.num_rows:
+                last = int(_new(now.column("term").combine_chunks())[-1])  # a term may go on in the next batch
+                if last:
+                    yield one(now.slice(0, last))
+                rest = now.slice(last)
+        if rest is not None and rest.num_rows:
+            yield one(rest)
+
+    return rows.mapInArrow(run, "lang string, block long, tile int, tiles long, term string, total long, held binary")
+
+
+ORDER = ["lang", "block", "tile", "tiles", "term", "total", "held"]
+
+
+def _sums(cells: DataFrame) -> DataFrame:
+    """(lang, hash, sum): occurrences of kept terms in each group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells, row = cells_of(b.column("held"))
+            langs = b.column("lang").dictionary_encode()
+            key = np.rec.fromarrays([langs.indices.to_numpy()[row], cells["source"]], names="lang,source")
+            each, at = np.unique(key, return_inverse=True)
+            total = np.zeros(len(each), np.int64)
+            np.add.at(total, at, cells["n"])
+            yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(each["lang"])), pa.array(each["source"]), pa.array(total)], ["lang", "hash", "sum"])
+
+    return cells.select("lang", "held").mapInArrow(run, "lang string, hash long, sum long").groupBy("lang", "hash").agg(F.sum("sum").alias("sum"))
 
 
 def scaled(counts: np.ndarray, total: np.ndarray, terms: int) -> np.ndarray:
@@ -100,44 +181,49 @@ def audit(docs: DataFrame, documents: int = DOCUMENTS, most: int = TERMS) -> Dat
     """
     spark = lean(docs)
     counts = saved(counted(docs), "counts")
-    kept = counts.where("term <> ''").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum(F.aggregate("held", F.lit(0).cast("long"), lambda s, x: s + x["n"])).alias("total"))
+    kept = counts.where("term <> ''").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"))
     kept = saved(kept.where(F.col("docs") >= documents).select("lang", "term", "total"), "terms")
-    langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("total").alias("all"))
-    # a number for each group in its lang, in the order of sources
-    groups = counts.where("term = ''").select("lang", F.explode("held.source").alias("source")).distinct().withColumn("g", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1)
-    groups = saved(groups, "groups")
-    blocks = kept.join(langs, "lang").select("lang", "term", "total", F.pmod(F.xxhash64("term"), F.ceil(F.col("terms") / BLOCK)).alias("block"))
-    # of all that was counted only what a lang keeps is dealt by source
-    held = counts.where("term <> ''").join(small(blocks, kept.count(), KEPT), ["lang", "term"]).select("lang", "block", "term", "total", F.explode("held").alias("h"))
-    cells = held.groupBy("lang", "block", "term", "total", F.col("h.source").alias("source")).agg(F.sum("h.n").alias("n")).join(groups, ["lang", "source"])
-    cells = saved(cells.select("lang", "block", "term", "total", "g", "n"), "cells")
+    groups = saved(counts.where("term = ''").select("lang", F.explode("sources").alias("s")).select("lang", "s.source", "s.hash").distinct(), "groups")
+    # hashes of a lang's sources differ, or no source could be told by its own
+    assert groups.groupBy("lang", "hash").count().where("count > 1").isEmpty()
+    sizes = groups.groupBy("lang").agg(F.ceil(F.count("*") / GROUPS).alias("tiles"))
+    langs = saved(sizes.join(kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("total").alias("all")), "lang", "left").na.fill(0), "langs")
+    blocks = kept.join(langs, "lang").select("lang", "term", "total", "tiles", F.pmod(F.xxhash64("term"), F.ceil(F.col("terms") / BLOCK)).alias("block"))
+    # of all that was counted only what a lang keeps moves on
+    held = counts.where("term <> ''").select("lang", "term", "held").join(small(blocks, kept.count(), KEPT), ["lang", "term"])
+    cells = held.select("lang", "block", "tiles", "term", "total", "held")
+    # a term has a row for each file of counts at most: so many of a block meet in a task, and what comes of them meets again
+    parts = -(-len(counts.inputFiles()) // TOGETHER)
+    while parts > 1:
+        salt = F.pmod(F.xxhash64("held"), F.lit(parts))
+        cells = merged(cells.repartition("lang", "block", salt).sortWithinPartitions("lang", "block", "term")).drop("tile").select(*cells.columns)
+        parts = -(-parts // TOGETHER)
+    cells = saved(merged(cells.repartition("lang", "block").sortWithinPartitions("lang", "block", "term")), "cells")
     dropped(counts)
-    sums = cells.groupBy("lang", "g").agg(F.sum("n").alias("sum"))
     # tiles of groups, with what each group's counts come to
-    every = groups.join(langs, "lang", "left").join(sums, ["lang", "g"], "left").na.fill(0, ["terms", "all", "sum"])
-    tile = (F.col("g") / GROUPS).cast("int")
-    tiles = saved(every.groupBy("lang", "terms", "all", tile.alias("tile")).agg(F.sort_array(F.collect_list(F.struct("g", "sum"))).alias("of")), "tiles")
+    every = groups.join(langs, "lang").join(_sums(cells), ["lang", "hash"], "left").na.fill(0, ["sum"])
+    tile = F.pmod("hash", F.col("tiles")).cast("int").alias("tile")
+    tiles = saved(every.groupBy("lang", "terms", "all", tile).agg(F.sort_array(F.collect_list(F.struct("hash", "sum"))).alias("of")), "tiles")
     a, b = (tiles.select("lang", F.col("tile").alias(x), F.col("of").alias(f"of_{x}"), *more) for x, more in (("a", ("terms", "all")), ("b", ())))
     stretches = F.sequence(F.lit(0), F.floor((F.ceil(F.col("terms") / BLOCK) - 1) / STRETCH).cast("int"))
     pairs = a.join(b, "lang").where("a <= b").withColumn("stretch", F.explode(F.when(F.col("terms") > 0, stretches).otherwise(F.array(F.lit(0)))))
-    # a block of terms goes to each pair of tiles that its groups are in
-    last = tiles.groupBy("lang").agg(F.max("tile").alias("last"))
-    numbers = F.explode(F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.struct(F.least("tile", k).alias("a"), F.greatest("tile", k).alias("b")))).alias("to")
-    dealt = cells.withColumn("tile", tile).join(last, "lang").select("lang", "block", "term", "total", "g", "n", numbers).select("lang", "to.a", "to.b", (F.col("block") / STRETCH).cast("int").alias("stretch"), "block", "term", "total", "g", "n")
+    # a tile's terms go to each pair of tiles that it is in
+    numbers = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles").cast("int") - 1), lambda k: F.struct(F.least("tile", k).alias("a"), F.greatest("tile", k).alias("b")))).alias("to")
+    dealt = cells.select("lang", "block", "term", "total", "held", numbers).select("lang", "to.a", "to.b", (F.col("block") / STRETCH).cast("int").alias("stretch"), "block", "term", "total", "held")
     key = ["lang", "a", "b", "stretch"]
     rows = pairs.unionByName(dealt, allowMissingColumns=True).repartition(*key).sortWithinPartitions(*key, F.asc_nulls_first("block"), "term")
-    found = saved(rows.select(*key, "block", "term", "total", "g", "n", "terms", "all", "of_a", "of_b").mapInArrow(_tasks(most), "lang string, g long, other long, term string, value long"), "found")
-    number = groups.select("lang", F.col("g").alias("other"), F.col("source").alias("item"))
-    apart = found.where("term is null").groupBy("lang", "g", "other").agg(F.sum("value").alias("value"))
+    found = saved(rows.select(*key, "block", "term", "total", "held", "terms", "all", "of_a", "of_b").mapInArrow(_tasks(most), "lang string, hash long, other long, term string, value long"), "found")
+    number = groups.select("lang", F.col("hash").alias("other"), F.col("source").alias("item"))
+    apart = found.where("term is null").groupBy("lang", "hash", "other").agg(F.sum("value").alias("value"))
     # each pair was computed once
-    apart = apart.unionByName(apart.select("lang", F.col("other").alias("g"), F.col("g").alias("other"), "value")).join(number, ["lang", "other"])
+    apart = apart.unionByName(apart.select("lang", F.col("other").alias("hash"), F.col("hash").alias("other"), "value")).join(number, ["lang", "other"])
     out = [(apart, "pair", None), (found.where("term is not null").withColumn("item", F.col("term")), "term", most)]
-    reports = [_ranked(df.select("lang", "g", F.lit(part).alias("part"), "item", "value"), k) for df, part, k in out]
-    return reports[0].unionByName(reports[1]).join(groups, ["lang", "g"]).select("lang", "source", "part", "item", "value", "rank")
+    reports = [_ranked(df.select("lang", "hash", F.lit(part).alias("part"), "item", "value"), k) for df, part, k in out]
+    return reports[0].unionByName(reports[1]).join(groups, ["lang", "hash"]).select("lang", "source", "part", "item", "value", "rank")
 
 
 def _ranked(df: DataFrame, most: int | None) -> DataFrame:
-    df, order = df.withColumn("list", F.struct("lang", "g")), (F.desc("value"), F.col("item"))
+    df, order = df.withColumn("list", F.struct("lang", "hash")), (F.desc("value"), F.col("item"))
     if most is None:
         return df.withColumn("rank", F.row_number().over(Window.partitionBy("list").orderBy(*order)))
     return top(df, most, *order, by="list")
@@ -174,9 +260,9 @@ class _Tile:
     def __init__(self, of: dict, most: int):
         self.lang, self.terms, self.all, self.most = of["lang"], of["terms"], of["all"], most
         self.own = of["a"] == of["b"]
-        self.ids = [np.array([x["g"] for x in of[c]], np.int64) for c in ("of_a", "of_b")]
+        # in the order of their hashes
+        self.ids = [np.array([x["hash"] for x in of[c]], np.int64) for c in ("of_a", "of_b")]
         self.sums = [np.array([x["sum"] for x in of[c]], np.int64) for c in ("of_a", "of_b")]
-        self.base = [int(i[0]) for i in self.ids]
         self.pairs = np.zeros((len(self.ids[0]), len(self.ids[1])), np.int64)
         self.heaps: list[list[tuple[int, bytes]]] = [[] for _ in self.ids[0]]
         self.rest: pa.Table | None = None
@@ -185,10 +271,9 @@ class _Tile:
 
     def take(self, rows: pa.RecordBatch) -> None:
         """Rows in the order of block and term; a block's last term may go on in the next batch."""
-        now = pa.Table.from_batches([rows.select(["term", "total", "g", "n"])])
+        now = pa.Table.from_batches([rows.select(["term", "total", "held"])])
         now = now if self.rest is None else pa.concat_tables([self.rest, now])
-        terms = now.column("term").combine_chunks()
-        new = np.flatnonzero(np.r_[True, terms[1:].to_numpy(zero_copy_only=False) != terms[:-1].to_numpy(zero_copy_only=False)])
+        new = _new(now.column("term").combine_chunks())
         whole = (len(new) - 1) // BLOCK * BLOCK
         for i in range(0, whole, BLOCK):
             self.block(now.slice(new[i], new[i + BLOCK] - new[i]), new[i : i + BLOCK] - new[i])
@@ -197,13 +282,14 @@ class _Tile:
     def block(self, rows: pa.Table, new: np.ndarray) -> None:
         """rows of whole terms, which begin at new: a dense tile for either side."""
         self.unseen -= len(new)
-        n, g = rows.column("n").to_numpy(), rows.column("g").to_numpy()
-        column = np.repeat(np.arange(len(new)), np.diff(np.r_[new, rows.num_rows]))
+        cells, row = cells_of(rows.column("held"))
+        column = np.searchsorted(new, row, "right") - 1
         p = []
-        for base, ids, sums in zip(self.base, self.ids, self.sums, strict=True):
+        for ids, sums in zip(self.ids, self.sums, strict=True):
             tile = np.zeros((len(ids), len(new)), np.int64)
-            mine = (g >= base) & (g < base + len(ids))
-            tile[g[mine] - base, column[mine]] = n[mine]
+            place = np.minimum(np.searchsorted(ids, cells["source"]), len(ids) - 1)
+            mine = ids[place] == cells["source"]
+            tile[place[mine], column[mine]] = cells["n"][mine]
             p.append((tile, scaled(tile, sums[:, None], self.terms)))
         step = max(1, CELLS // max(1, self.pairs.size))
         for at in range(0, len(new), step):
@@ -226,8 +312,7 @@ class _Tile:
 
     def found(self) -> pa.RecordBatch:
         if self.rest is not None:
-            terms = self.rest.column("term").combine_chunks()
-            new = np.flatnonzero(np.r_[True, terms[1:].to_numpy(zero_copy_only=False) != terms[:-1].to_numpy(zero_copy_only=False)])
+            new = _new(self.rest.column("term").combine_chunks())
             for i in range(0, len(new), BLOCK):
                 end = new[i + BLOCK] if i + BLOCK < len(new) else self.rest.num_rows
                 self.block(self.rest.slice(new[i], end - new[i]), new[i : i + BLOCK] - new[i])
@@ -240,4 +325,4 @@ class _Tile:
         value = np.r_[self.pairs[i, j], np.array([x[1] for x in said], np.int64)]
         other = pa.concat_arrays([pa.array(self.ids[1][j]), pa.nulls(len(said), pa.int64())])
         term = pa.concat_arrays([pa.nulls(len(i), pa.string()), pa.array([x[2] for x in said], pa.string())])
-        return pa.RecordBatch.from_arrays([pa.array([self.lang] * len(g), pa.string()), pa.array(g), other, term, pa.array(value)], ["lang", "g", "other", "term", "value"])
+        return pa.RecordBatch.from_arrays([pa.array([self.lang] * len(g), pa.string()), pa.array(g), other, term, pa.array(value)], ["lang", "hash", "other", "term", "value"])

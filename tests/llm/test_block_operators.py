@@ -180,8 +180,9 @@ def test_divergence(spark, groups, block, monkeypatch):
     monkeypatch.setattr(divergence, "BLOCK", block)
     monkeypatch.setattr(divergence, "STRETCH", 2)
     monkeypatch.setattr(divergence, "HELD", 40_000)
+    monkeypatch.setattr(divergence, "TOGETHER", 2)  # counts of three files meet in two steps
     rows = corpus()
-    docs = spark.createDataFrame([(*r, 1, 2, "t", 3) for r in rows], "text string, lang string, source string, n int, g int, term string, block int").repartition(3)
+    docs = spark.createDataFrame([(*r, 1, 2, "t", 3) for r in rows], "text string, lang string, source string, n int, hash int, term string, block int").repartition(3)
     got = [tuple(r) for r in divergence.audit(docs, 12, 7).collect()]
     want = audited(rows, 12, 7)
     assert len(got) == len(set(got)) and set(got) == want
