@@ -233,14 +233,16 @@ def gate(hits: DataFrame, nearest: DataFrame, most: float = DISTANCE) -> DataFra
     return hits.join(far, "query_id", "left_anti")
 
 
-def hybrid(chunks: DataFrame, parents: DataFrame, queries: DataFrame, k: int = RESULTS, scenario: bool = False, most: float = DISTANCE, boost: float = BOOST) -> DataFrame:
+def hybrid(chunks: DataFrame, parents: DataFrame, queries: DataFrame, k: int = RESULTS, scenario: bool = False, most: float = DISTANCE, boost: float = BOOST, lexical_by=None) -> DataFrame:
     """Sources of each query: BM25 and dense candidates, gate, fusion, boost, small to big, dedupe, first k.
 
     chunks (chunk_id, parent_id, title[, section], text, embedding[, scenario]), parents (parent_id, text), queries
     (query_id, text, embedding[, scenario]). Words are looked for in title, section and text. The scenario filter
-    precedes the dense cut and follows the lexical one.
+    precedes the dense cut and follows the lexical one. lexical_by, if given, is the search of a stored index over
+    keyword_field(chunks), which then is not made for the call.
     """
-    lexical = bm25(keyword_field(chunks), queries.select("query_id", expanded(F.col("text")).alias("text")))
+    asked = queries.select("query_id", expanded(F.col("text")).alias("text"))
+    lexical = lexical_by(asked) if lexical_by else bm25(keyword_field(chunks), asked)
     if scenario:
         where = (F.col("scenario") == F.col("wanted")) | (F.col("scenario") == "general") | F.col("wanted").isNull()
         wanted = queries.select("query_id", F.col("scenario").alias("wanted"))

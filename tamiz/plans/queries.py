@@ -10,6 +10,7 @@ from tamiz.functions import text as T
 from tamiz.operators import chunking, dialog, grounding, guards, metrics, records, retrieval, rules, slots, speech_repair
 from tamiz.session import table
 from tamiz.sources import index, store
+from tamiz.sources.versions import written
 from tamiz.streaming import calls, signal, windows
 
 #: Items that are compared with every text at once.
@@ -223,6 +224,7 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     title = F.when(F.col("source").isin("src1", "src2"), "Plan de cuidado").otherwise(F.col("source"))
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     chunks = docs.join(vectors, "doc_id", "left").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("parent_id"), title.alias("title"), "text", "embedding")
+    chunks = written(chunks, "chunks")  # read four times
     asked = _queries(spark, sf).join(_asked(spark, sf).drop("wanted"), "query_id", "left")
     found = retrieval.hybrid(chunks, chunks.select("parent_id", "text"), asked)
     return found.select("query_id", "n", "chunk_id", F.round("score", 9).alias("score"))
@@ -232,8 +234,8 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
 def small_to_big(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks by keywords, then the first hit of each parent block and of each parent text."""
     docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("file"), "text")
-    parents = chunking.parents(chunking.sections(docs))
-    chunks = chunking.children(parents, F.lit(""))
+    parents = written(chunking.parents(chunking.sections(docs)), "parents")
+    chunks = written(chunking.children(parents, F.lit("")).select("chunk_id", "parent_id", "text"), "chunks")
     hits = retrieval.bm25(chunks.select("chunk_id", "text"), _queries(spark, sf)).join(chunks.select("chunk_id", "parent_id"), "chunk_id")
     found = retrieval.sources(hits, parents.select("parent_id", "text"), 6)
     return found.select("query_id", "n", "parent_id", "chunk_id", F.round("score", 5).alias("score"))
