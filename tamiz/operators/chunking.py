@@ -53,20 +53,21 @@ def font_sections(lines: DataFrame) -> DataFrame:
     large = (F.array_max("sizes") > LARGER * F.col("body")) & (length > HEADING[0]) & (length < HEADING[1]) & ~F.col("text").rlike("[.,;]$")
     marked = filled.join(bodies, "doc_id").select("doc_id", "last", F.struct("page", "pos", "text", large.alias("large")).alias("line"))
     every = marked.groupBy("doc_id", "last").agg(F.array_sort(F.collect_list("line")).alias("lines"))
-    start = F.struct(F.lit(0).alias("section"), F.lit(0).alias("size"), F.array().cast("array<int>").alias("places"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("size"), F.array().cast("array<int>").alias("starts"))
 
     def step(now: Column, line: Column) -> Column:
         new = line["large"] & (now["size"] > SECTION)
-        section = now["section"] + F.when(new, 1).otherwise(0)
-        return F.struct(section.alias("section"), F.when(new, 0).otherwise(now["size"] + F.length(line["text"]) + 1).alias("size"), F.array_append(now["places"], section).alias("places"))
+        size = F.when(new, 0).otherwise(now["size"] + F.length(line["text"]) + 1)
+        # of a section only the place of its first line is kept
+        return F.struct((now["at"] + 1).alias("at"), size.alias("size"), F.when(new, F.array_append(now["starts"], now["at"])).otherwise(now["starts"]).alias("starts"))
 
-    placed = every.withColumn("places", F.aggregate("lines", start, step)["places"])
-    return _joined_lines(placed)
+    return _joined_lines(every.withColumn("starts", F.aggregate("lines", start, step)["starts"]))
 
 
 def _joined_lines(placed: DataFrame) -> DataFrame:
-    x = F.posexplode(F.arrays_zip("lines", "places")).alias("at", "x")
-    one = placed.select("doc_id", "last", x).select("doc_id", "last", "at", F.col("x.places").alias("pos"), F.col("x.lines.page").alias("page"), F.col("x.lines.text").alias("line"))
+    one = placed.select("doc_id", "last", "starts", F.posexplode("lines").alias("at", "x"))
+    section = F.size(F.filter("starts", lambda first: first <= F.col("at")))
+    one = one.select("doc_id", "last", "at", section.alias("pos"), F.col("x.page").alias("page"), F.col("x.text").alias("line"))
     found = one.groupBy("doc_id", "last", "pos").agg(F.min("page").alias("page_from"), F.array_sort(F.collect_list(F.struct("at", "line"))).alias("lines"))
     heading = F.when(F.col("pos") == 0, "Inicio").otherwise(F.left(F.col("lines")[0]["line"], F.lit(120)))
     rest = F.when(F.col("pos") == 0, F.col("lines")).otherwise(F.slice("lines", 2, F.greatest(F.lit(1), F.size("lines"))))
