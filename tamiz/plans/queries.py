@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from tamiz.functions import lexicon, speech
 from tamiz.functions import text as T
-from tamiz.operators import chunking, dialog, grounding, guards, metrics, records, retrieval, rules, slots, speech_repair
+from tamiz.operators import chunking, dialog, grounding, guards, metrics, records, retrieval, rules, similar, slots, speech_repair
 from tamiz.session import table
 from tamiz.sources import index, store
 from tamiz.sources.versions import written
-from tamiz.streaming import calls, signal, windows
+from tamiz.streaming import calls, machine, signal, windows
 
 #: Items that are compared with every text at once.
 SOME = 1000
@@ -751,6 +751,24 @@ def sentence_stream(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(speech_repair.sentence_stream(parts), " | ").alias("sentences"))
 
 
+@query()
+def similar_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Every different word of the documents that is like a word of the domain."""
+    words = table(spark, sf, "documents").select(F.explode(T.tokens(F.col("text"))).alias("word"))
+    targets = spark.createDataFrame([(t,) for t in speech_repair.TARGETS], "target string").select(T.fold(F.col("target")).alias("target"))
+    return similar.similar(words, targets, 0.75).select("word", "target", F.round("ratio", 6).alias("ratio"))
+
+
+@query()
+def call_machine(spark: SparkSession, sf: str) -> DataFrame:
+    """The conversations as calls, a turn every seven seconds: what a call does at each answer, and its end."""
+    said = table(spark, sf, "conversations")
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    asked = said.withColumn("question", F.last(F.when(F.col("role") == "assistant", F.col("text")), ignorenulls=True).over(before))
+    answers = asked.where("role = 'user'").select(F.col("conv_id").alias("call_id"), F.col("turn").cast("int").alias("turn"), F.timestamp_seconds(F.col("turn") * 7).alias("ts"), "question", "text")
+    return machine.replayed(answers).select("call_id", "turn", "action", "raised", "level", "call_level", "next_item", "unclear", "turns", "cause")
+
+
 @query("""select conv_id, turn, 'El AGENTE preguntó: «' || left(coalesce(last_value(case when role = 'assistant' then text end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), ''), 220) || '»' || chr(10) || 'El PACIENTE respondió (transcripción telefónica): «' || coalesce(text, '') || '»' as content
 from conversations qualify role = 'user'""")
 def extraction_inputs(spark: SparkSession, sf: str) -> DataFrame:
