@@ -740,15 +740,22 @@ def grounded_extraction(spark: SparkSession, sf: str) -> DataFrame:
 WS = r"[ \t\n\x0b\f\r]+"
 
 
-@query(rf"""
-with p as (select conv_id, turn, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '{WS}$', ''), '([.!?…]){WS}', '\1' || chr(1), 'g'), chr(1)) as s from conversations),
-k as (select *, coalesce(list_min(list_filter(range(1, len(s)), lambda i: length(s[i]) < 25)), len(s)) - 1 as k from p),
-o as (select conv_id, turn, list_append(s[1 : k], array_to_string(s[k + 1 :], ' ')) as o from k)
-select conv_id, turn, array_to_string(list_filter(list_transform(o, lambda x: regexp_replace(regexp_replace(x, '^{WS}', ''), '{WS}$', '')), lambda x: x <> ''), ' | ') as sentences from o""")
+@query()
 def sentence_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Each turn's text as a stream of its words; the same over parts in any order: speech_repair.sentences_as_they_come."""
     parts = F.split(F.coalesce("text", F.lit("")), "(?<= )")
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(speech_repair.sentence_stream(parts), " | ").alias("sentences"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", speech_repair.sentence_stream(parts).alias("sentences"))
+
+
+@query(rf"""
+with p as (select conv_id, turn, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '{WS}$', ''), '([.!?…]){WS}', '\1' || chr(1), 'g'), chr(1)) as s from conversations),
+k as (select *, coalesce(list_min(list_filter(range(1, len(s)), lambda i: length(s[i]) < 25)), len(s)) - 1 as k from p),
+o as (select conv_id, turn, list_append(s[1 : k], array_to_string(s[k + 1 :], ' ')) as o from k),
+f as (select conv_id, turn, list_filter(list_transform(o, lambda x: regexp_replace(regexp_replace(x, '^{WS}', ''), '{WS}$', '')), lambda x: x <> '') as f from o)
+select conv_id, turn, unnest(range(len(f))) as n, unnest(f) as sentence from f""")
+def sentence_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The sentences of sentence_stream, a row each."""
+    return sentence_stream(spark, sf).select("conv_id", "turn", F.posexplode("sentences").alias("n", "sentence"))
 
 
 @query()
@@ -779,17 +786,17 @@ def _evaluated(spark: SparkSession, sf: str) -> DataFrame:
     return records.evaluated(rules.running_state(_symptoms(spark, sf)))
 
 
-@query(f"""with {LEVEL}, both as (select l.*, s.pain, s.fever, s.minimising from level l join state s using (call_id, turn))
-select call_id, min(turn) as turn, 'rojo' as level, min_by(pain, turn) as pain, round(min_by(fever, turn), 1) as fever from both where level = 2 group by call_id""")
+@query(f"""with {LEVEL}, lv as (select l.*, s.pain, s.fever, s.minimising from level l join state s using (call_id, turn))
+select call_id, min(turn) as turn, 'rojo' as level, min_by({{'p': pain}}, turn).p as pain, round(min_by({{'f': fever}}, turn).f, 1) as fever from lv where level = 2 group by call_id""")
 def alert_records(spark: SparkSession, sf: str) -> DataFrame:
     """The alert of each call; of its reasons and symptoms the SQL knows the numbers alone."""
     found = records.alerts(_evaluated(spark, sf), "pain", "fever")
     return found.where(F.size("reasons") > 0).select("call_id", "turn", "level", "pain", F.round("fever", 1).alias("fever"))
 
 
-@query(f"""with {LEVEL}, both as (select l.*, s.pain, s.fever, s.minimising from level l join state s using (call_id, turn))
+@query(f"""with {LEVEL}, lv as (select l.*, s.pain, s.fever, s.minimising from level l join state s using (call_id, turn))
 select call_id, count(*) as turns, ['verde', 'amarillo', 'rojo'][max(level) + 1] as final_level, bool_or(level = 2) as alerted, min(turn) filter (where level = 2) as alert_turn,
-  max_by(pain, turn) as pain, round(max_by(fever, turn), 1) as fever, max_by(minimising, turn) as minimising from both group by call_id""")
+  max_by({{'p': pain}}, turn).p as pain, round(max_by({{'f': fever}}, turn).f, 1) as fever, max_by(minimising, turn) as minimising from lv group by call_id""")
 def call_summaries(spark: SparkSession, sf: str) -> DataFrame:
     found = records.summaries(_evaluated(spark, sf), "pain", "fever", "minimising")
     return found.select("call_id", "turns", "final_level", "alerted", "alert_turn", "pain", F.round("fever", 1).alias("fever"), "minimising")
