@@ -95,7 +95,8 @@ def is_toc(name: Column, text: Column) -> Column:
 def sentences(c: Column) -> Column:
     """Split after . ! ? and white space, and before a line that starts with a capital, a bullet or a dash."""
     marked = F.regexp_replace(F.regexp_replace(c, r"([.!?])\s+", "$1\u0001"), r"\n([A-ZÁÉÍÓÚÑ•-])", "\u0001$1")
-    return F.filter(F.transform(F.split(marked, "\u0001"), F.trim), lambda s: s != "")
+    # F.trim itself has a second parameter, which transform would give the place of a sentence as the characters to trim
+    return F.filter(F.transform(F.split(marked, "\u0001"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def window(text: Column, hit: Column, most: int = 1200) -> Column:

@@ -287,3 +287,9 @@ def test_hybrid_with_scenarios(spark):
     assert [r.parent_id for r in free] == [10, 20]
     bound = retrieval.hybrid(chunks, parents, queries, scenario=True).orderBy("n").collect()
     assert {r.query_id for r in bound} == {7} and 20 not in {r.parent_id for r in bound}
+
+
+def test_sentences_keep_the_digits_of_their_places(spark):
+    text = "0.5 begins it. 10 ends in 1! 2 and 2? Then 3"
+    got = spark.createDataFrame([(text,)], "t string").select(T.sentences(F.col("t"))).first()[0]
+    assert got == ["0.5 begins it.", "10 ends in 1!", "2 and 2?", "Then 3"]
