@@ -107,6 +107,8 @@ class Tokens:
         return [np.array([at for m in WORD.finditer(t) for at in range(m.start(), m.end(), LETTERS)], np.int64) for t in texts]
 
     def sizes(self, texts: list[str]) -> np.ndarray:
+        if not self.model:
+            return np.array([sum(-(-len(w) // LETTERS) for w in WORD.findall(t)) for t in texts], np.int64)
         return np.array([len(s) + self.special for s in self.starts(texts)], np.int64)
 
 
@@ -161,11 +163,27 @@ def children_of(sentences: list[str], sizes: np.ndarray, size: int = CHILD, over
     return [c for c in out if len(c) > SHORTEST]
 
 
+#: Texts that a task cuts at once, and bytes of a batch that it is handed: what it holds doesn't grow with the input.
+TEXTS, BATCH_BYTES = 64, "4000000"
+
+
+def _lean(df: DataFrame) -> None:
+    """Spark hands 10,000 rows at once to Python, of any length; here they are texts, so bytes count where the session doesn't say."""
+    if df.sparkSession.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "-1", str((1 << 63) - 1), str((1 << 31) - 1)):
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def _slices(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in batches:
+        for at in range(0, len(batch), TEXTS):
+            yield batch.iloc[at : at + TEXTS]
+
+
 def _blocks(tokenizer: str | None):
     @F.pandas_udf(ArrayType(StringType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokens = Tokens(tokenizer)
-        for text in batches:
+        for text in _slices(batches):
             yield pd.Series(blocks(text.tolist(), PARENT, tokens), dtype=object)
 
     return run
@@ -175,8 +193,8 @@ def _children(tokenizer: str | None):
     @F.pandas_udf(ArrayType(StringType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokens = Tokens(tokenizer)
-        for found in batches:
-            # each sentence of a batch is encoded once
+        for found in _slices(batches):
+            # each sentence of some texts is encoded once
             every = [list(s) for s in found]
             sizes = tokens.sizes([x for s in every for x in s]) - tokens.special
             ends = np.cumsum([len(s) for s in every]) if every else []
@@ -187,6 +205,7 @@ def _children(tokenizer: str | None):
 
 def parents(found: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, parent_id, section, text) of sections (doc_id, pos, section, text); contents and references are left out."""
+    _lean(found)
     good = found.where(~T.is_toc(F.col("section"), F.col("text"))).withColumn("text", cleaned(F.col("text"))).where("text <> ''")
     cut = good.withColumn("parts", _blocks(tokenizer)("text"))
     one = cut.select("doc_id", "pos", "section", F.size("parts").alias("n"), F.posexplode("parts").alias("part", "text"))
@@ -207,6 +226,7 @@ def with_children(found: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def children(found: DataFrame, title: Column | None = None, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, parent_id, chunk_id, section, text, embed_text) of parents; embed_text carries title and section."""
+    _lean(found)
     cut = found.withColumn("parts", _children(tokenizer)(T.sentences(F.col("text"))))
     one = cut.select("doc_id", "parent_id", "section", F.posexplode("parts").alias("n", "text"))
     return one.withColumn("chunk_id", F.concat_ws("/", "parent_id", F.col("n").cast("string"))).withColumn("embed_text", F.concat_ws(" | ", title if title is not None else F.lit(""), "section", "text")).drop("n")

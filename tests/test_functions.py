@@ -293,3 +293,15 @@ def test_sentences_keep_the_digits_of_their_places(spark):
     text = "0.5 begins it. 10 ends in 1! 2 and 2? Then 3"
     got = spark.createDataFrame([(text,)], "t string").select(T.sentences(F.col("t"))).first()[0]
     assert got == ["0.5 begins it.", "10 ends in 1!", "2 and 2?", "Then 3"]
+
+
+def test_children_are_cut_in_bounded_slices():
+    import pandas as pd
+
+    texts = [[f"Sentence {i} of text {n} has some words here." for i in range(n % 60)] for n in range(500)]
+    out = list(chunking._children(None).func(iter([pd.Series(texts)])))
+    assert max(map(len, out)) <= 64 and sum(map(len, out)) == 500
+    want = [chunking.children_of(s, chunking.Tokens().sizes(s)) for s in texts]
+    assert [x for part in out for x in part] == want
+    long = ["a" * 81 + " b", "", " x\n" + "y" * 40]
+    assert chunking.Tokens().sizes(long).tolist() == [len(s) for s in chunking.Tokens().starts(long)]
