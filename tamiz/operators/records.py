@@ -36,6 +36,13 @@ def alerts(found: DataFrame, *more: str, by: str = "call_id") -> DataFrame:
     return first.select(by, "x.turn", F.lit(LEVELS[-1]).alias("level"), "x.reasons", "x.symptoms", *(f"x.{c}" for c in more))
 
 
+def first_alerts(state: DataFrame, *more: str, by: str = "call_id", procedure: Column | None = None, day: Column | None = None) -> DataFrame:
+    """alerts() of running states: the level alone finds a call's first turn of the top one, and only that turn gets its reasons."""
+    top = state.where(evaluate(state, procedure, day)["level"] == LEVELS[-1])
+    first = top.groupBy(by).agg(F.min_by(F.struct(*(c for c in state.columns if c != by)), "turn").alias("x")).select(by, "x.*")
+    return alerts(evaluated(first, procedure, day), *more, by=by)
+
+
 def summaries(found: DataFrame, *last: str, by: str = "call_id") -> DataFrame:
     """(by, turns, final_level, alerted, alert_turn, symptoms, reasons, last..): one row a call, by one partial aggregate.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,7 +79,8 @@ def short(c: Column) -> Column:
 
 
 def evaluate(s: DataFrame, procedure: Column | None = None, day: Column | None = None) -> Column:
-    """struct<level, reasons, missing> of a state, by about twenty threshold rules; all that fire are named in order."""
+    """struct<level, reasons, missing> of a state, by about twenty threshold rules; all that fire are named in order. The level alone
+    takes no sentences: where nothing else is read of the struct, none are made."""
     c = {name: s[name] for name in (*NUMBERS, *FLAGS, "wound", "appetite", "sleep", "unquantified", "minimising", "others")}
     procedure, day = fold(F.coalesce(procedure if procedure is not None else F.lit(""), F.lit(""))), day if day is not None else F.lit(1)
     true = lambda x: F.coalesce(x, F.lit(False))
@@ -88,52 +91,52 @@ def evaluate(s: DataFrame, procedure: Column | None = None, day: Column | None =
 
     altered = true(wound.isin("enrojecida", "hinchada", "secrecion_clara"))
     evaded = c["unquantified"] & pain.isNull()
-    soft = of(
+    fires = lambda pairs: reduce(lambda x, y: x | y, (true(cond) for cond, _ in pairs))
+    mild = [
         (altered | (wound == "enrojecida_leve"), "herida alterada (aunque la describe leve)"),
         ((felt & fever.isNull()) | ((fever >= 37.8) & (fever < 38.0)), "sensación febril o febrícula"),
         (c["appetite"].isin(*APPETITE), "apetito reducido"),
         (c["sleep"] == "alterado", "sueño alterado"),
         (evaded & (c["minimising"] >= 1), "dolor evadido sin cuantificar (paciente que minimiza)"),
-    )
+    ]
+    soft, many = of(*mild), sum((true(cond).cast("int") for cond, _ in mild), F.lit(0))
     named = F.array_join(soft, "; ")
     phrases = F.filter(F.array(*map(F.lit, RED_TEXT)), lambda p: F.contains(others, p))
-    red = F.concat(
-        of(
-            (fever >= 38.5, F.concat(F.lit("Fiebre de "), short(fever), F.lit(" °C (umbral de alarma ≥38.5)"))),
-            (pain >= 8, F.concat(F.lit("Dolor "), short(pain), F.lit("/10 (severo)"))),
-            (wound == "abierta", "Herida abierta (dehiscencia)"),
-            (wound == "secrecion_purulenta", "Secreción purulenta o de mal olor en la herida"),
-            (c["bleeding"], "Sangrado activo"),
-            (c["dyspnoea"], "Dificultad para respirar"),
-            (c["vomiting"], "Vómito persistente"),
-        ),
-        F.transform(phrases, lambda p: F.concat(F.lit("Signo de alarma referido: «"), p, F.lit("»"))),
-        of(
-            (procedure.rlike("articular|cadera|rodilla") & others.rlike("pantorrilla|pierna hinchada"), "Dolor/hinchazón de pantorrilla tras reemplazo articular: descartar trombosis"),
-            (F.size(soft) >= 3, F.concat(F.lit("Múltiples dominios afectados a la vez ("), named, F.lit(")"), F.when(c["minimising"] >= 1, " en paciente que minimiza activamente ('uno aguanta')").otherwise(""), F.lit(": cuadro incongruente con evolución normal"))),
-        ),
-    )
+    red_first = [
+        (fever >= 38.5, F.concat(F.lit("Fiebre de "), short(fever), F.lit(" °C (umbral de alarma ≥38.5)"))),
+        (pain >= 8, F.concat(F.lit("Dolor "), short(pain), F.lit("/10 (severo)"))),
+        (wound == "abierta", "Herida abierta (dehiscencia)"),
+        (wound == "secrecion_purulenta", "Secreción purulenta o de mal olor en la herida"),
+        (c["bleeding"], "Sangrado activo"),
+        (c["dyspnoea"], "Dificultad para respirar"),
+        (c["vomiting"], "Vómito persistente"),
+    ]
+    red_last = [
+        (procedure.rlike("articular|cadera|rodilla") & others.rlike("pantorrilla|pierna hinchada"), "Dolor/hinchazón de pantorrilla tras reemplazo articular: descartar trombosis"),
+        (many >= 3, F.concat(F.lit("Múltiples dominios afectados a la vez ("), named, F.lit(")"), F.when(c["minimising"] >= 1, " en paciente que minimiza activamente ('uno aguanta')").otherwise(""), F.lit(": cuadro incongruente con evolución normal"))),
+    ]
+    red = F.concat(of(*red_first), F.transform(phrases, lambda p: F.concat(F.lit("Signo de alarma referido: «"), p, F.lit("»"))), of(*red_last))
     said_red = F.array_join(phrases, "\n")
     watch = F.filter(F.array(*map(F.lit, YELLOW_TEXT)), lambda p: F.contains(others, p) & ~F.contains(said_red, p))
-    amber = F.concat(
-        of(
-            ((fever >= 38.0) & (fever < 38.5), F.concat(F.lit("Fiebre de "), short(fever), F.lit(" °C (38.0–38.4: vigilancia)"))),
-            ((pain >= 5) & (pain < 8), F.concat(F.lit("Dolor "), short(pain), F.when(worse, "/10 en aumento").otherwise("/10 (moderado)"))),
-            ((pain < 5) & worse & (day >= 3), "Dolor que empeora pasado el día 3"),
-            (pain.isNull() & worse, "Dolor en aumento sin cuantificar"),
-            (wound == "secrecion_clara", "Secreción clara en la herida"),
-            (wound == "enrojecida", "Enrojecimiento notorio de la herida"),
-            (wound == "hinchada", "Hinchazón alrededor de la herida"),
-        ),
-        F.transform(watch, lambda p: F.concat(F.lit("Síntoma a vigilar: «"), p, F.lit("»"))),
-        of(
-            (altered & (true(fever >= 38.0) | felt), "Fiebre/febrícula + herida alterada: vigilar posible infección del sitio quirúrgico"),
-            (F.size(soft) == 2, F.concat(F.lit("Varias molestias simultáneas ("), named, F.lit(")"))),
-        ),
-    )
+    amber_first = [
+        ((fever >= 38.0) & (fever < 38.5), F.concat(F.lit("Fiebre de "), short(fever), F.lit(" °C (38.0–38.4: vigilancia)"))),
+        ((pain >= 5) & (pain < 8), F.concat(F.lit("Dolor "), short(pain), F.when(worse, "/10 en aumento").otherwise("/10 (moderado)"))),
+        ((pain < 5) & worse & (day >= 3), "Dolor que empeora pasado el día 3"),
+        (pain.isNull() & worse, "Dolor en aumento sin cuantificar"),
+        (wound == "secrecion_clara", "Secreción clara en la herida"),
+        (wound == "enrojecida", "Enrojecimiento notorio de la herida"),
+        (wound == "hinchada", "Hinchazón alrededor de la herida"),
+    ]
+    amber_last = [
+        (altered & (true(fever >= 38.0) | felt), "Fiebre/febrícula + herida alterada: vigilar posible infección del sitio quirúrgico"),
+        (many == 2, F.concat(F.lit("Varias molestias simultáneas ("), named, F.lit(")"))),
+    ]
+    amber = F.concat(of(*amber_first), F.transform(watch, lambda p: F.concat(F.lit("Síntoma a vigilar: «"), p, F.lit("»"))), of(*amber_last))
     ask_pain = "intensidad del dolor de 0 a 10"
     missing = of((fever.isNull() & felt, "temperatura medida con termómetro"), (pain.isNull() & worse, ask_pain), (evaded, ask_pain))
-    is_red, is_amber = F.size(red) > 0, F.size(amber) > 0
+    # a phrase to watch counts where no red one says it, and there is no red one where amber is asked for
+    is_red = fires(red_first) | others.rlike("|".join(RED_TEXT)) | fires(red_last)
+    is_amber = fires(amber_first) | others.rlike("|".join(YELLOW_TEXT)) | fires(amber_last)
     return F.struct(
         F.when(is_red, LEVELS[2]).when(is_amber, LEVELS[1]).otherwise(LEVELS[0]).alias("level"),
         F.when(is_red, red).when(is_amber, amber).otherwise(F.array(F.lit("Sin signos de alarma en lo reportado"))).alias("reasons"),

@@ -790,7 +790,7 @@ def _evaluated(spark: SparkSession, sf: str) -> DataFrame:
 select call_id, min(turn) as turn, 'rojo' as level, min_by({{'p': pain}}, turn).p as pain, round(min_by({{'f': fever}}, turn).f, 1) as fever from lv where level = 2 group by call_id""")
 def alert_records(spark: SparkSession, sf: str) -> DataFrame:
     """The alert of each call; of its reasons and symptoms the SQL knows the numbers alone."""
-    found = records.alerts(_evaluated(spark, sf), "pain", "fever")
+    found = records.first_alerts(rules.running_state(_symptoms(spark, sf)), "pain", "fever")
     return found.where(F.size("reasons") > 0).select("call_id", "turn", "level", "pain", F.round("fever", 1).alias("fever"))
 
 
