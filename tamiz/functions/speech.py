@@ -65,7 +65,8 @@ def said(c: Column, phrases: list[str]) -> Column:
     def stands(phrase: Column) -> Column:
         parts = F.split(c, phrase)
         places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1))
-        return (F.size(parts) > 1) & F.exists(places, lambda k: ~F.right(F.array_join(F.slice(parts, F.lit(1), k), "#"), F.lit(30)).rlike(NEGATION))
+        # most texts hold no phrase and need not be split
+        return F.contains(c, phrase) & (F.size(parts) > 1) & F.exists(places, lambda k: ~F.right(F.array_join(F.slice(parts, F.lit(1), k), "#"), F.lit(30)).rlike(NEGATION))
 
     return F.try_element_at(F.filter(F.array(*map(F.lit, phrases)), stands), F.lit(1))
 

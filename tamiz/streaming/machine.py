@@ -11,9 +11,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from tamiz.functions import speech
 from tamiz.functions.text import fold
@@ -42,19 +45,20 @@ def told(answers: DataFrame) -> DataFrame:
     text, nothing = F.col("text"), F.lit(None).cast("string")
     procedure = fold(F.coalesce("procedure", F.lit(""))) if "procedure" in answers.columns else F.lit("")
     day = F.coalesce(F.col("day").cast("int"), F.lit(1)) if "day" in answers.columns else F.lit(1)
-    made = answers.withColumn("slot", slots.asked(F.col("question"))).withColumn("got", slots.parsed(F.col("slot"), text)).withColumn("said", speech.extracted(text))
+    # what several columns read is a column itself, so that it is worked out once for each turn
+    made = answers.withColumns({"slot": slots.asked(F.col("question")), "said": speech.extracted(text), "alarm": quick_red(text), "own": speech.own(fold(F.coalesce(text, F.lit(""))))})
+    made = made.withColumn("got", slots.parsed(F.col("slot"), text, F.col("alarm")))
     place = lambda c, order: F.when(c.isNotNull(), F.array_position(F.array(*map(F.lit, order)), c) - 1)
     number = lambda c: c.cast("double")
     free = {name: number(F.col(f"said.{name}")) for name in ("pain", "fever", "fever_felt", "pain_worse", "bleeding", "dyspnoea")}
     slot = dict(free)
     slot |= {name: F.greatest(number(F.col(f"got.{name}")), free[name]) for name in ("pain", "fever")}
     slot |= {"wound": place(F.col("got.wound"), WOUND), "appetite": place(F.col("got.appetite"), APPETITE)}
-    own = speech.own(fold(F.coalesce(text, F.lit(""))))
+    own, alarm = F.col("own"), F.col("alarm")
     sure = F.concat_ws(" ", F.col("question"), F.lit("¿Me confirma que quedó claro?"))
-    alarm = quick_red(text)
     watched = F.array_compact(F.array(*(F.when(F.contains(own, F.lit(p)), F.lit(p)) for p in YELLOW_TEXT)))
     columns = {
-        "at": F.unix_millis(F.col("ts").cast("timestamp")), "status": F.col("got.status"), "alarm": alarm, "confirmed": slots.confirmed(text, sure).isNotNull(),
+        "at": F.unix_millis(F.col("ts").cast("timestamp")), "status": F.col("got.status"), "confirmed": slots.confirmed(text, sure).isNotNull(),
         "farewell": slots.farewell(text, F.col("slot"), F.lit(False)), "thanks": slots.farewell(text, nothing, F.lit(True)) & F.col("slot").isNull(), "question": guards.asks(text), "worth": guards.worth_extracting(text),
         "joint": procedure.rlike("articular|cadera|rodilla"), "day": day, "mentioned": own.rlike(grounding.PAIN), "minimises": own.rlike(grounding.MINIMISES), "no_fever": F.col("got.no_fever"),
         "leg": own.rlike("pantorrilla|pierna hinchada"), "phrases": F.array_union(F.array_compact(F.array(F.when(alarm.isin(*RED_TEXT), alarm))), watched),
@@ -270,19 +274,24 @@ def machine(answers: DataFrame, delay: str = DELAY, idle_s: float = IDLE_S, most
 
 
 def replayed(answers: DataFrame, idle_s: float = IDLE_S, most: int = NUDGES, over_s: float = OVER_S) -> DataFrame:
-    """machine() over a table: all turns of a call in their order, then silence."""
-    limits = (int(idle_s * 1000), most, int(over_s * 1000))
+    """machine() over a table: all turns of a call in their order, then silence.
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    Calls are dealt to as many tasks as a shuffle has: their work is in Python, and by their few bytes Spark would put them all in one.
+    """
+    limits, kinds = (int(idle_s * 1000), most, int(over_s * 1000)), to_arrow_schema(StructType.fromDDL(OUT))
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         call, out = Call(), []
-        for r in sorted(({k: _plain(v) for k, v in x.items()} for x in rows.to_dict("records")), key=_order):
+        for r in sorted(rows.to_pylist(), key=_order):
             out += call.silent(r["at"] - 1, *limits)
             call = _reopened(call)
             out += call.turn(r)
             call = _reopened(call)
-        return _rows(key[0], [*out, *call.silent(1 << 62, *limits)])
+        return pa.Table.from_pylist([{"call_id": key[0].as_py(), **o} for o in [*out, *call.silent(1 << 62, *limits)]], kinds)
 
-    return told(answers).where("call_id is not null and ts is not null").drop("ts").groupBy("call_id").applyInPandas(run, OUT)
+    tasks = int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = told(answers).where("call_id is not null and ts is not null").drop("ts").repartition(tasks, "call_id")
+    return dealt.groupBy("call_id").applyInArrow(run, OUT)
 
 
 def state(rows: DataFrame) -> DataFrame:

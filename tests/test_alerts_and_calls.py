@@ -14,3 +14,10 @@ def test_a_level_takes_no_sentences(spark, sf):
     assert rows(records.first_alerts(state, "pain")) == rows(records.alerts(records.evaluated(state), "pain")) != []
     found = records.evaluated(state).select("severity", F.col("reasons")[0].alias("first"))
     assert found.where((F.col("severity") == 0) != F.col("first").startswith("Sin signos")).count() == 0
+
+
+def test_replayed_calls_are_dealt_to_all_tasks(spark, sf):
+    """Neither their few bytes nor a second shuffle puts them in one."""
+    made = queries.call_machine(spark, sf)
+    used = made.groupBy(F.spark_partition_id().alias("p")).count().count()
+    assert used > 1 and "REPARTITION_BY_NUM" in made._jdf.queryExecution().executedPlan().toString()
